@@ -31,7 +31,7 @@ from .common import drop_table, save, small_batches
 
 WIDTH = 200
 CORE = 41
-HOT = 512
+HOT = 4096
 BLOCK = 20
 CHUNK = 1 << 18
 _POS = np.uint64(24)
@@ -104,11 +104,10 @@ def _ranks(width: int, core: int):
                             spans.append(digest(data[max(left, 0) : right], seed=1 + max(0, -left) * 1000 + max(0, right - n)))
                 if not rows:
                     continue
-                at = np.concatenate([r[1] for r in rows])
-                doc = pa.array(np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]))
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(keys), _signed(spans), part.column("doc").take(doc), part.column("th").take(doc), pa.array(at)], ["key", "span", "doc", "th", "pos"]
-                )
+                row = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
+                th = part.column("th").to_numpy().astype(np.int64)[row] << 32
+                at = th | np.concatenate([r[1] for r in rows])
+                yield pa.RecordBatch.from_arrays([_signed(keys), _signed(spans), part.column("doc").take(pa.array(row)), pa.array(at)], ["key", "span", "doc", "at"])
 
     return run
 
@@ -250,24 +249,25 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: i
 
     `docs` has doc (long), th (a hash of the text) and text, without nulls; doc and th together name a row.
     """
-    spark = docs.sparkSession
     reach = width - core + 1
-    where = ["doc", "th", "pos"]
-    ranks = save(docs.mapInArrow(_ranks(width, core), "key long, span long, doc long, th int, pos long"), "ranks")
+    # A position is a text's hash and the byte in one number.
+    th, pos = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
+    ranks = save(docs.mapInArrow(_ranks(width, core), "key long, span long, doc long, at long"), "ranks")
     shared = save(ranks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
     live = save(ranks.join(shared, "key"), "live")
     drop_table(ranks)
     drop_table(shared)
 
-    spans = save(live.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct(*where)).alias("first")), "spans")
-    sizes = spans.groupBy("key").agg(F.count("*").alias("size"))
-    settled = live.join(spans.filter("n > 1").select("key", "span"), ["key", "span"]).select("doc", "th", (F.greatest(F.col("pos") - reach + 1, F.lit(0))).alias("start"), (F.col("pos") + width).alias("stop"))
+    spans = save(live.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")), "spans")
+    settled = live.join(spans.filter("n > 1").select("key", "span"), ["key", "span"]).select("doc", th.alias("th"), F.greatest(pos - reach + 1, F.lit(0)).alias("start"), (pos + width).alias("stop"))
     settled = save(settled.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("parts")), "settled")
     drop_table(live)
-    # Each different span speaks once; it is a subject if no equal span settled it.  A core that one span shares alone is done.
-    speakers = spans.join(sizes.filter("size > 1"), "key").select("key", "first.*", (F.col("n") == 1).alias("subject"), (F.col("size") > hot).alias("hot"))
-    places = speakers.groupBy("doc", "th").agg(F.collect_list(F.struct("key", "pos", "subject", "hot")).alias("places"))
+    # Each different span speaks once, in the groups in which some span is not settled; that one is a subject.
+    sizes = spans.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("n") == 1).alias("subjects")).filter("size > 1 and subjects > 0")
+    speakers = spans.join(sizes, "key").select("key", "first.*", (F.col("n") == 1).alias("subject"), (F.col("size") > hot).alias("hot"))
+    places = speakers.select("doc", th.alias("th"), F.struct("key", pos.alias("pos"), "subject", "hot").alias("place")).groupBy("doc", "th").agg(F.collect_list("place").alias("places"))
     fields = "key long, subject boolean, hot boolean, doc long, th int, pos long, left int, around binary"
+    where = ["doc", "th", "pos"]
     around = save(docs.join(places, ["doc", "th"]).mapInArrow(_contexts(width, core), fields), "around")
     drop_table(spans)
 
@@ -279,7 +279,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: i
     group = ["key", "lo", "span"]
     by_span = blocks.groupBy(*group).agg(F.count("*").alias("n"), F.min(F.struct(*where)).alias("first"))
     equal = blocks.filter("subject").join(by_span.filter("n > 1").select(*group), group)
-    found.append(equal.select("doc", "th", F.greatest(F.col("pos") - F.least(F.col("lo") + BLOCK - 1, F.lit(reach - 1)), F.lit(0)).alias("start"), (F.col("pos") - F.col("lo") + width).alias("stop")))
+    at = F.col("pos") - F.col("lo")
+    found.append(save(equal.select("doc", "th", F.greatest(at - F.least(F.lit(BLOCK - 1), F.lit(reach - 1) - F.col("lo")), F.lit(0)).alias("start"), (at + width).alias("stop")), "found"))
     open_cores = blocks.filter("whole").groupBy("key", "lo", "core").agg(F.count_distinct("span").alias("n")).filter("n > 1").select("key", "lo", "core")
     lone = blocks.join(by_span.select(*group, "first"), group).filter(F.struct(*where) == F.col("first")).select("key", "doc", "th", "pos", "lo", "core", "whole")
     still = lone.filter("whole").join(open_cores, ["key", "lo", "core"]).select("key", *where, "lo").unionByName(lone.filter(~F.col("whole")).select("key", *where, "lo"))
@@ -290,7 +291,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: i
     windows = save(warm.join(los, ["key", *where]).mapInArrow(_exact(width, core, BLOCK), "key long, doc long, th int, pos long, subject boolean, back int, window long"), "windows")
     many = windows.groupBy("key", "back", "window").agg(F.count("*").alias("n")).filter("n > 1").select("key", "back", "window")
     at = F.col("pos") - F.col("back")
-    found.append(windows.filter("subject").join(many, ["key", "back", "window"]).select("doc", "th", at.alias("start"), (at + width).alias("stop")))
+    found.append(save(windows.filter("subject").join(many, ["key", "back", "window"]).select("doc", "th", at.alias("start"), (at + width).alias("stop")), "found"))
+    for table in (around, blocks, windows):
+        drop_table(table)
     one = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))
     return settled.unionByName(one)
 
