@@ -1,11 +1,12 @@
 """Near-duplicate documents by b-bit MinHash.
 
 1. Equal shingle sets fall into one class by their hash; one representative goes on.
-2. Bands of MinHash values make buckets.  In each bucket the representative with the least hash is the hub, and every
-   other member is a candidate pair with it: a bucket of m members gives m-1 pairs, not m squared.
+2. Bands of MinHash values make buckets.  In each bucket the representative that shares most buckets with others is the
+   hub (of a family of copies, the original), and every other member is a candidate pair with it: a bucket of m members
+   gives m-1 pairs, not m squared.
 3. The low `BITS` bits of all minima are packed; the share of equal entries, corrected for chance collisions, drops
    pairs far below the threshold.  The rest are confirmed on the full sets.
-4. Members that their hub did not reach are compared with everything else in the bucket on the packed signatures, in
+4. Members that their hub did not reach get a second hub among themselves.  Those still outside are compared with everything else in the bucket on the packed signatures, in
    blocks, and again confirmed on full sets, so a link that does not pass through the hub is found as well.
 """
 
@@ -25,13 +26,14 @@ from .components import components
 from .shingles import overlap, shingle_sets
 
 BANDS, ROWS, BITS = 32, 4, 2
-PERMUTATIONS = BANDS * ROWS
-SLACK = 6.0  # standard deviations of the signature estimate below the threshold that still go to the full sets
+PRODUCTS = 256
+PERMUTATIONS = 2 * PRODUCTS  # both halves of a 64-bit product are hashes; the bands use the first of the upper ones
+SLACK = 4.0  # standard deviations of the signature estimate below the threshold that still go to the full sets
 FRAGMENT = 1024
 
 _RNG = np.random.default_rng(42)
-_A = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
-_B = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
+_A = _RNG.integers(1, 2**63, PRODUCTS, dtype=np.uint64) | np.uint64(1)
+_B = _RNG.integers(0, 2**63, PRODUCTS, dtype=np.uint64)
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -39,9 +41,10 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate(sets)
     at = np.cumsum([0, *map(len, sets)])[:-1]
     out = np.empty((len(sets), PERMUTATIONS), np.uint32)
-    for i in range(PERMUTATIONS):
-        x = flat * _A[i] + _B[i]
-        out[:, i] = np.minimum.reduceat((x >> np.uint64(32)).astype(np.uint32), at)
+    for i in range(PRODUCTS):
+        halves = (flat * _A[i] + _B[i]).view(np.uint32).reshape(-1, 2)
+        out[:, i] = np.minimum.reduceat(halves[:, 1], at)
+        out[:, PRODUCTS + i] = np.minimum.reduceat(halves[:, 0], at)
     return out
 
 
@@ -81,7 +84,7 @@ def _signatures(size: int):
                     low = minima([sets[i] for i in full])
                     pack = packed(low)
                     for k, i in enumerate(full):
-                        keys[i] = [int(x) for x in np.array([xxhash.xxh3_64_intdigest(low[k, r : r + ROWS].tobytes(), seed=r) for r in range(0, PERMUTATIONS, ROWS)], np.uint64).view(np.int64)]
+                        keys[i] = [int(x) for x in np.array([xxhash.xxh3_64_intdigest(low[k, r : r + ROWS].tobytes(), seed=r) for r in range(0, BANDS * ROWS, ROWS)], np.uint64).view(np.int64)]
                         sigs[i], names[i] = pack[k].tobytes(), xxhash.xxh3_128_digest(sets[i].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -164,22 +167,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reps = rows.join(classes, "set_name").filter("doc_id = rep").groupBy("rep").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     members = save(reps.select("rep", F.posexplode("bands").alias("band", "key")), "members")
     sigs = rows.filter("set_name is not null").groupBy("doc_id").agg(F.first("sig").alias("sig"))
-    order = F.struct(F.xxhash64("rep").alias("h"), "rep")
-    buckets = save(members.groupBy("band", "key").agg(F.count("*").alias("m"), F.min(order).alias("hub")).filter("m > 1").select("band", "key", "m", F.col("hub.rep").alias("hub")), "buckets")
-    inside = save(members.join(buckets, ["band", "key"]), "inside")
-
-    pairs = inside.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    both = pairs.join(sigs.withColumnsRenamed({"doc_id": "a", "sig": "sig_a"}), "a").join(sigs.withColumnsRenamed({"doc_id": "b", "sig": "sig_b"}), "b")
-    near = save(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate(least), "a long, b long"), "near")
-    links = save(confirm_links(docs, near, size, percent), "links")
+    place = ["band", "key"]
+    sizes = members.groupBy(*place).agg(F.count("*").alias("m")).filter("m > 1")
+    inside = save(members.join(sizes, place), "inside")
+    degree = inside.groupBy("rep").agg(F.sum("m").alias("degree"))
+    rank = F.struct("degree", F.xxhash64("rep").alias("h"), "rep")
+    inside = save(inside.join(degree, "rep").withColumn("rank", rank).select(*place, "m", "rep", "rank"), "ranked")
+
+    def reached(rows_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Candidate pairs of the members with the hub of their bucket, and those that are linked."""
+        hubs = rows_.groupBy(*place).agg(F.max("rank").alias("hub"), F.count("*").alias("c")).filter("c > 1").select(*place, F.col("hub.rep").alias("b"))
+        pairs = rows_.select(*place, F.col("rep").alias("a")).join(hubs, place).filter("a <> b").select("a", "b").distinct()
+        both = pairs.join(sigs.withColumnsRenamed({"doc_id": "a", "sig": "sig_a"}), "a").join(sigs.withColumnsRenamed({"doc_id": "b", "sig": "sig_b"}), "b")
+        near = save(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate(least), "a long, b long"), "near")
+        return near, save(confirm_links(docs, near, size, percent), "links")
+
+    def outside(rows_: DataFrame, groups: DataFrame) -> DataFrame:
+        """Members with their component, and whether it is another than that of the bucket's hub."""
+        named = rows_.drop("component").join(groups.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        hubs = named.groupBy(*place).agg(F.max(F.struct("rank", "component")).alias("hub")).select(*place, F.col("hub.component").alias("hub_component"))
+        return save(named.join(hubs, place).withColumn("away", F.col("component") != F.col("hub_component")).drop("hub_component"), "named")
+
+    near, links = reached(inside)
+    named = outside(inside, components(links))
+    near2, links2 = reached(named.filter("away").select(*place, "rep", "rank"))
+    near, links = near.unionByName(near2), links.unionByName(links2)
     groups = components(links)
 
     # Members outside their hub's group meet the whole bucket, in blocks of bounded size.
-    named = inside.join(groups.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = named.join(groups.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left").withColumn("away", F.col("component") != F.coalesce("hub_component", "hub"))
-    named = save(named.select("band", "key", "m", "rep", "component", "away"), "named")
-    loose = named.filter("away").groupBy("band", "key").agg(F.count("*").alias("n_away"))
-    open_ = named.join(loose, ["band", "key"]).join(sigs.withColumnRenamed("doc_id", "rep"), "rep")
+    named = outside(named, groups)
+    loose = named.filter("away").groupBy(*place).agg(F.count("*").alias("n_away"))
+    open_ = named.drop("rank").join(loose, place).join(sigs.withColumnRenamed("doc_id", "rep"), "rep")
     open_ = save(open_, "open")
     item = F.struct("rep", "component", "sig")
     parts = lambda n: F.greatest(F.ceil(F.col(n) / FRAGMENT).cast("int"), F.lit(1))

@@ -38,7 +38,7 @@ LOOK_ALIKES = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 
 _TABLE = str.maketrans(LOOK_ALIKES | {c: None for c in "​‌‍­⁠﻿"})
-_SIGN = re.compile(r"(?<=[^\W\d_])[@$!0134578]+(?=[^\W\d_])|\b[0134578@$!](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[0134578]\b")
+_SIGN = re.compile(r"(?<=[^\W\d_])[@$!0134578]+(?=[^\W\d_])|(?<![^\s])[0134578@$!](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[0134578]\b")
 _SWAP = str.maketrans(SUBSTITUTES)
 _WORD = re.compile(r"[^\W_]+")
 _RISKY = re.compile(r"[0134578@$!]")
