@@ -251,13 +251,13 @@ def frames_overlap(spark, sf_dir):
     return f.withColumn("frame", F.col("frame").cast("long"))
 
 
-@register("zcr_energy", f"SELECT user_id, round(list_sum(list_transform(generate_series(2, len(y)), lambda i: CASE WHEN (y[i] >= 0) <> (y[i - 1] >= 0) THEN 1 ELSE 0 END)) / len(y), 4) AS zcr, round(list_sum(list_transform(y, lambda v: abs(v))) / len(y), 4) AS energy FROM (SELECT user_id, list_transform(x, lambda v: v - 50) AS y FROM {_SERIES} WHERE len(x) >= 2)")
+@register("zcr_energy", f"SELECT user_id, round(list_sum(list_transform(generate_series(2, len(y)), lambda i: CASE WHEN (y[i] >= 0) <> (y[i - 1] >= 0) THEN 1 ELSE 0 END)) / len(y), 4) AS zcr, round(list_sum(list_transform(y, lambda v: abs(v))) / len(y), 6) AS energy FROM (SELECT user_id, list_transform(x, lambda v: v - 50) AS y FROM {_SERIES} WHERE len(x) >= 2)")
 def zcr_energy(spark, sf_dir):
     y = _series(spark, sf_dir).filter(F.size("x") >= 2).withColumn("y", F.transform("x", lambda v: v - 50))
-    return y.select("user_id", r4(V.zero_crossings(F.col("y"))).alias("zcr"), r4(V.mean_abs(F.col("y"))).alias("energy"))
+    return y.select("user_id", r4(V.zero_crossings(F.col("y"))).alias("zcr"), F.round(V.mean_abs(F.col("y")), 6).alias("energy"))
 
 
-@register("preemphasis", f"SELECT user_id, list_transform(generate_series(1, len(x)), lambda i: trunc(100 * x[i] - 0.97 * 100 * x[greatest(i - 1, 1)])) AS y FROM {_SERIES}")
+@register("preemphasis", f"SELECT user_id, list_transform(generate_series(1, len(x)), lambda i: trunc(100 * x[i] - CAST(0.97 AS DOUBLE) * (100 * x[greatest(i - 1, 1)]))) AS y FROM {_SERIES}")
 def preemphasis(spark, sf_dir):
     return _series(spark, sf_dir).select("user_id", signal.preemphasis_column(F.transform("x", lambda v: v * 100)).alias("y"))
 
