@@ -257,7 +257,7 @@ def zcr_energy(spark, sf_dir):
     return y.select("user_id", r4(V.zero_crossings(F.col("y"))).alias("zcr"), F.round(V.mean_abs(F.col("y")), 6).alias("energy"))
 
 
-@register("preemphasis", f"SELECT user_id, list_transform(generate_series(1, len(x)), lambda i: trunc(100 * x[i] - CAST(0.97 AS DOUBLE) * (100 * x[greatest(i - 1, 1)]))) AS y FROM {_SERIES}")
+@register("preemphasis", f"SELECT user_id, list_transform(generate_series(1, len(x)), lambda i: trunc(greatest(least(100 * x[i] - CAST(0.97 AS DOUBLE) * (100 * x[greatest(i - 1, 1)]), 32767.0), -32768.0))) AS y FROM {_SERIES}")
 def preemphasis(spark, sf_dir):
     return _series(spark, sf_dir).select("user_id", signal.preemphasis_column(F.transform("x", lambda v: v * 100)).alias("y"))
 
