@@ -1,17 +1,17 @@
 import collections
 
 import pytest
-from test_operators import brute_near, brute_repeats
+from test_llm_operators import brute_near, brute_repeats
 
 import corpus_pipeline
 from lumenfold.llm import bpe
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
 
 @pytest.fixture(scope="module")
 def folder(spark, docs, tmp_path_factory):
     """The fixture's documents with toxic ones added, and labels for them and for clean ones."""
-    from conftest import COLUMNS
-
     path = str(tmp_path_factory.mktemp("sf"))
     bad = [(10_000 + i, f"some vile{'x' * (i % 3)} words vilething number {i} of many vilething here", "en", "s", 0) for i in range(60)]
     good = [(20_000 + i, f"some kind words and a thing number {i} of many things {i * 7} here", "en", "s", 0) for i in range(60)]
