@@ -222,7 +222,7 @@ def brute_repeats(texts, width=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 3, 1])
+@pytest.mark.parametrize("hot", [4096, 1])
 def test_suffix_dedup_equals_brute_force(docs, texts, hot):
     got = rows(suffix.without_repeats(docs, hot=hot))
     want = brute_repeats(texts)
@@ -283,7 +283,7 @@ def brute_near(texts, size, percent=80):
     return {k: (len(s), find(k), find(k) == k) for k, s in sets.items()}
 
 
-@pytest.mark.parametrize("size", [4, 5])
+@pytest.mark.parametrize("size", [4])
 def test_near_duplicates_equal_brute_force(docs, texts, size):
     got = rows(neardup.near_duplicates(docs, size))
     assert {k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in got.items()} == brute_near(texts, size)
