@@ -6,7 +6,7 @@
    gives m-1 pairs, not m squared.
 3. The low `BITS` bits of all minima are packed; the share of equal entries, corrected for chance collisions, drops
    pairs far below the threshold.  The rest are confirmed on the full sets.
-4. Members that their hub did not reach get a second hub among themselves.  Those still outside are compared with everything else in the bucket on the packed signatures, in
+4. Members that their hub did not reach are compared with everything else in the bucket on the packed signatures, in
    blocks, and again confirmed on full sets, so a link that does not pass through the hub is found as well.
 """
 
@@ -80,15 +80,17 @@ def _signatures(size: int):
                 keys: list[list[int] | None] = [None] * len(sets)
                 sigs: list[bytes | None] = [None] * len(sets)
                 names: list[bytes | None] = [None] * len(sets)
+                packed_keys: list[bytes | None] = [None] * len(sets)
                 if full:
                     low = minima([sets[i] for i in full])
                     pack = packed(low)
                     for k, i in enumerate(full):
                         keys[i] = [int(x) for x in np.array([xxhash.xxh3_64_intdigest(low[k, r : r + ROWS].tobytes(), seed=r) for r in range(0, BANDS * ROWS, ROWS)], np.uint64).view(np.int64)]
+                        packed_keys[i] = np.array(keys[i], "<i8").tobytes()
                         sigs[i], names[i] = pack[k].tobytes(), xxhash.xxh3_128_digest(sets[i].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_name", "sig", "bands"],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(packed_keys, pa.binary())],
+                    ["doc_id", "n_shingles", "set_name", "sig", "bands", "band_keys"],
                 )
 
     return run
@@ -136,8 +138,12 @@ def _blocks(least: float):
                 y = np.frombuffer(b"".join(r["sig"] for r in m), np.uint8).reshape(len(m), -1)
                 own, other = np.array([r["component"] for r in n]), np.array([r["component"] for r in m])
                 ids, others = np.array([r["rep"] for r in n]), np.array([r["rep"] for r in m])
+                kx, ky = (np.frombuffer(b"".join(r["band_keys"] for r in z), "<i8").reshape(len(z), -1) for z in (n, m))
+                away = np.array([r["away"] for r in m])
                 for i in range(len(n)):
-                    hit = np.flatnonzero((similarity(x[i], y) >= least) & (other != own[i]))
+                    # A pair of two such members is seen from both sides, and in every bucket that both are in: it counts once.
+                    hit = np.flatnonzero((similarity(x[i], y) >= least) & (other != own[i]) & ~(away & (others < ids[i])))
+                    hit = hit[(ky[hit] == kx[i]).argmax(axis=1) == row["band"]]
                     if len(hit):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), ids[i])), pa.array(others[hit])], ["a", "b"])
 
@@ -162,11 +168,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     small_batches(docs.sparkSession)
     least = floor_for(percent / 100)
     docs = docs.select("doc_id", "text")
-    rows = save(docs.mapInArrow(_signatures(size), "doc_id long, n_shingles long, set_name binary, sig binary, bands array<long>"), "signatures")
+    rows = save(docs.mapInArrow(_signatures(size), "doc_id long, n_shingles long, set_name binary, sig binary, bands array<long>, band_keys binary"), "signatures")
     classes = save(rows.filter("set_name is not null").groupBy("set_name").agg(F.min("doc_id").alias("rep")), "classes")
     reps = rows.join(classes, "set_name").filter("doc_id = rep").groupBy("rep").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     members = save(reps.select("rep", F.posexplode("bands").alias("band", "key")), "members")
     sigs = rows.filter("set_name is not null").groupBy("doc_id").agg(F.first("sig").alias("sig"))
+    keyed = rows.filter("set_name is not null").groupBy("doc_id").agg(F.first("sig").alias("sig"), F.first("band_keys").alias("band_keys"))
     place = ["band", "key"]
     sizes = members.groupBy(*place).agg(F.count("*").alias("m")).filter("m > 1")
     inside = save(members.join(sizes, place), "inside")
@@ -184,28 +191,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     def outside(rows_: DataFrame, groups: DataFrame) -> DataFrame:
         """Members with their component, and whether it is another than that of the bucket's hub."""
-        named = rows_.drop("component").join(groups.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        named = rows_.join(groups.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         hubs = named.groupBy(*place).agg(F.max(F.struct("rank", "component")).alias("hub")).select(*place, F.col("hub.component").alias("hub_component"))
         return save(named.join(hubs, place).withColumn("away", F.col("component") != F.col("hub_component")).drop("hub_component"), "named")
 
     near, links = reached(inside)
-    named = outside(inside, components(links))
-    near2, links2 = reached(named.filter("away").select(*place, "rep", "rank"))
-    near, links = near.unionByName(near2), links.unionByName(links2)
     groups = components(links)
 
     # Members outside their hub's group meet the whole bucket, in blocks of bounded size.
-    named = outside(named, groups)
+    named = outside(inside, groups)
     loose = named.filter("away").groupBy(*place).agg(F.count("*").alias("n_away"))
-    open_ = named.drop("rank").join(loose, place).join(sigs.withColumnRenamed("doc_id", "rep"), "rep")
+    open_ = named.drop("rank").join(loose, place).join(keyed.withColumnRenamed("doc_id", "rep"), "rep")
     open_ = save(open_, "open")
-    item = F.struct("rep", "component", "sig")
+    item = F.struct("rep", "component", "sig", "band_keys", "away")
     parts = lambda n: F.greatest(F.ceil(F.col(n) / FRAGMENT).cast("int"), F.lit(1))
     spot = lambda n: F.pmod(F.xxhash64("rep"), parts(n)).cast("int")
     many = open_.withColumn("y", spot("m")).groupBy("band", "key", "y").agg(F.collect_list(item).alias("many"))
     few = open_.filter("away").withColumn("x", spot("n_away")).groupBy("band", "key", "x").agg(F.collect_list(item).alias("few"), F.max("m").alias("m"))
     few = few.withColumn("y", F.explode(F.sequence(F.lit(0), parts("m") - 1)))
-    more = few.join(many, ["band", "key", "y"]).select("few", "many").mapInArrow(_blocks(least), "a long, b long")
+    more = few.join(many, ["band", "key", "y"]).select("band", "few", "many").mapInArrow(_blocks(least), "a long, b long")
     more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     more = save(more.join(near, ["a", "b"], "left_anti").join(near.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "more")
     late = save(confirm_links(docs, more, size, percent), "late")
