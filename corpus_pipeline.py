@@ -18,9 +18,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group that shares 80 % of its five-word shingles."""
+    """Keep one document of each group that shares 80 % of its five-word shingles; rows without an id are kept."""
     kept = neardup.near_duplicates(docs, size=5, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    # near_duplicates keeps every row without an id; a join on nulls would bring them all to one task.
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

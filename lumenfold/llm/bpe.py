@@ -296,7 +296,8 @@ def encode_documents(docs: DataFrame, vocab: str, finish, schema: str, long_char
 
     `finish(bpe, doc_ids, ids, sizes)` gets lists for a batch of documents and returns an Arrow record batch.  A text of
     over `long_chars` characters is cut into pieces of that length, which Spark deals out and encodes in parallel; each
-    such document's pieces then meet in one group and are joined as a tree.  A null text counts as empty.
+    such row's pieces then meet in one group and are joined as a tree.  A row's key is its doc_id and the hash of its
+    text; rows equal in both are encoded once and repeated at the end.  A null text counts as empty.
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -312,23 +313,25 @@ def encode_documents(docs: DataFrame, vocab: str, finish, schema: str, long_char
         bpe = encoder(vocab)
         for batch in batches:
             ids = bpe.encode_batch(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n"), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"]
-            )
+            same = [batch.column(c) for c in ("doc_id", "key", "n", "copies")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())], ["doc_id", "key", "n", "copies", "ids"])
 
     def together(group: pa.Table) -> pa.Table:
         bpe = encoder(vocab)
         group = group.sort_by("n")
         ids = join_all(bpe, [np.frombuffer(x, "<u2") for x in group.column("ids").to_pylist()])
-        return pa.Table.from_batches([finish(bpe, group.column("doc_id").slice(0, 1).combine_chunks(), [ids], [bpe.decode(ids)])])
+        out = pa.Table.from_batches([finish(bpe, group.column("doc_id").slice(0, 1).combine_chunks(), [ids], [bpe.decode(ids)])])
+        return out.append_column("_copies", pa.array([group.column("copies")[0].as_py()] * len(out), pa.int64()))
 
     size = F.length("text")
     out = rows.filter(size <= long_chars).mapInArrow(short, schema)
     cut = rows.filter(size > long_chars).select(
-        "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((size - 1) / long_chars).cast("int")), lambda i: F.substring("text", i * long_chars + 1, F.lit(long_chars)))).alias("n", "text")
+        "doc_id", F.sha2("text", 256).alias("key"), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((size - 1) / long_chars).cast("int")), lambda i: F.substring("text", i * long_chars + 1, F.lit(long_chars)))).alias("n", "text")
     )
-    encoded = cut.repartition("doc_id", "n").mapInArrow(pieces, "doc_id long, n int, ids binary")
-    return out.unionByName(encoded.groupBy("doc_id").applyInArrow(together, schema))
+    dealt = cut.groupBy("doc_id", "key", "n").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    encoded = dealt.mapInArrow(pieces, "doc_id long, key string, n int, copies long, ids binary")
+    joined = encoded.groupBy("doc_id", "key").applyInArrow(together, f"{schema}, _copies long")
+    return out.unionByName(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_copies", "_copy"))
 
 
 def text_slices(batch: pa.RecordBatch, name: str = "text", most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
@@ -351,8 +354,8 @@ def bpe_roundtrip(docs: DataFrame, vocab: str, long_chars: int = 65_536) -> Data
     """Encode every text and decode it again.
 
     Returns doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 (decoded text in UTF-8).
-    Null and empty texts have no tokens.  Repeated rows give repeated rows, except that equal doc_ids of over
-    `long_chars` characters must not repeat.  Further columns are ignored.
+    Null and empty texts have no tokens.  Every row gives one row, however long, also where doc_ids repeat or are null.
+    Further columns are ignored.
     """
 
     def finish(bpe: ByteBpe, doc_ids: pa.Array, ids: list[np.ndarray], texts: list[str]) -> pa.RecordBatch:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from .bpe import EOT, ByteBpe, encode_documents, encoder
 from .common import filesystem, save, shared_path, small_batches
 
 SEQ_LEN = 256
-HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("n", "<u2"), ("pad", "<u2")])
+HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("n", "<u2"), ("no_id", "<u2")])
 ROUNDS = 4
 
 
@@ -58,24 +59,28 @@ def feistel(x: np.ndarray, size: int, key: str, inverse: bool = False) -> np.nda
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, vocab: str, key: str, size: int, per_doc: int, first_id: int, shards: int, seq_len: int) -> DataFrame:
+def sequences(docs: DataFrame, vocab: str, key: str, size: int, per_doc: int, first_id: int, shards: int, seq_len: int, nulls: int = 0) -> DataFrame:
+    """The permuted pieces.  Documents without an id share the last `nulls` document numbers, dealt by the hash of their ids."""
     end = encoder(vocab).special.get(EOT, 0)
 
     def finish(bpe: ByteBpe, doc_ids: pa.Array, ids: list[np.ndarray], texts: list[str]) -> pa.RecordBatch:
-        number = doc_ids.to_numpy(zero_copy_only=False).astype(np.int64)
+        no_id = doc_ids.is_null().to_numpy(zero_copy_only=False)
+        number = doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) - np.where(no_id, 0, first_id)
         at, piece, body = [], [], []
         for i, x in enumerate(ids):
             raw = np.append(x, end).astype("<u2").tobytes()
+            if no_id[i]:
+                number[i] = size // per_doc - nulls + xxhash.xxh3_64_intdigest(raw) % nulls
             for k in range(0, len(raw), 2 * seq_len):
                 at.append(i)
                 piece.append(k // (2 * seq_len))
                 body.append(raw[k : k + 2 * seq_len])
-        doc = number[np.array(at, np.int64)]
+        at = np.array(at, np.int64)
         part = np.array(piece, np.int64)
-        order = feistel((doc - first_id) * per_doc + part, size, key)
+        order = feistel(number[at] * per_doc + part, size, key)
         shard = (order.astype(object) * shards // size).astype(np.int32) if size > 2**40 else (order * shards // size).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc), pa.array(part.astype(np.int32)), pa.array(order), pa.array(shard), pa.array(body, pa.binary())], ["doc_id", "piece", "order", "shard", "ids"]
+            [doc_ids.take(pa.array(at)), pa.array(part.astype(np.int32)), pa.array(order), pa.array(shard), pa.array(body, pa.binary())], ["doc_id", "piece", "order", "shard", "ids"]
         )
 
     return encode_documents(docs, vocab, finish, "doc_id long, piece int, order long, shard int, ids binary")
@@ -84,22 +89,21 @@ def sequences(docs: DataFrame, vocab: str, key: str, size: int, per_doc: int, fi
 def materialise(docs: DataFrame, vocab: str, key: str = "epoch-0", seq_len: int = SEQ_LEN, shard_bytes: int = 32 << 20, path: str | None = None) -> DataFrame:
     """Write the shards and return their manifest: shard, file, n_records, first_slot.
 
-    Documents with a null doc_id are left out; a null text is one sequence with the end token.  Rows that repeat a
-    doc_id repeat its sequences, side by side.  An empty table gives no shard.  A task attempt writes a file of its own,
+    Documents with a null doc_id have numbers behind all others; a null text is one sequence with the end token.  Rows
+    that repeat a doc_id repeat its sequences, side by side.  An empty table gives no shard.  A task attempt writes a file of its own,
     and only files in the committed manifest count, so lost executors leave at most files that nothing names.
     """
     spark = docs.sparkSession
     small_batches(spark)
     path = path or shared_path(spark, "shards")
-    docs = docs.filter(F.col("doc_id").isNotNull())
-    low, high, most, total = docs.agg(
-        F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text")), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+    low, high, most, total, nulls = docs.agg(
+        F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text")), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.count_if(F.col("doc_id").isNull())
     ).collect()[0]
     per_doc = -(-((most or 0) + 1) // seq_len)
-    size = ((high or 0) - (low or 0) + 1) * per_doc
+    size = ((high or 0) - (low or 0) + 1 + nulls) * per_doc
     stride = HEAD.itemsize + 2 * seq_len
     shards = max(1, -(-(total or 0) * stride // (2 * seq_len) // shard_bytes))
-    rows = sequences(docs, vocab, key, size, per_doc, low or 0, shards, seq_len)
+    rows = sequences(docs, vocab, key, size, per_doc, low or 0, shards, seq_len, nulls)
     filesystem(path)[0].create_dir(filesystem(path)[1], recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +125,8 @@ def materialise(docs: DataFrame, vocab: str, key: str = "epoch-0", seq_len: int
                 part = batch.slice(a, b - a)
                 body = part.column("ids").to_pylist()
                 head = np.zeros(b - a, HEAD)
-                head["doc_id"], head["piece"] = part.column("doc_id").to_numpy(), part.column("piece").to_numpy()
+                head["doc_id"], head["piece"] = part.column("doc_id").fill_null(0).to_numpy(), part.column("piece").to_numpy()
+                head["no_id"] = part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
                 head["n"] = [len(x) // 2 for x in body]
                 out.write(b"".join(h.tobytes() + x.ljust(2 * seq_len, b"\0") for h, x in zip(head, body)))
                 n += b - a
@@ -130,7 +135,7 @@ def materialise(docs: DataFrame, vocab: str, key: str = "epoch-0", seq_len: int
             done.append((now, name, n))
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64()))], ["shard", "file", "n_records"])
 
-    ordered = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order", "doc_id", "piece")
+    ordered = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order", "doc_id", "piece", "ids")
     manifest = save(ordered.mapInArrow(write, "shard int, file string, n_records long"), "manifest")
     # One row per shard: a running total over it is small.
     first = F.coalesce(F.sum("n_records").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -156,8 +161,10 @@ def read_shards(manifest: DataFrame, from_slot: int = 0) -> DataFrame:
                         head = table[:, : HEAD.itemsize].copy().view(HEAD)[:, 0]
                         crc = [zlib.crc32(raw[o : o + 2 * int(k)]) for o, k in zip(range(HEAD.itemsize, len(raw), r["stride"]), head["n"])]
                         place = np.arange(skip, skip + m)
-                        columns = [r["first_slot"] + place, np.full(m, r["shard"], np.int32), place * r["stride"], head["doc_id"], head["piece"], head["n"].astype(np.int64), np.array(crc, np.int64)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "ids_crc32"])
+                        columns = [r["first_slot"] + place, np.full(m, r["shard"], np.int32), place * r["stride"], head["piece"], head["n"].astype(np.int64), np.array(crc, np.int64)]
+                        arrays = [pa.array(np.ascontiguousarray(c)) for c in columns]
+                        arrays.insert(3, pa.array(np.ascontiguousarray(head["doc_id"]), mask=head["no_id"] == 1))
+                        yield pa.RecordBatch.from_arrays(arrays, ["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "ids_crc32"])
                         skip += m
 
     wanted = manifest.filter(F.col("first_slot") + F.col("n_records") > from_slot).select("shard", "path", "n_records", "first_slot", "stride")
