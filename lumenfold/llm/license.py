@@ -78,8 +78,10 @@ FORMS = [
     (r"licen[sc]e (?:is )?(?:{n})", 0.7),
 ]
 
-# Words without which no rule and no base phrase can match; most texts end here.
-PREFILTER = r"(?i)licen[sc]|spdx|\bunder\b|\bcc\b|subject to|governed by|covered by|according to"
+# Words without which no rule and no base phrase can match; most texts end here.  LOOSE reads raw texts and spares them
+# being cut into words: it holds wherever PREFILTER, which reads the words, does.
+LOOSE = r"(?i)licen[sc]|spdx|under|cc|subject|governed|covered|according"
+PREFILTER = r"licen[sc]| spdx | under | cc | subject to | governed by | covered by | according to "
 
 
 def rules() -> list[dict]:
@@ -150,8 +152,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     joined = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), GAP, " ")), F.lit(" "))
-    out = docs.withColumns({"n_words": F.regexp_count(text, F.lit(WORD)).cast("long"), "_words": F.when(F.regexp_like(text, F.lit(PREFILTER)), joined)})
+    out = docs.withColumns({"n_words": F.regexp_count(text, F.lit(WORD)).cast("long"), "_words": F.when(F.regexp_like(text, F.lit(LOOSE)), joined)})
     words = F.col("_words")
+    out = out.withColumn("_words", F.when(F.regexp_like(words, F.lit(PREFILTER)), words))
     base = F.flatten(F.array(*[_phrase(words, phrase, label) for phrase, label in BASE.items()]))
     by_keyword: dict[str, list[dict]] = {}
     for r in rules():
