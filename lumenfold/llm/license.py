@@ -8,6 +8,9 @@ priority stays.  A text's detections are found row by row, without a shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,53 +21,54 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Phrases that every scan reports, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Families: label, keyword that a text must hold, and the license's names over blank-separated lower-case words.
+# Families: label, beginnings of words of which a text must hold one (each name has one of them), and the license's
+# names over blank-separated lower-case words.
 FAMILIES = [
-    ("mit", "mit", r"mit|expat|mit x11"),
-    ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? v?1 1"),
-    ("apache-2", "apache", r"apache(?: software)?(?: licen[sc]e)?(?: version)? v?2(?: 0)?|apache2|asl 2 0"),
-    ("bsd-2-clause", "bsd", r"bsd 2 clause|2 clause bsd|simplified bsd|freebsd"),
-    ("bsd-3-clause", "bsd", r"bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd"),
-    ("bsd-4-clause", "bsd", r"bsd 4 clause|4 clause bsd|original bsd|old bsd"),
-    ("bsd", "bsd", r"bsd(?: style)?|berkeley software distribution"),
-    ("0bsd", "bsd", r"0bsd|bsd zero clause|zero clause bsd"),
-    ("gpl-1", "g", r"gpl v?1(?: 0)?|gnu general public licen[sc]e(?: version)? v?1"),
-    ("gpl-2", "g", r"gpl v?2(?: 0)?|gplv2|gnu general public licen[sc]e(?: version)? v?2|gnu gpl(?: version)? v?2"),
-    ("gpl-3", "g", r"gpl v?3(?: 0)?|gplv3|gnu general public licen[sc]e(?: version)? v?3|gnu gpl(?: version)? v?3"),
-    ("gpl", "g", r"gnu gpl|gpl|gnu general public"),
-    ("lgpl-2.1", "l", r"lgpl v?2 1|lgplv2 1|gnu lesser general public licen[sc]e(?: version)? v?2 1"),
-    ("lgpl-3", "l", r"lgpl v?3(?: 0)?|lgplv3|gnu lesser general public licen[sc]e(?: version)? v?3"),
-    ("lgpl", "l", r"gnu lgpl|lgpl|gnu lesser general public|gnu library general public"),
-    ("agpl-3", "a", r"agpl v?3(?: 0)?|agplv3|gnu affero general public licen[sc]e(?: version)? v?3"),
-    ("agpl", "a", r"gnu agpl|agpl|gnu affero general public|affero general public"),
-    ("mpl-1.1", "m", r"mpl 1 1|mozilla public licen[sc]e(?: version)? v?1 1"),
-    ("mpl-2", "m", r"mpl v?2(?: 0)?|mozilla public licen[sc]e(?: version)? v?2(?: 0)?"),
-    ("mpl", "m", r"mozilla public|mpl"),
-    ("epl-1", "e", r"epl 1 0|eclipse public licen[sc]e(?: version)? v?1(?: 0)?"),
-    ("epl-2", "e", r"epl 2 0|eclipse public licen[sc]e(?: version)? v?2(?: 0)?"),
-    ("cddl", "c", r"cddl(?: v?1 [01])?|common development and distribution"),
-    ("eupl", "e", r"eupl(?: v?1 [12])?|european union public"),
-    ("isc", "isc", r"isc|internet systems consortium"),
+    ("mit", "mit|expat", r"mit|expat|mit x11"),
+    ("apache-1.1", "apache|asl", r"apache(?: software)?(?: license)?(?: version)? v?1 1"),
+    ("apache-2", "apache|asl", r"apache(?: software)?(?: licen[sc]e)?(?: version)? v?2(?: 0)?|apache2|asl 2 0"),
+    ("bsd-2-clause", "bsd|freebsd|0bsd|berkeley", r"bsd 2 clause|2 clause bsd|simplified bsd|freebsd"),
+    ("bsd-3-clause", "bsd|freebsd|0bsd|berkeley", r"bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd"),
+    ("bsd-4-clause", "bsd|freebsd|0bsd|berkeley", r"bsd 4 clause|4 clause bsd|original bsd|old bsd"),
+    ("bsd", "bsd|freebsd|0bsd|berkeley", r"bsd(?: style)?|berkeley software distribution"),
+    ("0bsd", "bsd|freebsd|0bsd|berkeley", r"0bsd|bsd zero clause|zero clause bsd"),
+    ("gpl-1", "gpl|gnu", r"gpl v?1(?: 0)?|gnu general public licen[sc]e(?: version)? v?1"),
+    ("gpl-2", "gpl|gnu", r"gpl v?2(?: 0)?|gplv2|gnu general public licen[sc]e(?: version)? v?2|gnu gpl(?: version)? v?2"),
+    ("gpl-3", "gpl|gnu", r"gpl v?3(?: 0)?|gplv3|gnu general public licen[sc]e(?: version)? v?3|gnu gpl(?: version)? v?3"),
+    ("gpl", "gpl|gnu", r"gnu gpl|gpl|gnu general public"),
+    ("lgpl-2.1", "lgpl|gnu", r"lgpl v?2 1|lgplv2 1|gnu lesser general public licen[sc]e(?: version)? v?2 1"),
+    ("lgpl-3", "lgpl|gnu", r"lgpl v?3(?: 0)?|lgplv3|gnu lesser general public licen[sc]e(?: version)? v?3"),
+    ("lgpl", "lgpl|gnu", r"gnu lgpl|lgpl|gnu lesser general public|gnu library general public"),
+    ("agpl-3", "agpl|gnu|affero", r"agpl v?3(?: 0)?|agplv3|gnu affero general public licen[sc]e(?: version)? v?3"),
+    ("agpl", "agpl|gnu|affero", r"gnu agpl|agpl|gnu affero general public|affero general public"),
+    ("mpl-1.1", "mpl|mozilla", r"mpl 1 1|mozilla public licen[sc]e(?: version)? v?1 1"),
+    ("mpl-2", "mpl|mozilla", r"mpl v?2(?: 0)?|mozilla public licen[sc]e(?: version)? v?2(?: 0)?"),
+    ("mpl", "mpl|mozilla", r"mozilla public|mpl"),
+    ("epl-1", "epl|eclipse", r"epl 1 0|eclipse public licen[sc]e(?: version)? v?1(?: 0)?"),
+    ("epl-2", "epl|eclipse", r"epl 2 0|eclipse public licen[sc]e(?: version)? v?2(?: 0)?"),
+    ("cddl", "cddl|common", r"cddl(?: v?1 [01])?|common development and distribution"),
+    ("eupl", "eupl|european", r"eupl(?: v?1 [12])?|european union public"),
+    ("isc", "isc|internet systems", r"isc|internet systems consortium"),
     ("zlib", "zlib", r"zlib(?: libpng)?"),
-    ("bsl-1", "boost", r"boost software(?: licen[sc]e)?(?: version)?(?: v?1 0)?|bsl 1 0"),
+    ("bsl-1", "boost|bsl", r"boost software(?: licen[sc]e)?(?: version)?(?: v?1 0)?|bsl 1 0"),
     ("unlicense", "unlicense", r"unlicense"),
-    ("wtfpl", "w", r"wtfpl|do what the fuck you want to public"),
+    ("wtfpl", "wtfpl|do what", r"wtfpl|do what the fuck you want to public"),
     ("artistic-2", "artistic", r"artistic(?: licen[sc]e)? 2(?: 0)?"),
     ("artistic", "artistic", r"perl artistic|artistic"),
-    ("ofl-1.1", "o", r"ofl(?: v?1 1)?|sil open font"),
-    ("psf-2", "p", r"psf|python software foundation"),
+    ("ofl-1.1", "ofl|sil", r"ofl(?: v?1 1)?|sil open font"),
+    ("psf-2", "psf|python", r"psf|python software foundation"),
     ("postgresql", "postgresql", r"postgresql"),
     ("ncsa", "ncsa", r"ncsa|university of illinois ncsa(?: open source)?"),
-    ("ms-pl", "m", r"ms pl|microsoft public"),
-    ("cc0", "c", r"cc0(?: 1 0)?(?: universal)?|creative commons zero"),
-    ("cc-by-nc-nd", "c", r"cc by nc nd(?: [1-4] [05])?|creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: works)?(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "c", r"cc by nc sa(?: [1-4] [05])?|creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?"),
-    ("cc-by-nc", "c", r"cc by nc(?: [1-4] [05])?|creative commons attribution non ?commercial(?: [1-4] [05])?"),
-    ("cc-by-nd", "c", r"cc by nd(?: [1-4] [05])?|creative commons attribution no ?deriv(?:ative)?s(?: works)?(?: [1-4] [05])?"),
-    ("cc-by-sa", "c", r"cc by sa(?: [1-4] [05])?|creative commons attribution share ?alike(?: [1-4] [05])?"),
-    ("cc-by", "c", r"cc by(?: [1-4] [05])?|creative commons attribution(?: [1-4] [05])?"),
-    ("odbl", "o", r"odbl(?: v?1 0)?|open database"),
-    ("public-domain", "public", r"public domain"),
+    ("ms-pl", "ms pl|microsoft", r"ms pl|microsoft public"),
+    ("cc0", "cc|creative", r"cc0(?: 1 0)?(?: universal)?|creative commons zero"),
+    ("cc-by-nc-nd", "cc|creative", r"cc by nc nd(?: [1-4] [05])?|creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: works)?(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "cc|creative", r"cc by nc sa(?: [1-4] [05])?|creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?"),
+    ("cc-by-nc", "cc|creative", r"cc by nc(?: [1-4] [05])?|creative commons attribution non ?commercial(?: [1-4] [05])?"),
+    ("cc-by-nd", "cc|creative", r"cc by nd(?: [1-4] [05])?|creative commons attribution no ?deriv(?:ative)?s(?: works)?(?: [1-4] [05])?"),
+    ("cc-by-sa", "cc|creative", r"cc by sa(?: [1-4] [05])?|creative commons attribution share ?alike(?: [1-4] [05])?"),
+    ("cc-by", "cc|creative", r"cc by(?: [1-4] [05])?|creative commons attribution(?: [1-4] [05])?"),
+    ("odbl", "odbl|open database", r"odbl(?: v?1 0)?|open database"),
+    ("public-domain", "public domain", r"public domain"),
 ]
 
 # What a rule says around a license's name, with the rule's confidence; earlier ones have the better priority.
@@ -88,8 +92,8 @@ def rules() -> list[dict]:
     """Every family in every form, in order of priority (lower is better): the form first, then the family's place."""
     out = []
     for i, (form, confidence) in enumerate(FORMS):
-        for j, (label, keyword, names) in enumerate(FAMILIES):
-            out.append({"label": label, "keyword": keyword, "priority": 1 + i * len(FAMILIES) + j, "confidence": confidence, "regex": f" (?:{form.replace('{n}', names)})(?= )"})
+        for j, (label, keywords, names) in enumerate(FAMILIES):
+            out.append({"label": label, "keywords": tuple(keywords.split("|")), "priority": 1 + i * len(FAMILIES) + j, "confidence": confidence, "regex": f" (?:{form.replace('{n}', names)})(?= )"})
     return out
 
 
@@ -156,10 +160,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
     words = F.col("_words")
     out = out.withColumn("_words", F.when(F.regexp_like(words, F.lit(PREFILTER)), words))
     base = F.flatten(F.array(*[_phrase(words, phrase, label) for phrase, label in BASE.items()]))
-    by_keyword: dict[str, list[dict]] = {}
+    by_keywords: dict[tuple[str, ...], list[dict]] = {}
     for r in rules():
-        by_keyword.setdefault(r["keyword"], []).append({k: r[k] for k in ("regex", "priority", "label", "confidence")})
-    families = [F.when(F.contains(words, F.lit(f" {k}")), _detect(words, _literal(rows))).otherwise(F.array().cast(DETECTIONS)) for k, rows in by_keyword.items()]
+        by_keywords.setdefault(r["keywords"], []).append({k: r[k] for k in ("regex", "priority", "label", "confidence")})
+    opened = lambda keys: reduce(or_, [F.contains(words, F.lit(f" {k}")) for k in keys])
+    families = [F.when(opened(keys), _detect(words, _literal(rows))).otherwise(F.array().cast(DETECTIONS)) for keys, rows in by_keywords.items()]
     no_base = F.array().cast("array<struct<start:int,stop:int,label:string>>")
     found = F.when(words.isNotNull(), F.flatten(F.array(*families))).otherwise(F.array().cast(DETECTIONS))
     out = out.withColumns({"base": F.when(words.isNotNull(), base).otherwise(no_base), "_found": found})

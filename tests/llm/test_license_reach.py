@@ -28,3 +28,38 @@ def test_rules_do_not_depend_on_separators(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = rows(license.license_labels(df))
     assert [(t, got[i]["labels"]) for i, (t, _) in enumerate(cases)] == cases
+
+
+def spellings(names):
+    """Every alternative of a family's regular expression, in its shortest and its longest form."""
+    from re import _parser as parser
+
+    def out(tree, most):
+        texts = [""]
+        for op, arg in tree:
+            kind = str(op)
+            if kind == "LITERAL":
+                more = [chr(arg)]
+            elif kind == "IN":
+                more = [chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else chr(arg[0][1][0])]
+            elif kind == "BRANCH":
+                more = [x for branch in arg[1] for x in out(branch, most)]
+            elif kind == "SUBPATTERN":
+                more = out(arg[-1], most)
+            else:
+                assert kind == "MAX_REPEAT"
+                more = out(arg[2], most) if (arg[1] if most else arg[0]) else [""]
+            texts = [a + b for a in texts for b in more]
+        return texts
+
+    tree = parser.parse(f"(?:{names})")
+    return sorted({x for most in (False, True) for x in out(tree, most)})
+
+
+def test_every_name_is_found_in_every_form(spark):
+    forms = ["SPDX-License-Identifier: {}", "licensed under the {}", "released under the {}", "governed by the {}", "under the {}", "{} license", "license is {}"]
+    cases = [(label, form.format(name)) for label, _, names in license.FAMILIES for name in spellings(names) for form in forms]
+    assert len(cases) > 1000 and ("mit", "licensed under the expat") in cases and ("bsl-1", "bsl 1 0 license") in cases
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string").repartition(4)
+    got = rows(license.license_labels(df))
+    assert [c for i, c in enumerate(cases) if c[0] not in got[i]["labels"].split(",")] == []
