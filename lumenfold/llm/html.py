@@ -5,6 +5,8 @@ host it stands, and subtrees that recur on many of them are templates and go.  W
 header, footer, sidebar, notice, advert, form or comment goes as well, and the text of the rest is cut into blocks.
 
 A page's article (the `article` or `main` element) is never a template: copies of an article on one host are content.
+Containers inside it (`div`, `ul` and so on) are templates if they recur with many different articles of the host; copies
+of an article count as one, told by their longest text beside the container.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ BLOCK = frozenset(
     " legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"option", "legend", "html", "body"}
+CONTAINERS = frozenset("div section ul ol dl table details address".split())
+INSIDE = 0x5BD1E9955BD1E995  # names of subtrees inside an article are kept apart from those outside
 GONE = RAW | frozenset("head nav header footer aside form menu dialog button label fieldset audio video canvas datalist".split())
 
 _BOILERPLATE = re.compile(
@@ -148,19 +152,89 @@ def candidates(node: Node, inside: bool = False) -> set[int]:
     return out
 
 
-def blocks(root: Node, templates: set[int] | frozenset[int]) -> list[str]:
-    """Text blocks of the article, or of the page if it names none, in page order."""
-    articles: list[Node] = []
+def articles_of(root: Node) -> list[Node]:
+    """The outermost article and main elements."""
+    out: list[Node] = []
 
     def find(x: Node) -> None:
         for y in x.items:
             if not isinstance(y, str) and not named_boilerplate(y):
                 if y.tag in ("article", "main"):
-                    articles.append(y)
+                    out.append(y)
                 else:
                     find(y)
 
     find(root)
+    return out
+
+
+def sections(article: Node) -> tuple[list[tuple[int, str, int]], list[tuple[int, int, int, tuple[int, ...]]]]:
+    """Text blocks (length, text, container), and containers: name, first block, block after the last, itself and those around it."""
+    texts: list[tuple[int, str, int]] = []
+    found: list[tuple[int, int, int, tuple[int, ...]]] = []
+    now: list[str] = []
+    serial = 0
+
+    def flush(owner: int) -> None:
+        if now:
+            text = _SPACE.sub(" ", "".join(now)).strip()
+            if text:
+                texts.append((len(text), text, owner))
+            now.clear()
+
+    def walk(x: Node, around: tuple[int, ...]) -> bool:
+        nonlocal serial
+        holds = False
+        for y in x.items:
+            if isinstance(y, str):
+                now.append(y)
+                continue
+            if named_boilerplate(y):
+                continue
+            if y.tag in BLOCK:
+                flush(around[-1])
+            own, a = around, len(texts)
+            if y.tag in CONTAINERS:
+                serial += 1
+                own = (*around, serial)
+            inner = walk(y, own)
+            if y.tag in BLOCK:
+                flush(own[-1])
+            if own is not around and not inner and len(texts) > a:
+                found.append((y.name, a, len(texts), around))
+            holds = holds or inner or y.tag in ("article", "main")
+        return holds
+
+    walk(article, (0,))
+    flush(0)
+    return texts, found
+
+
+def inside(root: Node) -> tuple[list[tuple[int, int, int]], set[int]]:
+    """Containers inside the page's articles as (kind, key of the article, name), and the articles' keys.
+
+    A key is the hash of the longest text outside the container: of kind 1 among the texts that stand directly in the
+    article or in a container around it, of kind 2 among all.  A container without any text beside it is the article.
+    """
+    rows: set[tuple[int, int, int]] = set()
+    keys: set[int] = set()
+    key = lambda best: xxhash.xxh3_64_intdigest(best[1]) - 2**63
+    for article in articles_of(root):
+        texts, found = sections(article)
+        if texts:
+            keys.add(key(max(texts)))
+        for name, a, b, around in found:
+            rest = texts[:a] + texts[b:]
+            near = [t for t in rest if t[2] in around]
+            for kind, some in ((1, near), (2, rest)):
+                if some:
+                    rows.add((kind, key(max(some)), name ^ INSIDE))
+    return list(rows), keys
+
+
+def blocks(root: Node, templates: set[int] | frozenset[int]) -> list[str]:
+    """Text blocks of the article, or of the page if it names none, in page order."""
+    articles = articles_of(root)
     out: list[str] = []
     now: list[str] = []
 
@@ -177,7 +251,7 @@ def blocks(root: Node, templates: set[int] | frozenset[int]) -> list[str]:
                 now.append(y)
             elif y.tag in ("br", "wbr", "img"):
                 now.append(" " if y.tag == "br" else "")
-            elif not named_boilerplate(y) and (in_article or y.name not in templates):
+            elif not named_boilerplate(y) and (y.name ^ INSIDE if in_article else y.name) not in templates:
                 if y.tag in BLOCK:
                     flush()
                 walk(y, in_article or y.tag in ("article", "main"))
@@ -193,23 +267,27 @@ def blocks(root: Node, templates: set[int] | frozenset[int]) -> list[str]:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch, "html"):
-            host, page, name = [], [], []
+            rows: list[tuple[str, int, int, int | None]] = []
             for h, text in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                 root = tree(text)
                 name_subtrees(root)
-                mine = candidates(root)
-                host += [h] * len(mine)
-                page += [root.name] * len(mine)
-                name += mine
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(name, pa.int64())], ["host", "page", "name"])
+                rows += [(h, 0, root.name, x) for x in candidates(root)]
+                within, keys = inside(root)
+                rows += [(h, *x) for x in within]
+                rows += [(h, 1, k, None) for k in keys]  # without a name: to count the host's articles
+            host, kind, page, name = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(kind, pa.int32()), pa.array(page, pa.int64()), pa.array(name, pa.int64())], ["host", "kind", "page", "name"])
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host and name of the subtrees that stand on many different pages of the host."""
-    seen = pages.mapInArrow(_rows, "host string, page long, name long")
-    counted = seen.groupBy("host", "name", "page").agg(F.lit(1).alias("one")).groupBy("host", "name").agg(F.count("*").alias("pages"))
+    """host and name of the subtrees that stand on many different pages of the host, or in many different articles."""
+    seen = pages.mapInArrow(_rows, "host string, kind int, page long, name long")
+    counted = seen.groupBy("host", "kind", "name", "page").agg(F.lit(1).alias("one")).groupBy("host", "kind", "name").agg(F.count("*").alias("pages"))
+    counted = save(counted.filter((F.col("pages") >= min_pages) | F.col("name").isNull()), "counted")
     total = pages.groupBy("host", F.xxhash64("html").alias("page")).agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("all"))
-    return counted.filter(F.col("pages") >= min_pages).join(total, "host").filter(F.col("pages") >= F.col("all") * min_share).select("host", "name")
+    total = total.withColumn("within", F.lit(False)).unionByName(counted.filter("name is null").select("host", F.col("pages").alias("all"), F.lit(True).alias("within")))
+    named = counted.filter("name is not null").withColumn("within", F.col("kind") > 0).join(total, ["host", "within"])
+    return named.filter(F.col("pages") >= F.col("all") * min_share).select("host", "name").distinct()
 
 
 def _extract(known):
@@ -257,7 +335,7 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page_id, host, text in zip(*(batch.column(c).to_pylist() for c in ("page_id", "host", "html"))):
             root = tree(text)
             name_subtrees(root)
-            mine = candidates(root)
+            mine = candidates(root) | {x[2] for x in inside(root)[0]}
             ids += [page_id] * len(mine)
             hosts += [host] * len(mine)
             names += mine
