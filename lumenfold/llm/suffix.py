@@ -1,11 +1,11 @@
-"""Repeated passages by sparse prefix doubling.
+"""Repeated passages by anchored hashing, in place of prefix doubling.
 
 A byte goes if a string of `width` bytes (200) that covers it starts anywhere else.  Ranking every position of a corpus
 at every doubling would write many times the input, so the suffixes are sampled: in each window of `width` bytes the
 position with the least hash is its anchor, and equal windows have equal anchors.  About one position in 65 stays.
 
-Anchors are then ranked by longer and longer strings around them, as prefix doubling does: a rank is the hash of the
-string, Spark counts equal (position, rank) pairs, positions whose rank is unique leave, and ranks past the threshold
+Anchors are then ranked by longer and longer strings around them; unlike in prefix doubling, a rank is the hash of the
+whole string and not made from earlier ranks: Spark counts equal (position, rank) pairs, positions whose rank is unique leave, and ranks past the threshold
 are settled.
 
 1. Core: the `core` bytes after the anchor.  Unique: no window of this anchor repeats.
