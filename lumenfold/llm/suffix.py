@@ -5,8 +5,8 @@ at every doubling would write many times the input, so the suffixes are sampled:
 position with the least hash is its anchor, and equal windows have equal anchors.  About one position in 65 stays.
 
 Anchors are then ranked by longer and longer strings around them; unlike in prefix doubling, a rank is the hash of the
-whole string and not made from earlier ranks: Spark counts equal (position, rank) pairs, positions whose rank is unique leave, and ranks past the threshold
-are settled.
+whole string and not made from earlier ranks: Spark counts equal (position, rank) pairs, positions whose rank is unique
+leave, and ranks past the threshold are settled.
 
 1. Core: the `core` bytes after the anchor.  Unique: no window of this anchor repeats.
 2. Span: all windows of the anchor together.  Not unique: all of them repeat, and equal spans need one speaker.
