@@ -1,38 +1,42 @@
-"""Repeated passages by anchored hashing, in place of prefix doubling.
+"""Repeated passages by prefix doubling over sampled positions.
 
 A byte goes if a string of `width` bytes (200) that covers it starts anywhere else.  Ranking every position of a corpus
-at every doubling would write many times the input, so the suffixes are sampled: in each window of `width` bytes the
-position with the least hash is its anchor, and equal windows have equal anchors.  About one position in 65 stays.
-
-Anchors are then ranked by longer and longer strings around them; unlike in prefix doubling, a rank is the hash of the
-whole string and not made from earlier ranks: Spark counts equal (position, rank) pairs, positions whose rank is unique
-leave, and ranks past the threshold are settled.
-
-1. Core: the `core` bytes after the anchor.  Unique: no window of this anchor repeats.
-2. Span: all windows of the anchor together.  Not unique: all of them repeat, and equal spans need one speaker.
-3. The rest compare each of their windows inside the group that shares a core.  Groups over `hot` rows are first ranked
-   again by longer cores (blocks of windows), then by whole windows, with counts only, so no task gets a large group.
-
-All choices depend on content alone, so the result is exact but for 64-bit collisions inside a group of equal cores.
+in every round would write many times the input, so the positions are sampled: in each window of `width` bytes the one
+with the least hash is its anchor, and equal windows have equal anchors.  About one position in 65 stays, and it answers
+for the `reach` windows (160 at most) that begin up to `reach` - 1 bytes before it.
+
+Positions are ranked by longer and longer strings, and Spark counts the (position, rank) pairs:
+
+1. The first rank is that of the `core` bytes (41) at the anchor, which all of its windows hold.  Where it is unique, no
+   window repeats, and the position leaves.
+2. The bytes of all its windows together are its span.  Where the span repeats, all windows do, and the position is
+   settled; one position stays for each span, for others to be compared with.
+3. In a round every position in a large group gives two with half the reach: one whose string goes on to the right, one
+   whose string goes on to the left.  The new rank is that of the pair (old rank, bytes at the offset).  Unique ranks
+   leave, repeated spans are settled.  After at most eight rounds strings have `width` bytes and are past the threshold.
+4. Groups of at most `group` positions need no more rounds: their windows are compared with each other in one task.
+
+All choices depend on content alone, so the result is exact but for collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .bpe import sha256_hex, text_slices
+from .bpe import text_slices
 from .common import drop_table, save, small_batches
 
 WIDTH = 200
 CORE = 41
-HOT = 4096
-BLOCK = 20
+GROUP = 512
 CHUNK = 1 << 18
 _POS = np.uint64(24)
 _MASK = np.uint64((1 << 24) - 1)
@@ -124,18 +128,46 @@ def _contexts(width: int, core: int):
                 for x in places:
                     p = x["pos"]
                     left = min(p, reach - 1)
-                    out.append((x["key"], x["subject"], x["hot"], doc, th, p, left, data[p - left : p + width]))
+                    out.append((x["key"], x["subject"], x["large"], doc, th, p, left, data[p - left : p + width]))
             for a in range(0, len(out), 2000):
                 some = out[a : a + 2000]
                 types = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], t) for i, t in enumerate(types)], ["key", "subject", "hot", "doc", "th", "pos", "left", "around"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], t) for i, t in enumerate(types)], ["key", "subject", "large", "doc", "th", "pos", "left", "around"])
+
+    return run
+
+
+def _halves(width: int, reach: int):
+    """Each position to those of half its reach: the string grows to the right, or the position and the string to the left."""
+    half = (reach + 1) // 2
+    step, size = reach - half, width - reach + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            out = []
+            for i, (key, left, x) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "left", "around")))):
+                for shift in (0, step) if step else (0,):
+                    # Windows back from the new position: from `first`, what the text's end leaves, to `most`.
+                    at = left - shift
+                    first, most = max(0, at + width - len(x)), min(at, half - 1)
+                    if first > most:
+                        continue
+                    grown = x[at : at + step] if shift else x[at + size : at + size + step]
+                    rank = digest(grown, seed=(key * 2 + bool(shift)) % 2**64)
+                    out.append((i, rank, digest(x[at - most : at - first + width], seed=first * 1000 + most), -shift, most, x[at - most : at + width]))
+            at = pa.array([r[0] for r in out], pa.int64())
+            doc, th, pos, subject = (batch.column(c).take(at) for c in ("doc", "th", "pos", "subject"))
+            moved = pa.array(pos.to_numpy() + np.array([r[3] for r in out], np.int64))
+            new = [_signed([r[1] for r in out]), _signed([r[2] for r in out]), doc, th, moved, subject, pa.array([r[4] for r in out], pa.int32()), pa.array([r[5] for r in out], pa.binary())]
+            yield pa.RecordBatch.from_arrays(new, ["key", "span", "doc", "th", "pos", "subject", "left", "around"])
 
     return run
 
 
-def _repeats(keys: np.ndarray, around: list[bytes], left: np.ndarray, width: int, core: int) -> np.ndarray:
-    """rows x windows: whether another row with the same key has the same window, counted back from the anchor."""
-    reach, n = width - core + 1, len(keys)
+def _repeats(keys: np.ndarray, around: list[bytes], left: np.ndarray, width: int, reach: int) -> np.ndarray:
+    """rows x windows: whether another row with the same key has the same window, counted back from the position."""
+    core, n = width - reach + 1, len(keys)
     table = np.zeros((n, reach - 1 + width), np.uint8)
     for i, (a, x) in enumerate(zip(left.tolist(), around)):
         table[i, reach - 1 - a : reach - 1 - a + len(x)] = np.frombuffer(x, np.uint8)
@@ -173,14 +205,17 @@ def _runs(flags: np.ndarray, pos: np.ndarray, width: int) -> tuple[np.ndarray, n
 INTERVALS = "doc long, th int, start long, stop long"
 
 
-def _local(width: int, core: int):
-    def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, left, pos = (batch.column(c).to_numpy() for c in ("key", "left", "pos"))
-        flags = _repeats(keys, batch.column("around").to_pylist(), left.astype(np.int64), width, core)
-        flags[~batch.column("subject").to_numpy(zero_copy_only=False)] = False
-        row, start, stop = _runs(flags, pos, width)
-        at = pa.array(row)
-        return pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("th").take(at), pa.array(start), pa.array(stop)], ["doc", "th", "start", "stop"])
+def _local(width: int):
+    def settle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        reaches = batch.column("reach").to_numpy()
+        for reach in np.unique(reaches).tolist():
+            part = batch.filter(pa.array(reaches == reach))
+            keys, left, pos = (part.column(c).to_numpy() for c in ("key", "left", "pos"))
+            flags = _repeats(keys, part.column("around").to_pylist(), left.astype(np.int64), width, reach)
+            flags[~part.column("subject").to_numpy(zero_copy_only=False)] = False
+            row, start, stop = _runs(flags, pos, width)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part.column("doc").take(at), part.column("th").take(at), pa.array(start), pa.array(stop)], ["doc", "th", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -193,59 +228,19 @@ def _local(width: int, core: int):
             key = batch.column("key").to_numpy()
             last = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
             if rows >= 4000 and last:
-                table = pa.Table.from_batches([*held[:-1], batch.slice(0, last)]).combine_chunks().to_batches()
-                yield from map(settle, table)
+                for table in pa.Table.from_batches([*held[:-1], batch.slice(0, last)]).combine_chunks().to_batches():
+                    yield from settle(table)
                 held = [batch.slice(last)]
                 rows = len(held[0])
         if held:
-            yield from map(settle, pa.Table.from_batches(held).combine_chunks().to_batches())
+            for table in pa.Table.from_batches(held).combine_chunks().to_batches():
+                yield from settle(table)
 
     return run
 
 
-def _blocks(width: int, core: int, block: int):
-    """One row per block of windows that lies in the text: its core and its span."""
-    reach = width - core + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            out = []
-            for i, (left, x) in enumerate(zip(batch.column("left").to_pylist(), batch.column("around").to_pylist())):
-                for lo in range(0, reach, block):
-                    # Windows a = lo..hi back from the anchor; at a text's ends some are missing.
-                    a, b = max(lo, left + width - len(x)), min(lo + block - 1, reach - 1, left)
-                    if a <= b:
-                        whole = b - a == min(lo + block, reach) - 1 - lo
-                        out.append((i, lo, digest(x[left - lo : left - lo + width - block + 1], seed=lo) if whole else 0, digest(x[left - b : left - a + width], seed=a * 1000 + b), whole))
-            at = pa.array([r[0] for r in out], pa.int64())
-            kept = [batch.column(c).take(at) for c in ("key", "doc", "th", "pos", "subject")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([r[1] for r in out], pa.int32()), _signed([r[2] for r in out]), _signed([r[3] for r in out]), pa.array([r[4] for r in out], pa.bool_())], ["key", "doc", "th", "pos", "subject", "lo", "core", "span", "whole"])
-
-    return run
-
-
-def _exact(width: int, core: int, block: int):
-    """One row per window of the blocks that are still open."""
-    reach = width - core + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            out = []
-            for i, (left, x, los) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("left", "around", "los")))):
-                for lo in los:
-                    for a in range(max(lo, left + width - len(x)), min(lo + block - 1, reach - 1, left) + 1):
-                        out.append((i, a, digest(x[left - a : left - a + width])))
-            at = pa.array([r[0] for r in out], pa.int64())
-            kept = [batch.column(c).take(at) for c in ("key", "doc", "th", "pos", "subject")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([r[1] for r in out], pa.int32()), _signed([r[2] for r in out])], ["key", "doc", "th", "pos", "subject", "back", "window"])
-
-    return run
-
-
-def repeated_spans(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = HOT) -> DataFrame:
-    """doc, th, start, stop: byte ranges, which may overlap, that strings occurring elsewhere cover.
+def repeated_spans(docs: DataFrame, width: int = WIDTH, core: int = CORE, group: int = GROUP) -> DataFrame:
+    """doc, th, parts: byte ranges (start, stop), which may overlap, that strings occurring elsewhere cover.
 
     `docs` has doc (long), th (a hash of the text) and text, without nulls; doc and th together name a row.
     """
@@ -262,39 +257,40 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: i
     settled = live.join(spans.filter("n > 1").select("key", "span"), ["key", "span"]).select("doc", th.alias("th"), F.greatest(pos - reach + 1, F.lit(0)).alias("start"), (pos + width).alias("stop"))
     settled = save(settled.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("parts")), "settled")
     drop_table(live)
-    # Each different span speaks once, in the groups in which some span is not settled; that one is a subject.
+    # Each different span has one position left, in the groups in which some span is not settled; that one is a subject.
     sizes = spans.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("n") == 1).alias("subjects")).filter("size > 1 and subjects > 0")
-    speakers = spans.join(sizes, "key").select("key", "first.*", (F.col("n") == 1).alias("subject"), (F.col("size") > hot).alias("hot"))
-    places = speakers.select("doc", th.alias("th"), F.struct("key", pos.alias("pos"), "subject", "hot").alias("place")).groupBy("doc", "th").agg(F.collect_list("place").alias("places"))
-    fields = "key long, subject boolean, hot boolean, doc long, th int, pos long, left int, around binary"
-    where = ["doc", "th", "pos"]
-    around = save(docs.join(places, ["doc", "th"]).mapInArrow(_contexts(width, core), fields), "around")
+    sizes = save(sizes.select("key", "size"), "sizes")
+    speakers = spans.join(sizes, "key").select("key", "first.*", (F.col("n") == 1).alias("subject"), (F.col("size") > group).alias("large"))
+    places = speakers.select("doc", th.alias("th"), F.struct("key", pos.alias("pos"), "subject", "large").alias("place")).groupBy("doc", "th").agg(F.collect_list("place").alias("places"))
+    fields = "key long, subject boolean, large boolean, doc long, th int, pos long, left int, around binary"
+    now = save(docs.join(places, ["doc", "th"]).mapInArrow(_contexts(width, core), fields), "around")
     drop_table(spans)
-
-    cool = around.filter(~F.col("hot")).repartition("key").sortWithinPartitions("key")
-    found = [save(cool.mapInArrow(_local(width, core), INTERVALS), "found")]
-
-    warm = around.filter("hot")
-    blocks = save(warm.mapInArrow(_blocks(width, core, BLOCK), "key long, doc long, th int, pos long, subject boolean, lo int, core long, span long, whole boolean"), "blocks")
-    group = ["key", "lo", "span"]
-    by_span = blocks.groupBy(*group).agg(F.count("*").alias("n"), F.min(F.struct(*where)).alias("first"))
-    equal = blocks.filter("subject").join(by_span.filter("n > 1").select(*group), group)
-    at = F.col("pos") - F.col("lo")
-    found.append(save(equal.select("doc", "th", F.greatest(at - F.least(F.lit(BLOCK - 1), F.lit(reach - 1) - F.col("lo")), F.lit(0)).alias("start"), (at + width).alias("stop")), "found"))
-    open_cores = blocks.filter("whole").groupBy("key", "lo", "core").agg(F.count_distinct("span").alias("n")).filter("n > 1").select("key", "lo", "core")
-    lone = blocks.join(by_span.select(*group, "first"), group).filter(F.struct(*where) == F.col("first")).select("key", "doc", "th", "pos", "lo", "core", "whole")
-    still = lone.filter("whole").join(open_cores, ["key", "lo", "core"]).select("key", *where, "lo").unionByName(lone.filter(~F.col("whole")).select("key", *where, "lo"))
-    # A block that a text's end cuts has no core of its own; the whole blocks at its place answer for their windows.
-    cut = lone.filter(~F.col("whole")).select("key", "lo").distinct()
-    still = still.unionByName(lone.filter("whole").join(cut, ["key", "lo"], "left_semi").select("key", *where, "lo")).distinct()
-    los = still.groupBy("key", *where).agg(F.collect_list("lo").alias("los"))
-    windows = save(warm.join(los, ["key", *where]).mapInArrow(_exact(width, core, BLOCK), "key long, doc long, th int, pos long, subject boolean, back int, window long"), "windows")
-    many = windows.groupBy("key", "back", "window").agg(F.count("*").alias("n")).filter("n > 1").select("key", "back", "window")
-    at = F.col("pos") - F.col("back")
-    found.append(save(windows.filter("subject").join(many, ["key", "back", "window"]).select("doc", "th", at.alias("start"), (at + width).alias("stop")), "found"))
-    for table in (around, blocks, windows):
+    drop_table(sizes)
+
+    where, columns = F.struct("doc", "th", "pos"), ["key", "doc", "th", "pos", "subject", "left", "around"]
+    small, found, tables = [now.filter("not large").select(*columns, F.lit(reach).alias("reach"))], [], [now]
+    while reach > 1 and not now.filter("large").isEmpty():
+        halved = now.filter("large").mapInArrow(_halves(width, reach), "key long, span long, doc long, th int, pos long, subject boolean, left int, around binary")
+        reach = (reach + 1) // 2
+        halved = save(halved, "halved")
+        by_span = save(halved.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(where).alias("first"), F.bool_or("subject").alias("subject")), "by_span")
+        equal = halved.filter("subject").join(by_span.filter("n > 1").select("key", "span"), ["key", "span"])
+        found.append(save(equal.select("doc", "th", F.greatest(F.col("pos") - reach + 1, F.lit(0)).alias("start"), (F.col("pos") + width).alias("stop")), "found"))
+        sizes = by_span.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("subject") & (F.col("n") == 1)).alias("subjects"))
+        sizes = save(sizes.filter("size > 1 and subjects > 0").select("key", "size"), "sizes")
+        stay = by_span.join(sizes, "key").select("key", "span", "first", (F.col("n") == 1).alias("lone"), (F.col("size") > group).alias("large"))
+        now = halved.join(stay, ["key", "span"]).filter(where == F.col("first")).withColumn("subject", F.col("subject") & F.col("lone"))
+        now = save(now.select(*columns, "large"), "around")
+        for table in (halved, by_span, sizes):
+            drop_table(table)
+        small.append(now.filter("not large").select(*columns, F.lit(reach).alias("reach")))
+        tables.append(now)
+
+    cool = reduce(DataFrame.unionByName, small).repartition("key").sortWithinPartitions("key")
+    found.append(save(cool.mapInArrow(_local(width), "doc long, th int, start long, stop long"), "found"))
+    for table in tables:
         drop_table(table)
-    one = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))
+    one = reduce(DataFrame.unionByName, found).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))
     return settled.unionByName(one)
 
 
@@ -308,34 +304,38 @@ def _merge(parts, n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, core: int = CORE, hot: int = HOT) -> DataFrame:
+NEW = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
+
+
+def without_repeats(docs: DataFrame, width: int = WIDTH, core: int = CORE, group: int = GROUP) -> DataFrame:
     """Add n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary, the remaining bytes) to every row.
 
-    Keeps all columns of `docs`, which needs doc_id and text.  A null text counts as empty.  Repeated rows count as
-    occurrences of each other, so a text of at least `width` bytes that occurs twice goes whole; shorter ones stay.
+    `docs` needs doc_id and text; of its further columns those of the names above are replaced and all others kept.  A
+    null text counts as empty.  Repeated rows, with or without an id, count as occurrences of each other, so a text of
+    at least `width` bytes that occurs twice goes whole; shorter ones stay.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "_th": F.hash(text)})
-    rows = keyed.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), text.alias("text"))
-    spans = repeated_spans(rows, width, core, hot).groupBy("doc", "th").agg(F.flatten(F.collect_list("parts")).alias("_parts"))
-    joined = keyed.join(spans.withColumnsRenamed({"doc": "_doc", "th": "_th"}), ["_doc", "_th"], "left").drop("_doc", "_th")
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() not in NEW]
+    # A row without an id is named by its text alone; rows equal in text get equal ranges.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce("doc_id", F.xxhash64(text)).alias("doc"), F.hash(text).alias("th"), text.alias("text"))
+    spans = repeated_spans(keyed.select("doc", "th", "text"), width, core, group).groupBy("doc", "th").agg(F.flatten(F.collect_list("parts")).alias("parts"))
+    joined = keyed.join(spans, ["doc", "th"], "left").select("row", F.when(F.col("parts").isNotNull(), F.col("text")).alias("text"), F.octet_length("text").cast("long").alias("n"), "parts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for data, parts in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_parts").to_pylist()):
-                data = data or b""
-                runs = _merge(parts or (), len(data))
-                edges = [0, *(x for r in runs for x in r), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])) if runs else data
-                out.append((len(data), len(data) - len(kept), len(runs), kept))
-            new = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", n_bytes long, n_removed long, n_spans long, kept binary"
-    return joined.mapInArrow(cut, schema)
+            for data, n, parts in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("n").to_pylist(), batch.column("parts").to_pylist()):
+                runs = _merge(parts or (), n)
+                edges = [0, *(x for r in runs for x in r), n]
+                out.append((n, sum(b - a for a, b in runs), len(runs), None if data is None else b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))))
+            new = [pa.array([r[i] for r in out], t) for i, t in enumerate(NEW.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *new], ["row", *NEW])
+
+    new = [StructField(c, BinaryType() if c == "kept" else LongType()) for c in NEW]
+    done = joined.mapInArrow(cut, StructType([joined.schema["row"], *new]))
+    whole = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
+    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "n_bytes", "n_removed", "n_spans", F.coalesce("kept", whole).alias("kept"))
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:

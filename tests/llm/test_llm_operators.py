@@ -222,14 +222,43 @@ def brute_repeats(texts, width=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_suffix_dedup_equals_brute_force(docs, texts, hot):
-    got = rows(suffix.without_repeats(docs, hot=hot))
+@pytest.mark.parametrize("group", [512, 1])
+def test_suffix_dedup_equals_brute_force(docs, texts, group):
+    got = rows(suffix.without_repeats(docs, group=group))
     want = brute_repeats(texts)
     assert {k: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for k, r in got.items()} == want
     assert sum(w[1] for w in want.values()) > 1000
 
 
+def test_a_large_group_that_shares_a_core(spark):
+    """Thousands of texts with one passage of 60 to 260 bytes, of which their neighbours add some bytes by chance."""
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=260))
+    noise = lambda n: "".join(rng.choices("ABC", k=n))
+    texts = {}
+    for i in range(3000):
+        a, n = rng.choice([0, 0, 30, 60]), rng.choice([60, 140, 170, 198, 199, 200])
+        texts[i] = noise(rng.randint(0, 120)) + passage[a : a + n] + noise(rng.randint(0, 120))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = rows(suffix.without_repeats(df, group=64))
+    want = brute_repeats(texts)
+    assert {k: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for k, r in got.items()} == want
+    assert 0 < sum(w[1] > 0 for w in want.values()) < 3000
+
+
+def test_suffix_dedup_keeps_other_columns(spark):
+    """Clashing names are replaced, all others stay; rows without an id and repeated rows are judged like others."""
+    line = "".join(random.Random(2).choices("abcdefgh ", k=300))
+    data = [(None, line, 1, "a"), (None, line[:250], 2, "b"), (None, "short", 3, "c"), (None, None, 4, "d"), (7, line + "x", 5, "e"), (7, line + "x", 5, "e")]
+    df = spark.createDataFrame(data, "doc_id long, text string, n_bytes int, `a b` string")
+    df = df.withColumns({c: F.lit(1) for c in ("kept", "_doc", "_th", "_parts", "row", "span", "N_SPANS")})
+    out = suffix.without_repeats(df)
+    assert out.columns == ["doc_id", "text", "a b", "_doc", "_th", "_parts", "row", "span", "n_bytes", "n_removed", "n_spans", "kept"]
+    got = {(r["a b"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in out.collect()}
+    assert out.count() == 6
+    assert got == {("a", 300, 300, b""), ("b", 250, 250, b""), ("c", 5, 0, b"short"), ("d", 0, 0, b""), ("e", 301, 301, b"")}
+
+
 def test_suffix_dedup_of_nothing(empty):
     assert suffix.repeat_digests(empty).count() == 0
 
@@ -398,4 +427,3 @@ def test_toxicity_without_labels(spark, docs, empty):
 def test_clashing_columns(spark, docs):
     more = docs.withColumns({"score": F.lit(1), "names": F.lit("x"), "n_words": F.lit(2), "kept": F.lit("k")}).select("doc_id", "text", "n_words")
     assert license.license_scan(more).columns.count("n_words") == 1
-    assert suffix.without_repeats(docs.select("doc_id", "text").withColumn("doc", F.lit(1))).columns[:3] == ["doc_id", "text", "doc"]
