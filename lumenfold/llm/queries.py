@@ -41,7 +41,7 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80).drop("row")
 
 
 def op9_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

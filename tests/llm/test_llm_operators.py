@@ -318,6 +318,34 @@ def test_near_duplicates_equal_brute_force(docs, texts, size):
     assert {k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in got.items()} == brute_near(texts, size)
 
 
+def test_rows_without_id_and_repeated_rows(spark):
+    """A row without an id that copies another goes; of copies without any id one stays; repeated rows share a class."""
+    line, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    data = [(5, line), (None, line), (3, line + " more"), (None, other), (None, other + " x"), (None, other), (8, ""), (None, None), (9, "a b"), (9, "a b"), (9, "c d")]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({"row": F.lit("r"), "kept": F.lit(1), "node": F.lit(2)})
+    out = neardup.near_duplicates(df, 4).collect()
+    assert len(out) == len(data)
+    assert {r["doc_id"]: (r["component_id"], r["kept"]) for r in out if r["doc_id"]} == {5: (3, False), 3: (3, True), 8: (8, True), 9: (9, True)}
+    none = [(r["n_shingles"], r["component_id"], r["kept"]) for r in out if r["doc_id"] is None]
+    assert sorted(none, key=str)[:1] == [(0, None, True)] and [k for n, c, k in none if c == 3] == [False]
+    assert len({r["row"] for r in out if r["doc_id"] is None and r["kept"] and r["n_shingles"]}) == 1
+
+
+def test_families_of_texts_just_below_the_threshold(spark):
+    """Many variants of one text, each similar enough to few others: only full comparison finds the links."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(150):
+        w = list(base)
+        for j in rng.sample(range(150), rng.choice([3, 4, 5, 6])):
+            w[j] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = rows(neardup.near_duplicates(df, 4))
+    assert {k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in got.items()} == brute_near(texts, 4)
+
+
 def test_links_that_miss_the_hub_are_found(spark):
     """A chain in which neighbours are similar and the ends are not."""
     rng = random.Random(9)
