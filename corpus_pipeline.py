@@ -12,20 +12,32 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out the documents whose toxicity score reaches the threshold."""
+    """Leave out the documents whose toxicity score reaches the threshold.
+
+    Null and empty texts score as texts without hits; rows are judged one by one, so repeated rows go or stay together.
+    """
     model = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group that shares 80 % of its five-word shingles; rows without an id are kept."""
-    kept = neardup.near_duplicates(docs, size=5, percent=80).filter("kept").select("doc_id")
-    # near_duplicates keeps every row without an id; a join on nulls would bring them all to one task.
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Keep one document of each group that shares 80 % of its five-word shingles.
+
+    Texts that are null or without words have no shingles and stay; of rows equal in id and text one stays.  Rows without
+    an id stay unless they repeat another text.  An empty table gives an empty one.
+    """
+    kept = neardup.near_duplicates(docs, size=5, percent=80).filter("kept")
+    kept = save(kept.groupBy("row").agg((F.count("*") * F.max((F.col("n_shingles") > 0).cast("int"))).alias("times")), "kept_rows")
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(kept.withColumnRenamed("row", "_row"), "_row")
+    once = keyed.filter("times <= 1").unionByName(keyed.filter("times > 1").dropDuplicates(["_row"]))
+    return once.select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut out bytes that repeated strings of 200 bytes cover; a document of which nothing is left goes."""
+    """Cut out bytes that repeated strings of 200 bytes cover; a document of which nothing is left goes.
+
+    Null and empty texts stay as they are.  A character that a cut splits becomes U+FFFD.
+    """
     out = suffix.without_repeats(docs)
     text = F.try_validate_utf8(F.col("kept").cast("string"))
     whole = F.coalesce(text, F.make_valid_utf8(F.col("kept").cast("string")))
@@ -35,7 +47,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the ids of every document into sequences of 2048 tokens."""
+    """Pack the ids of every document into sequences of 2048 tokens; null and empty texts give their end token."""
     return packing.pack_documents(docs, bpe.vocabulary(VOCABULARY))
 
 
