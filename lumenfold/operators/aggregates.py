@@ -32,10 +32,38 @@ def describe(df: DataFrame, column: str, percentiles: Sequence[float] = (0.25, 0
     """Exact statistics of a number column."""
     x = F.col(column)
     names = [f"p{str(p * 100).rstrip('0').rstrip('.').replace('.', '_')}" for p in percentiles]
-    return df.agg(
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-        *[F.percentile(x, F.lit(p)).alias(n) for p, n in zip(percentiles, names)], F.max(x).alias("max"),
-    )
+    one = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    ranks = exact_percentiles(df, column, percentiles)
+    return one.join(F.broadcast(ranks)).select("count", "mean", "std", "min", *[F.col("percentiles")[i].alias(n) for i, n in enumerate(names)], "max")
+
+
+def exact_percentiles(df: DataFrame, column: str, percentiles: Sequence[float], ranges: int = 64) -> DataFrame:
+    """One row with `percentiles`, interpolated between the two nearest values; NULLs do not count.
+
+    Values are counted first.  Fixed bounds, from an approximate quantile, cut them into ranges of about equal size; the
+    ranges' totals (a few rows) give every range the rank of its first value, so each is summed up on its own and no
+    task or buffer holds all values.
+    """
+    x = F.col(column).cast("double")
+    counted = df.filter(x.isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("n"))
+    bounds = sorted(set(counted.approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.01)))
+    placed = counted.withColumn("part", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("x"))) if bounds else F.lit(0))
+    totals = {r[0]: r[1] for r in placed.groupBy("part").agg(F.sum("n")).collect()}  # one row per range
+    before, rows = 0, {}
+    for part in sorted(totals):
+        rows[part] = before
+        before += totals[part]
+    if not before:
+        return df.agg(F.array(*[F.lit(None).cast("double")] * len(percentiles)).alias("percentiles"))
+    first = F.element_at(F.create_map(*[F.lit(v) for kv in rows.items() for v in kv]), F.col("part"))
+    upto = first + F.sum("n").over(Window.partitionBy("part").orderBy("x"))
+    at = lambda rank: F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("x")))
+    values = []
+    for p in percentiles:
+        place = p * (before - 1)
+        low, part = int(place), place - int(place)
+        values.append(at(low) + part * (at(min(low + 1, before - 1)) - at(low)))
+    return placed.withColumn("upto", upto).agg(F.array(*values).alias("percentiles"))
 
 
 def describe_text(df: DataFrame, column: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import mode
+from .aggregates import exact_percentiles, mode
 from .relational import any_of, cap, numbered
 
 
@@ -39,20 +39,25 @@ def every_nth(df: DataFrame, n: int, by: Sequence[str]) -> DataFrame:
     return numbered(df, by, "_p").filter(F.col("_p") % n == 0).drop("_p")
 
 
-def chance(keys: Sequence[str], seed: int) -> Column:
-    """A number from 0 to 1 that depends on the keys and the seed only."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_003)) / 1_000_003
+def draw(keys: Sequence[str], seed: int) -> Column:
+    """A hexadecimal number that depends on the keys and the seed only; sorted as text."""
+    return F.md5(F.concat_ws("|", *keys, F.lit(str(seed))).cast("binary"))
+
+
+def bound(share: float) -> str:
+    """Draws below this text are a share of all."""
+    return "g" if share >= 1 else f"{int(share * 2**32):08x}"
 
 
 def simple_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) -> DataFrame:
     """Exactly n rows (or all) without replacement: the n least hashes, a top-n without a full sort."""
-    return df.withColumn("_h", F.xxhash64(*keys, F.lit(seed))).orderBy("_h", *keys).limit(n).drop("_h")
+    return df.withColumn("_h", draw(keys, seed)).orderBy("_h", *keys).limit(n).drop("_h")
 
 
 def stratified_sample(df: DataFrame, stratum: str, share: Mapping, keys: Sequence[str], seed: int = 0) -> DataFrame:
     """Exactly floor(share * size) rows of each stratum, those with the least hashes."""
     w = Window.partitionBy(stratum)
-    at = F.row_number().over(w.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys))
+    at = F.row_number().over(w.orderBy(draw(keys, seed), *keys))
     rows = df.withColumns({"_at": at, "_n": F.count("*").over(w)})
     wanted = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col(stratum)), F.lit(0.0))
     return rows.filter(F.col("_at") <= F.floor(F.col("_n") * wanted)).drop("_at", "_n")
@@ -64,18 +69,18 @@ def sample_with_replacement(df: DataFrame, n: int, by: Sequence[str], seed: int
     size = df.count()
     if not size:
         return df
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)).alias("_p"))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.conv(F.substring(draw(["id"], seed), 1, 8), 16, 10).cast("long") % size).alias("_p"))
     return draws.join(rows, "_p").drop("_p")
 
 
 def bernoulli_by_class(df: DataFrame, column: str, share: Mapping, keys: Sequence[str], seed: int = 0) -> DataFrame:
     """Each row on its own, by its class: suits streams too."""
-    p = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col(column)), F.lit(0.0))
-    return df.filter(chance(keys, seed) < p)
+    p = F.try_element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, bound(v))]), F.col(column))
+    return df.filter(draw(keys, seed) < p)
 
 
 def permutation(df: DataFrame, keys: Sequence[str], seed: int = 0) -> DataFrame:
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+    return df.orderBy(draw(keys, seed), *keys)
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], shares: Sequence[float], seed: int = 0) -> list[DataFrame]:
@@ -84,7 +89,7 @@ def hash_split(df: DataFrame, keys: Sequence[str], shares: Sequence[float], seed
     for s in shares:
         edges.append(edges[-1] + s)
     for a, b in zip(edges, edges[1:]):
-        out.append(df.filter((chance(keys, seed) >= a) & (chance(keys, seed) < (b if b < 0.999999 else 2.0))))
+        out.append(df.filter((draw(keys, seed) >= bound(a)) & (draw(keys, seed) < bound(b if b < 0.999999 else 1.0))))
     return out
 
 
@@ -115,7 +120,7 @@ def quantile_cut(df: DataFrame, column: str, quantiles: Sequence[float], name: s
     """Bins between exact quantiles, right-closed; the lowest value belongs to the first."""
     x = F.col(column).cast("double")
     inner = list(quantiles[1:-1])
-    edges = df.agg(F.percentile(x, F.array(*[F.lit(float(q)) for q in inner])).alias("_edges"))
+    edges = exact_percentiles(df, column, inner).withColumnRenamed("percentiles", "_edges")
     code = F.when(x.isNotNull(), F.size(F.filter("_edges", lambda e: x > e)))
     return df.join(F.broadcast(edges)).withColumn(name, code).drop("_edges")
 

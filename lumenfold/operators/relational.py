@@ -102,6 +102,34 @@ def prefix_join(left: DataFrame, right: DataFrame, left_name: str, right_name: s
     return a.join(b, "_key").withColumnRenamed("_key", "prefix")
 
 
+def info(df: DataFrame) -> DataFrame:
+    """place, column, dtype, non_null and rows of every column, in one pass."""
+    counts = df.agg(F.count("*").alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(df.columns)])
+    parts = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.col(f"_{i}").alias("non_null"), F.col("_rows").alias("rows")) for i, (c, t) in enumerate(df.dtypes)])
+    return counts.select(F.inline(parts))
+
+
+def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, stop: str, width: float, by: Sequence[str] = ()) -> DataFrame:
+    """Points with the spans [start, stop) that hold them.
+
+    An equi-join on cells of `width`: a span stands once in every cell it touches, a point in one, so no pair is tried
+    outside its cell.  `width` should be about the usual length of a span.
+    """
+    cell = lambda x: F.floor(F.col(x) / width)
+    last = F.ceil(F.col(stop) / width) - 1
+    spread = spans.filter(F.col(start) < F.col(stop)).withColumn("_cell", F.explode(F.sequence(cell(start), F.greatest(last, cell(start)))))
+    return points.withColumn("_cell", cell(at)).join(spread, [*by, "_cell"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))).drop("_cell")
+
+
+def insert_positions(values: DataFrame, into: DataFrame, value: str, within: Sequence[str]) -> DataFrame:
+    """Add `position`: how many values of `into` in the same group are smaller, where a sorted insert would put the row."""
+    rows = values.withColumn("_own", F.lit(True)).unionByName(into.select(*within, value).withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    before = Window.partitionBy(*within).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    equal = Window.partitionBy(*within, value)
+    below = F.sum((~F.col("_own")).cast("long")).over(before) - F.sum((~F.col("_own")).cast("long")).over(equal)
+    return rows.withColumn("position", below).filter("_own").drop("_own")
+
+
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

@@ -39,10 +39,11 @@ def preemphasis(x: np.ndarray, a: float = 0.97) -> np.ndarray:
     return np.trunc(np.clip(x - a * before, -32768, 32767))
 
 
-def preemphasis_column(x: Column, a: float = 0.97) -> Column:
-    y = F.transform(x, lambda v, i: v - a * F.when(i == 0, v).otherwise(F.element_at(x, F.greatest(i, F.lit(1)))))
-    cut = F.transform(y, lambda v: F.greatest(F.least(v, F.lit(32767.0)), F.lit(-32768.0)))
-    return F.transform(cut, lambda v: F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("double"))
+def preemphasis_column(x: Column, percent: int = 97) -> Column:
+    """Integer samples less `percent` per cent of the one before, towards 0 and saturated to 16 bits; in integers, so exact."""
+    last = lambda v, i: F.when(i == 0, v).otherwise(F.element_at(x, F.greatest(i, F.lit(1))))
+    y = F.transform(x, lambda v, i: 100 * v - percent * last(v, i))
+    return F.transform(y, lambda v: F.greatest(F.least((F.signum(v) * F.floor(F.abs(v) / 100)).cast("long"), F.lit(32767)), F.lit(-32768)))
 
 
 def deemphasis(x: np.ndarray, a: float = 0.97) -> np.ndarray:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,41 +120,13 @@ def order_record(text: Column) -> Column:
     )
 
 
-class _Links(HTMLParser):
-    def __init__(self):
-        super().__init__()
-        self.found: list[tuple[str, str]] = []
-        self._open: list | None = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "a":
-            self._open = [dict(attrs).get("href") or "", []]
-
-    def handle_data(self, data):
-        if self._open is not None:
-            self._open[1].append(data)
-
-    def handle_endtag(self, tag):
-        if tag == "a" and self._open is not None:
-            self.found.append((self._open[0], " ".join("".join(self._open[1]).split())))
-            self._open = None
-
-
-def _links(page: str | None) -> list[dict]:
-    parser = _Links()
-    parser.feed(page or "")
-    return [{"href": h, "text": t} for h, t in parser.found]
-
-
 def page_links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row per link: the page's other columns, position, href, text."""
-
-    @F.pandas_udf("array<struct<href:string,text:string>>")
-    def links(x: pd.Series) -> pd.Series:
-        return x.map(_links)
-
+    """One row per link: the page's other columns, position, href, text (without tags, character references as written)."""
     rest = [c for c in pages.columns if c != html]
-    return pages.select(*rest, F.posexplode(links(F.col(html))).alias("position", "_l")).select(*rest, "position", "_l.href", "_l.text")
+    anchors = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0))
+    links = pages.select(*rest, F.posexplode(anchors).alias("position", "_a"))
+    text = F.trim(F.regexp_replace(F.regexp_replace("_a", r"<[^>]*>", ""), r"[ \t\n\r\f\x0B]+", " "))
+    return links.select(*rest, "position", F.regexp_extract("_a", r'(?is)^<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1).alias("href"), text.alias("text"))
 
 
 def number_in(text: Column) -> Column:

@@ -97,27 +97,27 @@ def case_chain(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", size.alias("size_class"), F.col("p_size").isNull().alias("unknown"))
 
 
-@register("reverse_order", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 50")
+@register("reverse_order", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC")
 def reverse_order(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy(F.desc("o_orderkey")).limit(50)
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy(F.desc("o_orderkey"))
 
 
 def _keyed(spark, sf_dir):
-    """Customers and suppliers with a nation key that is missing for some, to show how missing keys meet."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 50 != 0, F.col("c_nationkey")).alias("k")).filter(F.col("c_custkey") <= 200)
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 5 != 0, F.col("s_nationkey")).alias("k")).filter(F.col("s_suppkey") <= 50)
-    return c, s
+    """Orders and customers with a customer key that is missing for some, to show how missing keys meet."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 500 != 0, F.col("o_custkey")).alias("k"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 50 != 0, F.col("c_custkey")).alias("k"))
+    return o, c
 
 
-_SIDES = """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 50 <> 0 THEN c_nationkey END AS k FROM customer WHERE c_custkey <= 200),
-            s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 THEN s_nationkey END AS k FROM supplier WHERE s_suppkey <= 50) """
+_SIDES = """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 500 <> 0 THEN o_custkey END AS k FROM orders),
+            c AS (SELECT c_custkey, CASE WHEN c_custkey % 50 <> 0 THEN c_custkey END AS k FROM customer) """
 
 
 def _join(how, sql):
-    @register(f"join_{how}_null_safe", _SIDES + f"SELECT c_custkey, s_suppkey, coalesce(c.k, s.k) AS k FROM c {sql} JOIN s ON c.k IS NOT DISTINCT FROM s.k")
+    @register(f"join_{how}_null_safe", _SIDES + f"SELECT o_orderkey, c_custkey, coalesce(o.k, c.k) AS k FROM o {sql} JOIN c ON o.k IS NOT DISTINCT FROM c.k")
     def query(spark, sf_dir):
-        c, s = _keyed(spark, sf_dir)
-        return R.null_safe_join(c, s, [("k", "k")], how).select("c_custkey", "s_suppkey", "k")
+        o, c = _keyed(spark, sf_dir)
+        return R.null_safe_join(o, c, [("k", "k")], how).select("o_orderkey", "c_custkey", "k")
 
     return query
 
@@ -132,9 +132,9 @@ def join_inner_names(spark, sf_dir):
     return s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("n_name", "r_name", "s_name")
 
 
-@register("join_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@register("join_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def join_anti(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return R.not_in(table(spark, sf_dir, "customer").select("c_custkey"), done, "c_custkey")
 
 
@@ -364,30 +364,30 @@ def every_tenth_row(spark, sf_dir):
     return C.every_nth(table(spark, sf_dir, "orders").select("o_orderkey"), 10, ["o_orderkey"])
 
 
-@register("simple_sample")
+@register("simple_sample", "SELECT event_id, event_type FROM events ORDER BY md5(concat_ws('|', event_id, '3')), event_id LIMIT 100")
 def simple_sample(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
     return C.simple_sample(e, 100, ["event_id"], seed=3)
 
 
-@register("stratified_sample")
+@register("stratified_sample", "SELECT doc_id, quality, toxic FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5(concat_ws('|', doc_id, '5')), doc_id) AS i, count(*) OVER (PARTITION BY toxic) AS n FROM labels) WHERE i <= floor(n * CASE toxic WHEN 0 THEN 0.5 WHEN 1 THEN 0.1 ELSE 0 END)")
 def stratified_sample(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     return C.stratified_sample(labels, "toxic", {0: 0.5, 1: 0.1}, ["doc_id"], seed=5)
 
 
-@register("sample_with_replacement")
+@register("sample_with_replacement", "SELECT id AS draw, s_suppkey, s_name FROM (SELECT id, CAST('0x' || substr(md5(concat_ws('|', id, '1')), 1, 8) AS BIGINT) % (SELECT count(*) FROM supplier) AS p FROM range(200) AS r(id)) JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS p FROM supplier) USING (p)")
 def sample_with_replacement(spark, sf_dir):
     return C.sample_with_replacement(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), 200, ["s_suppkey"], seed=1)
 
 
-@register("bernoulli_by_class")
+@register("bernoulli_by_class", "SELECT event_id, event_type FROM events WHERE md5(concat_ws('|', event_id, '0')) < CASE event_type WHEN 'click' THEN '80000000' WHEN 'view' THEN '19999999' WHEN 'purchase' THEN 'g' END")
 def bernoulli_by_class(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
     return C.bernoulli_by_class(e, "event_type", {"click": 0.5, "view": 0.1, "purchase": 1.0}, ["event_id"])
 
 
-@register("train_validation_split")
+@register("train_validation_split", "SELECT o_orderkey, CASE WHEN md5(concat_ws('|', o_orderkey, '42')) < 'cccccccc' THEN 'train' ELSE 'validation' END AS part FROM orders")
 def train_validation_split(spark, sf_dir):
     train, rest = C.hash_split(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], [0.8, 0.2], seed=42)
     return train.withColumn("part", F.lit("train")).unionByName(rest.withColumn("part", F.lit("validation")))

@@ -120,7 +120,17 @@ def keyword_totals(spark, sf_dir):
     return m.agg(F.sum(F.col("m")["hasExclaim"]).alias("exclaim"), F.sum(F.col("m")["hasLike"]).alias("likes"), F.count("*").alias("n"))
 
 
-@register("naive_bayes_confusion")
+@register(
+    "naive_bayes_confusion",
+    f"""WITH d AS (SELECT doc_id, quality, v FROM (SELECT doc_id, {_VECTOR} AS v FROM {_PADDED}) JOIN labels USING (doc_id)),
+        n AS (SELECT quality AS label, count(*) AS n FROM d WHERE doc_id % 4 <> 0 GROUP BY 1),
+        u AS (SELECT doc_id, quality, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM d),
+        o AS (SELECT quality AS label, i, sum(x) AS ones FROM u WHERE doc_id % 4 <> 0 GROUP BY 1, 2),
+        l AS (SELECT doc_id, quality, o.label, round(ln(n / (SELECT sum(n) FROM n)) + sum(CASE WHEN x = 1 THEN ln((ones + 0.5) / (n + 1)) ELSE ln((n - ones + 0.5) / (n + 1)) END), 9) AS l
+              FROM u JOIN o USING (i) JOIN n ON n.label = o.label WHERE doc_id % 4 = 0 GROUP BY doc_id, quality, o.label, n),
+        p AS (SELECT quality, arg_min(label, (-l, label)) AS predicted FROM l GROUP BY doc_id, quality)
+        SELECT quality, count(*) FILTER (predicted = 0) AS "0", count(*) FILTER (predicted = 1) AS "1" FROM p GROUP BY 1""",
+)
 def naive_bayes_confusion(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "quality", X.keyword_vector(F.col("text")).alias("v"))
     train, test = d.filter("doc_id % 4 <> 0"), d.filter("doc_id % 4 = 0")
@@ -257,9 +267,9 @@ def zcr_energy(spark, sf_dir):
     return y.select("user_id", r4(V.zero_crossings(F.col("y"))).alias("zcr"), F.round(V.mean_abs(F.col("y")), 6).alias("energy"))
 
 
-@register("preemphasis", f"SELECT user_id, list_transform(generate_series(1, len(x)), lambda i: trunc(greatest(least(100 * x[i] - CAST(0.97 AS DOUBLE) * (100 * x[greatest(i - 1, 1)]), 32767.0), -32768.0))) AS y FROM {_SERIES}")
+@register("preemphasis", f"SELECT user_id, list_transform(generate_series(1, len(v)), lambda i: greatest(least(sign(100 * v[i] - 97 * v[greatest(i - 1, 1)]) * (abs(100 * v[i] - 97 * v[greatest(i - 1, 1)]) // 100), 32767), -32768)) AS y FROM (SELECT user_id, list_transform(x, lambda a: CAST(round(a * 100) AS BIGINT)) AS v FROM {_SERIES})")
 def preemphasis(spark, sf_dir):
-    return _series(spark, sf_dir).select("user_id", signal.preemphasis_column(F.transform("x", lambda v: v * 100)).alias("y"))
+    return _series(spark, sf_dir).select("user_id", signal.preemphasis_column(F.transform("x", lambda v: F.round(v * 100).cast("long"))).alias("y"))
 
 
 @register("second_difference", f"SELECT user_id, list_transform(generate_series(2, len(x) - 1), lambda i: round(x[i + 1] - 2 * x[i] + x[i - 1], 4)) AS d FROM {_SERIES} WHERE len(x) >= 3")
@@ -321,7 +331,14 @@ def conversation_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"))
 
 
-@register("page_links")
+_TEXT_OF = "trim(regexp_replace(regexp_replace(a, '<[^>]*>', '', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+
+
+@register(
+    "page_links",
+    f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS position, coalesce(regexp_extract(a, '(?is)^<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"', 1), '') AS href, {_TEXT_OF} AS text
+        FROM (SELECT page_id, generate_subscripts(l, 1) AS i, unnest(l) AS a FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a>') AS l FROM pages WHERE html IS NOT NULL))""",
+)
 def page_links(spark, sf_dir):
     return X.page_links(table(spark, sf_dir, "pages").select("page_id", "html"))
 
@@ -332,10 +349,9 @@ def page_hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("pages"), F.count_if(F.contains("html", F.lit("<article>"))).alias("articles"))
 
 
-@register("tokens_truncated", "SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')[1:8] AS words FROM documents WHERE regexp_matches(text, '^[ -~\\n]*$')")
+@register("tokens_truncated", "SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')[1:8] AS words FROM documents")
 def tokens_truncated(spark, sf_dir):
-    ascii_only = table(spark, sf_dir, "documents").filter(F.regexp_like("text", F.lit(r"^[ -~\n]*$")))
-    return ascii_only.select("doc_id", X.tokens(F.col("text"), 8).alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text"), 8).alias("words"))
 
 
 @register("kmeans_labels")
@@ -350,9 +366,11 @@ def pca_2d(spark, sf_dir):
 
 @register("dtw_pairs")
 def dtw_pairs(spark, sf_dir):
+    """Every user's series against one template: the mean of all users' frames, place by place, over the first eight places."""
     s = _series(spark, sf_dir).filter(F.size("x") >= 4).select(F.col("user_id").alias("id"), W.frames(F.col("x"), 4, 2).alias("frames"))
-    first = s.orderBy("id").limit(3)
-    return dtw.dtw_pairs(dtw.all_pairs(first, s))
+    places = s.select(F.posexplode("frames").alias("place", "f")).filter("place < 8").groupBy("place").agg(F.array(*[F.avg(F.col("f")[i]) for i in range(4)]).alias("f"))
+    template = places.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "f"))), lambda p: p["f"]).alias("frames"))
+    return dtw.dtw_pairs(dtw.all_pairs(template.select(F.lit(-1).cast("long").alias("id"), "frames"), s))
 
 
 @register("series_stationarity")
@@ -375,13 +393,13 @@ def vad_segments(spark, sf_dir):
     return G.segments_batch(f)
 
 
-@register("noise_floor")
+@register("noise_floor", f"SELECT user_id, round(list_reduce(x, lambda a, v: a * 0.998 + v * (1 - 0.998)), 4) AS floor FROM {_SERIES}")
 def noise_floor(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("value is not null")
     return G.noise_floor(e, "user_id", "ts", "value").withColumn("floor", r4(F.col("floor")))
 
 
-@register("coin_change")
+@register("coin_change", "SELECT amount, CAST(list_sum(list_transform(generate_series(0, amount // 25), lambda q: list_sum(list_transform(generate_series(0, (amount - 25 * q) // 10), lambda d: (amount - 25 * q - 10 * d) // 5 + 1)))) AS BIGINT) AS ways FROM (SELECT DISTINCT CAST(p_size AS INTEGER) AS amount FROM part)")
 def coin_change(spark, sf_dir):
     """Ways to make each part size from coins of 25, 10, 5 and 1: a recursive query whose steps are bounded by the largest size."""
     sizes = table(spark, sf_dir, "part").select(F.col("p_size").alias("amount")).distinct()

@@ -10,10 +10,10 @@ from pyspark.sql.types import StructType
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, header: bool = True, sep: str = ",", names: Sequence[str] | None = None,
-             columns: Sequence[str] | None = None, na: Sequence[str] = (), na_by_column: Mapping[str, Sequence[str]] | None = None, bad_lines: str = "fail", quote: str = '"', escape: str = "\\") -> DataFrame:
+             columns: Sequence[str] | None = None, na: Sequence[str] = (), na_by_column: Mapping[str, Sequence[str]] | None = None, bad_lines: str = "fail", quote: str = '"', escape: str = "\\", rows: int | None = None) -> DataFrame:
     """Delimited text.  Types are inferred only without a schema; `bad_lines` is fail, drop or keep (column _corrupt_record).
 
-    Values in `na`, or in `na_by_column` for one column, become NULL.
+    Values in `na`, or in `na_by_column` for one column, become NULL.  `rows` limits how many rows are read.
     """
     reader = spark.read.option("header", header).option("sep", sep).option("quote", quote).option("escape", escape)
     reader = reader.option("mode", {"fail": "FAILFAST", "drop": "DROPMALFORMED", "keep": "PERMISSIVE"}[bad_lines])
@@ -23,6 +23,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
         text = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         reader = reader.schema(text + (", _corrupt_record string" if bad_lines == "keep" else ""))
     df = reader.csv(path)
+    if rows is not None:
+        df = df.limit(rows)
     if names:
         df = df.toDF(*names)
     if columns:
@@ -31,6 +33,12 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return df.withColumns({c: F.when(~F.col(c).cast("string").isin(*v) | F.col(c).isNull(), F.col(c)) for c, v in missing.items() if v})
 
 
+def read_chunks(spark: SparkSession, path: str, chunks: int, key: str, **options) -> list[DataFrame]:
+    """A file in pieces that are read and counted on their own: the rows whose key falls into each residue class."""
+    whole = read_csv(spark, path, **options)
+    return [whole.filter(F.pmod(F.xxhash64(key), F.lit(chunks)) == i) for i in range(chunks)]
+
+
 def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_csv(spark, path, sep="\t", **options)
 

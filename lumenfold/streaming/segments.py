@@ -183,5 +183,16 @@ def windowed_counts(events: DataFrame, time: str, late: str, length: str, by: st
     return events.withWatermark(time, late).groupBy(F.window(time, length), by).agg(F.count("*").alias("n"))
 
 
+def sessions(events: DataFrame, time: str, gap: str, by: str, value: str) -> DataFrame:
+    """Session windows: rows of a key that follow each other within `gap`; in a stream after a watermark."""
+    return events.groupBy(by, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(by, F.col("w.start").alias("start"), "n", "total")
+
+
+def stream_join(left: DataFrame, right: DataFrame, key: str, time: str, other_time: str, within: str) -> DataFrame:
+    """Rows of two streams with one key whose times are at most `within` apart, the right one later; both need watermarks."""
+    near = (F.col(other_time) >= F.col(time)) & (F.col(other_time) <= F.col(time) + F.expr(f"interval {within}"))
+    return left.join(right, (left[key] == right[key]) & near).drop(right[key])
+
+
 def first_seen(events: DataFrame, time: str, late: str, keys: list[str]) -> DataFrame:
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
