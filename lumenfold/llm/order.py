@@ -26,6 +26,8 @@ from .common import filesystem, save, shared_path, small_batches
 SEQ_LEN = 256
 HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("n", "<u2"), ("no_id", "<u2")])
 ROUNDS = 4
+WIDE = 1 << 62  # numbers up to here fit a long
+TASKS = 20_000  # a task writes one shard after the other, so there need not be as many tasks as shards
 
 
 def round_keys(key: str) -> np.ndarray:
@@ -65,20 +67,30 @@ def sequences(docs: DataFrame, vocab: str, key: str, size: int, per_doc: int, fi
 
     def finish(bpe: ByteBpe, doc_ids: pa.Array, ids: list[np.ndarray], texts: list[str]) -> pa.RecordBatch:
         no_id = doc_ids.is_null().to_numpy(zero_copy_only=False)
-        number = doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) - np.where(no_id, 0, first_id)
+        number = doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if size <= WIDE:
+            number = number - np.where(no_id, 0, first_id)
         at, piece, body = [], [], []
         for i, x in enumerate(ids):
             raw = np.append(x, end).astype("<u2").tobytes()
             if no_id[i]:
-                number[i] = size // per_doc - nulls + xxhash.xxh3_64_intdigest(raw) % nulls
+                number[i] = size // per_doc - nulls + xxhash.xxh3_64_intdigest(raw) % nulls if size <= WIDE else xxhash.xxh3_64_intdigest(raw) - 2**63
             for k in range(0, len(raw), 2 * seq_len):
                 at.append(i)
                 piece.append(k // (2 * seq_len))
                 body.append(raw[k : k + 2 * seq_len])
         at = np.array(at, np.int64)
         part = np.array(piece, np.int64)
-        order = feistel(number[at] * per_doc + part, size, key)
-        shard = (order.astype(object) * shards // size).astype(np.int32) if size > 2**40 else (order * shards // size).astype(np.int32)
+        if size <= WIDE:
+            order = feistel(number[at] * per_doc + part, size, key)
+            shard = (order.astype(object) * shards // size).astype(np.int32) if size > 2**40 else (order * shards // size).astype(np.int32)
+        else:
+            # Ids too far apart for a common range: 64-bit numbers, permuted as they are.  Where two pieces get one number,
+            # the id and the piece decide their order.
+            mixed = number[at].view(np.uint64) + part.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            order = feistel(mixed, 1 << 64, key)
+            shard = ((order.view(np.uint64) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+            order = order ^ np.int64(-(2**63))
         return pa.RecordBatch.from_arrays(
             [doc_ids.take(pa.array(at)), pa.array(part.astype(np.int32)), pa.array(order), pa.array(shard), pa.array(body, pa.binary())], ["doc_id", "piece", "order", "shard", "ids"]
         )
@@ -135,7 +147,8 @@ def materialise(docs: DataFrame, vocab: str, key: str = "epoch-0", seq_len: int
             done.append((now, name, n))
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64()))], ["shard", "file", "n_records"])
 
-    ordered = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order", "doc_id", "piece", "ids")
+    each = -(-shards // TASKS)
+    ordered = rows.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("shard", "order", "doc_id", "piece", "ids")
     manifest = save(ordered.mapInArrow(write, "shard int, file string, n_records long"), "manifest")
     # One row per shard: a running total over it is small.
     first = F.coalesce(F.sum("n_records").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
