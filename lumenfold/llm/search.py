@@ -19,8 +19,8 @@ from .common import save, small_batches
 
 SCALE = 256
 BLOCK_ROWS = 8192
-QUERY_ROWS = 64
-LIMIT = 1 << 24  # components beyond it could overflow a long score
+QUERY_ROWS = 256
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def build(ids: np.ndarray, rows: np.ndarray) -> dict:
     order = np.argsort(ids, kind="stable")
     ids, rows = ids[order], rows[order]
     low = rows.min(axis=0)
-    shifted = (rows - low).astype(np.uint64)
+    shifted = rows.view(np.uint64) - low.view(np.uint64)
     width = max(1, int(shifted.max()).bit_length())
     slices = np.stack([np.packbits((shifted >> np.uint64(b)) & np.uint64(1), axis=0, bitorder="little").T for b in range(width)])
     return {"ids": ids.astype("<i8").tobytes(), "low": low.astype("<i8").tobytes(), "width": width, "slices": np.ascontiguousarray(slices.transpose(1, 0, 2)).tobytes()}
@@ -56,8 +56,6 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == dim)
             rows = batch.column("q").take(pa.array(at)).flatten().to_numpy().reshape(-1, dim)
-            if np.abs(rows).max() >= LIMIT:
-                raise ValueError(f"quantised components must be below {LIMIT}")
             kept = held.setdefault(dim, ([], []))
             kept[0].append(ids[at])
             kept[1].append(rows)
@@ -141,7 +139,8 @@ def _search(k: int):
                     base = sum(w * v for w, v in zip(weights, low)) - sum(-w * top for w in weights if w < 0)
                     a, b = np.searchsorted(ids, query_id), np.searchsorted(ids, query_id, side="right")
                     for r in best_rows(total, full & ~(((1 << int(b - a)) - 1) << int(a)), k):
-                        out.append((query_id, int(ids[r]), base + sum((s >> r & 1) << i for i, s in enumerate(total))))
+                        exact = base + sum((s >> r & 1) << i for i, s in enumerate(total))
+                        out.append((query_id, int(ids[r]), min(max(exact, LEAST), MOST)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
 
     return run
@@ -151,7 +150,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each query with all other vectors.
 
     Both tables have vec_id and embedding; ties go to the smaller vec_id.  Vectors of another length than the query's
-    are no candidates, and neither are rows with the query's own vec_id.  A query row that repeats gives its result once.
+    are no candidates, and neither are rows with the query's own vec_id.  Vectors that are null, empty or hold null or
+    non-finite components take no part, nor do rows without a vec_id; empty tables give no rows; other columns are
+    ignored.  Rows that repeat a vec_id are candidates each; of query rows with one vec_id the least vector asks, once.
+    Components may be of any size: sums are exact, and a score outside a long becomes the nearest long.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -159,7 +161,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     index = save(quantised(vectors).mapInArrow(_blocks, "dim int, n int, ids binary, low binary, width int, slices binary"), "slices")
     n_blocks = index.count()
     places = max(1, min(4096, max(n_blocks, spread)))
-    asked = quantised(queries).dropDuplicates(["vec_id"]).select(F.struct("vec_id", "q").alias("query"), F.size("q").alias("dim"))
+    asked = quantised(queries).groupBy("vec_id").agg(F.min("q").alias("q")).select(F.struct("vec_id", "q").alias("query"), F.size("q").alias("dim"))
     # A query chunk goes to every place, an index block to one: blocks of queries meet blocks of rows.
     n_queries = queries.count()
     chunk = F.pmod(F.xxhash64("query.vec_id"), F.lit(max(1, -(-n_queries // QUERY_ROWS))))
