@@ -30,7 +30,7 @@ MAX_DEPTH = 200  # deeper elements become siblings
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+RAW = frozenset("script style textarea title iframe".split())  # their content is no markup
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html"
     " legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -38,7 +38,7 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - {"option", "legend", "html", "body"}
 CONTAINERS = frozenset("div section ul ol dl table details address".split())
 INSIDE = 0x5BD1E9955BD1E995  # names of subtrees inside an article are kept apart from those outside
-GONE = RAW | frozenset("head nav header footer aside form menu dialog button label fieldset audio video canvas datalist".split())
+GONE = RAW | frozenset("head nav footer aside form menu dialog button fieldset audio video canvas datalist noscript template svg object select".split())
 
 _BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|nav|navbar|navigation|menu|"
@@ -46,7 +46,8 @@ _BOILERPLATE = re.compile(
     re.I,
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/><]*)")
+_PLAIN = re.compile(r"[^<>\"']+")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -58,24 +59,88 @@ class Node:
         self.tag, self.attrs, self.items, self.name = tag, attrs, [], 0
 
 
+class Scanner:
+    """Cuts a page into texts and tags in one pass: what is not closed is never searched for again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {x: page.rfind(x) for x in ('"', "'", ">", "-->", "]]>")}
+
+    def find(self, what: str, at: int) -> int:
+        return self.page.find(what, at) if at <= self.last[what] else -1
+
+    def attributes(self, at: int) -> tuple[int, int]:
+        """End of a tag's attributes, and where the page goes on.
+
+        A quote counts only after an equals sign and if it is closed; a tag that is not closed ends at the next one.
+        """
+        page, n = self.page, len(self.page)
+        while at < n:
+            c = page[at]
+            if c == ">":
+                return at, at + 1
+            if c == "<":
+                return at, at
+            if c in "\"'":
+                close = self._value(at, c)
+                at = close + 1 if close >= 0 else at + 1
+            else:
+                at = _PLAIN.match(page, at).end()
+        return n, n
+
+    def _value(self, at: int, quote: str) -> int:
+        before = at - 1
+        while before >= 0 and self.page[before].isspace():
+            before -= 1
+        return self.find(quote, at + 1) if before >= 0 and self.page[before] == "=" else -1
+
+    def parts(self) -> Iterator[tuple[str, bool, str, int]]:
+        """Text, or (name, whether it ends an element, attributes, where it ends); `skip` moves on."""
+        page, n, at = self.page, len(self.page), 0
+        while at < n:
+            start = page.find("<", at)
+            if start < 0:
+                yield "", False, page[at:], n
+                return
+            if page.startswith("<!--", start):
+                stop = self.find("-->", start + 4)
+                after, text = (stop + 3 if stop >= 0 else n), ""
+            elif page.startswith("<![CDATA[", start):
+                stop = self.find("]]>", start + 9)
+                after, text = (stop + 3 if stop >= 0 else n), html.escape(page[start + 9 : stop if stop >= 0 else n], quote=False)
+            elif page.startswith(("<!", "<?"), start):
+                stop = self.find(">", start)
+                after, text = (stop + 1 if stop >= 0 else n), ""
+            else:
+                m = _NAME.match(page, start)
+                if m is None:
+                    yield "", False, page[at : start + 1], start + 1
+                    at = start + 1
+                    continue
+                end, after = self.attributes(m.end())
+                if start > at:
+                    yield "", False, page[at:start], start
+                self.at = after
+                yield m[1].lower(), page[start + 1] == "/", page[m.end() : end], after
+                at = self.at
+                continue
+            if start > at:
+                yield "", False, page[at:start], start
+            if text:
+                yield "", False, text, after
+            at = after
+
+
 def tree(page: str) -> Node:
     """Elements and texts.  Tags that are not closed end where their parent or a later block ends them."""
     root = Node("#page", "")
-    stack, at, n = [root], 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            stack[-1].items.append(page[at:])
-            break
-        if m.start() > at:
-            stack[-1].items.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].items.append(html.escape(m[0][9:-3], quote=False))
+    stack, n = [root], len(page)
+    scanner, ends = Scanner(page), {}
+    for tag, closing, attrs, at in scanner.parts():
+        if not tag:
+            stack[-1].items.append(attrs)
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -99,19 +164,20 @@ def tree(page: str) -> Node:
                     break
                 if stack[i].tag in ("ul", "ol", "dl", "table", "tbody", "thead", "select", "menu"):
                     break
-        node = Node(tag, m[3])
+        node = Node(tag, attrs)
         stack[-1].items.append(node)
-        if tag in RAW and not m[3].endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, at)
+        if tag in RAW and not attrs.endswith("/"):
+            close = ends.setdefault(tag, re.compile(rf"</{tag}\s*/?>", re.I)).search(page, at)
             node.items.append(page[at : close.start()] if close else page[at:])
-            at = close.end() if close else n
-        elif tag not in VOID and not m[3].endswith("/") and len(stack) < MAX_DEPTH:
+            scanner.at = close.end() if close else n
+        elif tag not in VOID and not attrs.endswith("/") and len(stack) < MAX_DEPTH:
             stack.append(node)
     return root
 
 
-def named_boilerplate(node: Node) -> bool:
-    if node.tag in GONE:
+def named_boilerplate(node: Node, in_article: bool = False) -> bool:
+    """What the markup itself names as no content.  A header inside an article holds its title and stays."""
+    if node.tag in GONE or (node.tag == "header" and not in_article):
         return True
     if not node.attrs or node.tag in ("html", "body", "article", "main"):
         return False
@@ -189,7 +255,7 @@ def sections(article: Node) -> tuple[list[tuple[int, str, int]], list[tuple[int,
             if isinstance(y, str):
                 now.append(y)
                 continue
-            if named_boilerplate(y):
+            if named_boilerplate(y, True):
                 continue
             if y.tag in BLOCK:
                 flush(around[-1])
@@ -251,7 +317,7 @@ def blocks(root: Node, templates: set[int] | frozenset[int]) -> list[str]:
                 now.append(y)
             elif y.tag in ("br", "wbr", "img"):
                 now.append(" " if y.tag == "br" else "")
-            elif not named_boilerplate(y) and (y.name ^ INSIDE if in_article else y.name) not in templates:
+            elif not named_boilerplate(y, in_article) and (y.name ^ INSIDE if in_article else y.name) not in templates:
                 if y.tag in BLOCK:
                     flush()
                 walk(y, in_article or y.tag in ("article", "main"))
@@ -310,12 +376,12 @@ def main_text(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFra
     """page_id, url, text and n_chars (code points) of every row; other columns are ignored.
 
     Null html counts as empty and gives an empty text; pages with a null url share one host.  Repeated pages count once
-    when templates are counted.  Up to `broadcast_rows` templates are broadcast; more are joined to the pages by host.
+    when templates are counted.  Up to `broadcast_rows` templates are broadcast; more are joined to the pages by the row.
     """
     spark = pages.sparkSession
     small_batches(spark, 500)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"), F.xxhash64("page_id", "url", "html").alias("row"))
     schema = "page_id long, url string, text string, n_chars long"
     templates = save(site_templates(rows), "templates")
     if templates.count() <= broadcast_rows:
@@ -324,19 +390,19 @@ def main_text(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFra
             table.setdefault(r["host"], set()).add(r["name"])
         return rows.mapInArrow(_extract(spark.sparkContext.broadcast(table)), schema)
     # Only the templates that a page holds travel with it.
-    held = rows.select("page_id", "host", "html").mapInArrow(_held, "page_id long, host string, name long")
-    mine = held.join(templates, ["host", "name"]).groupBy("page_id").agg(F.collect_set("name").alias("names"))
-    return rows.join(mine, "page_id", "left").mapInArrow(_extract(None), schema)
+    held = rows.select("row", "host", "html").mapInArrow(_held, "row long, host string, name long")
+    mine = held.join(templates, ["host", "name"]).groupBy("row").agg(F.collect_set("name").alias("names"))
+    return rows.join(mine, "row", "left").mapInArrow(_extract(None), schema)
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, hosts, names = [], [], []
-        for page_id, host, text in zip(*(batch.column(c).to_pylist() for c in ("page_id", "host", "html"))):
+        for row, host, text in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "html"))):
             root = tree(text)
             name_subtrees(root)
             mine = candidates(root) | {x[2] for x in inside(root)[0]}
-            ids += [page_id] * len(mine)
+            ids += [row] * len(mine)
             hosts += [host] * len(mine)
             names += mine
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(names, pa.int64())], ["page_id", "host", "name"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(names, pa.int64())], ["row", "host", "name"])
