@@ -100,9 +100,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to a table with columns doc_id, piece and length (1 to `capacity`).
 
     `pieces` is read twice, so it should be a stored table.  Sequences have no gaps; equal lengths are interchangeable,
-    so repeated rows only change which of them goes where.  An empty table gives no rows.
+    so repeated rows only change which of them goes where.  An empty table gives no rows.  Other columns stay, but for
+    sequence_id and offset, which are replaced, and the working names _salt, _rank, _n and _before, which go.
     """
     spark = pieces.sparkSession
+    pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset", "_salt", "_rank", "_n", "_before")])
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     segments = spark.sparkContext.broadcast(plan(counts, capacity))  # bounded by the number of combinations of lengths
     salts = max(SALTS, sum(counts.values()) // ROWS_PER_SALT)
