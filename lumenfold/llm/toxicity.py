@@ -205,10 +205,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add score, from 0 to 1, to every row; null and empty texts get that of a text without words."""
+    """Add score, from 0 to 1, to every row, in place of a column of that name; the other columns stay.
+
+    Null and empty texts get the score of a text without words.  Rows are scored one by one, so repeated rows agree.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON_ROWS and EXCEPTION_ROWS
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() != "score"]
+    docs = docs.select(*[F.col(f"`{c}`") for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

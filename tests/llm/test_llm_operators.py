@@ -52,6 +52,15 @@ def test_shards_hold_every_sequence_once(docs, texts, vocab):
     assert {(r["slot"], r["doc_id"], r["piece"]) for r in again} == {(r["slot"], r["doc_id"], r["piece"]) for r in got}
 
 
+def test_ids_far_apart(spark, vocab):
+    ids = [-9 * 10**18, 9 * 10**18, 0, None, None, 5, 5]
+    df = spark.createDataFrame([(k, f"text {i} " * 40) for i, k in enumerate(ids)], "doc_id long, text string")
+    got = order.read_shards(order.materialise(df, vocab, seq_len=16, shard_bytes=2048)).collect()
+    pieces = collections.Counter(r["doc_id"] for r in got)
+    assert sorted(r["slot"] for r in got) == list(range(len(got))) and set(pieces) == set(ids) and pieces[5] == 2 * pieces[0]
+    assert min(r["shard"] for r in got) >= 0
+
+
 def test_training_order_of_nothing(empty, vocab):
     assert order.read_shards(order.materialise(empty, vocab)).count() == 0
 
@@ -161,6 +170,21 @@ def test_search_equals_brute_force(spark):
     assert got == want
 
 
+def test_search_takes_components_of_any_size(spark):
+    big = [(0, [1.0, 2.0]), (1, [70_000.0, -3.0]), (2, [1e12, 1e9]), (3, [-1e12, 5.0]), (4, [1e15, 1e15]), (5, [0.5, 0.25])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>").withColumns({"score": F.lit(1), "rank": F.lit(2), "q": F.lit(3)})
+    df = df.unionByName(df.filter("vec_id = 5"))
+    got = [tuple(r) for r in search.top_k(df, df, 3).collect()]
+    q = {k: [int(np.floor(256 * x)) for x in v] for k, v in big}
+    cut = lambda x: max(min(x, 2**63 - 1), -(2**63))
+    want = []
+    for a in q:
+        rest = [b for b, _ in [*big, big[5]] if b != a]
+        best = sorted(((cut(sum(x * y for x, y in zip(q[a], q[b]))), b) for b in rest), key=lambda x: (-x[0], x[1]))[:3]
+        want += [(a, n + 1, b, s) for n, (s, b) in enumerate(best)]
+    assert sorted(got) == sorted(want)
+
+
 def test_search_with_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [-2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in search.top_k(df, df.filter("vec_id = 0")).collect()] == [(0, 1, 1, -131072)]
@@ -281,6 +305,33 @@ def test_main_text(spark):
         assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_broken_markup_takes_linear_time_and_leaks_nothing():
+    import time
+
+    seconds = []
+    for n in (20_000, 80_000):
+        began = time.time()
+        for bad in ("<a ", '<a title="x ', "<!-- ", "<p title='", "< "):
+            html.tree(bad * n)
+        seconds.append(time.time() - began)
+    assert seconds[1] < 16 * max(seconds[0], 0.05)
+    text = lambda page: html.blocks(html.tree(page), frozenset())
+    assert text('<p>a<a title="x>y') == ["ay"]
+    assert text("<p title=it's>one</p><p>2 < 3 and <b>four</b>") == ["one", "2 < 3 and four"]
+    assert text('<p title="a > b">one</p>') == ["one"]
+    assert text("<article><header><h1>Title</h1></header><p><label>L</label> <math><mi>x</mi></math></p></article>") == ["Title", "L x"]
+    assert text("<header>Site</header><p>one<script>var a = '<p>two'</script></p>") == ["one"]
+
+
+def test_repeated_and_null_page_ids_on_both_paths(spark):
+    page = "<div><p>Text {i} of {h}</p></div><div><p>Site foot of {h}</p><p>line</p></div>"
+    data = [(None if i == 3 else 7, f"http://{h}.example/{i}", page.format(i=i, h=h)) for h in "ab" for i in range(8)] + [(7, None, page.format(i=99, h="c"))]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    both = [sorted((r["url"] or "", r["text"]) for r in html.main_text(df, broadcast_rows=n).collect()) for n in (1000, 0)]
+    assert both[0] == both[1] and len(both[0]) == len(data)
+    assert {t for u, t in both[0] if u} == {f"Text {i} of {h}" for h in "ab" for i in range(8)}
+
+
 def test_deep_pages_do_not_overflow():
     root = html.tree("<div>" * 5000 + "x")
     html.name_subtrees(root)
@@ -416,6 +467,14 @@ def test_fullest_combination_is_optimal():
         assert sum(k * n for k, n in used.items()) == max(counts) + max(s for s in sums if s <= 60 - max(counts))
 
 
+def test_packing_of_a_table_with_clashing_names(spark):
+    rows_ = [(i, 0, 1 + i % 40) for i in range(300)]
+    df = spark.createDataFrame(rows_, "doc_id long, piece int, length long").withColumns({"offset": F.lit("x"), "SEQUENCE_ID": F.lit(1), "_rank": F.lit(1), "more": F.lit(5)})
+    out = packing.pack(df, 64)
+    assert out.columns == ["doc_id", "piece", "length", "more", "sequence_id", "offset"] and out.count() == 300
+    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m")).filter("n <> m or n > 64").isEmpty()
+
+
 def test_packing_of_nothing(empty, vocab):
     assert packing.pack_documents(empty, vocab).count() == 0
 
@@ -445,6 +504,44 @@ def test_held_out_accuracy(spark):
     assert r > 0.9
 
 
+def test_hits_equal_a_plain_search():
+    rng = random.Random(6)
+    lexicon = {" tra": 2.0, " trash ": 5.0, " trashy": 1.0, " scum ": 4.0, " sc": 0.5, " b ": 3.0}
+    machine = toxicity.automaton(toxicity.Model(lexicon, [" trash can ", " b scum "]))
+    for _ in range(300):
+        found = rng.choices(["trash", "trashy", "can", "scum", "scout", "b", "bb", "x"], k=rng.randint(0, 12))
+        joined = " " + " ".join(found) + " "
+        spared = {at + j for e in (" trash can ", " b scum ") for at in range(len(joined)) if joined.startswith(e, at) for j in range(len(e) - 1)}
+        want = {}
+        for at in range(len(joined)):
+            here = [w for e, w in lexicon.items() if joined.startswith(e, at)]
+            if here and at not in spared:
+                want[at] = max(here)
+        assert {k: v[0] for k, v in toxicity.hits(found, machine).items()} == want
+
+
+def test_exception_phrases_are_learned_and_change_scores(spark):
+    bad = [(i, f"you vile person number {i} are vile and rotten", 1) for i in range(40)]
+    good = [(1000 + i, f"the vile bottle number {i} stands on the table of things", 0) for i in range(8)] + [(2000 + i, f"some other words {i}", 0) for i in range(200)]
+    df = spark.createDataFrame([r[:2] for r in bad + good], "doc_id long, text string").withColumn("score", F.lit("old"))
+    labels = spark.createDataFrame([(r[0], r[2]) for r in bad + good], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)
+    assert " vile bottle " in model.exceptions
+    out = toxicity.score(df, model)
+    assert out.columns == ["doc_id", "text", "score"]
+    got = {r["doc_id"]: r["score"] for r in out.collect()}
+    without = {r["doc_id"]: r["score"] for r in toxicity.score(df, toxicity.Model(model.lexicon, [], model.beta)).collect()}
+    assert got[1000] < 0.5 < got[0] and got[1000] < without[1000]
+
+
+def test_held_out_toxic_rows_are_found(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows_ = toxicity.toxicity_scores(docs, labels).filter("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = collections.Counter({(r[0], r[1]): r[2] for r in rows_})
+    assert n[1, 1] / (n[1, 1] + n[1, 0]) > 0.85 and n[1, 1] / (n[1, 1] + n[0, 1]) > 0.9
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity_scores(docs, none).collect()
