@@ -8,9 +8,6 @@ priority stays.  A text's detections are found row by row, without a shuffle.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,15 +79,85 @@ FORMS = [
     (r"licen[sc]e (?:is )?(?:{n})", 0.7),
 ]
 
+# Wordings of the licenses themselves and of their notices, each with the beginnings of words it needs: label, keywords,
+# regular expression over the words, confidence.  They come before all forms.
+NAME = r"(?:[^ ]+ ){1,12}"
+SIGNATURES = [
+    ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 1.0),
+    ("mit", "permission", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions", 0.9),
+    ("bsl-1", "permission", r"permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation", 1.0),
+    ("isc", "permission", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided", 1.0),
+    ("0bsd", "permission", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted(?! provided)", 0.95),
+    ("postgresql", "permission", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", 1.0),
+    ("ncsa", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software", 1.0),
+    ("bsd", "redistribution", r"redistributions? and use in source and binary forms with or without modification are permitted", 0.9),
+    ("bsd-3-clause", "neither", r"neither the names? of " + NAME + r"nor the names of (?:its|their|the) contributors may be used to endorse or promote products", 1.0),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 1.0),
+    ("bsd-2-clause", "redistribution", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", 0.85),
+    ("apache-2", "apache", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", 1.0),
+    ("apache-2", "apache", r"apache org licenses license 2 0", 0.95),
+    ("apache-2", "apache", r"apache license version 2 0 january 2004", 1.0),
+    ("apache-1.1", "apache", r"this product includes software developed by the apache (?:software foundation|group)", 0.9),
+    ("gpl-2", "gnu", r"redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2", 1.0),
+    ("gpl-3", "gnu", r"redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3", 1.0),
+    ("gpl-2", "gnu", r"gnu general public license version 2 june 1991", 1.0),
+    ("gpl-3", "gnu", r"gnu general public license version 3 29 june 2007", 1.0),
+    ("gpl-2", "gnu", r"gnu org licenses old licenses gpl 2 0", 0.95),
+    ("gpl-3", "gnu", r"gnu org licenses gpl 3 0", 0.95),
+    ("gpl", "gnu", r"see the gnu general public license for more details", 0.8),
+    ("gpl", "gnu", r"you should have received a copy of the gnu general public license along with", 0.85),
+    ("lgpl-2.1", "gnu", r"gnu lesser general public license as published by the free software foundation either version 2 1", 1.0),
+    ("lgpl-3", "gnu", r"gnu lesser general public license as published by the free software foundation either version 3", 1.0),
+    ("lgpl", "gnu", r"gnu library general public license as published by the free software foundation", 0.95),
+    ("lgpl", "gnu", r"you should have received a copy of the gnu lesser general public license along with", 0.85),
+    ("lgpl-2.1", "gnu", r"gnu org licenses old licenses lgpl 2 1", 0.95),
+    ("lgpl-3", "gnu", r"gnu org licenses lgpl 3 0", 0.95),
+    ("agpl-3", "gnu", r"gnu affero general public license as published by the free software foundation either version 3", 1.0),
+    ("agpl-3", "gnu", r"gnu org licenses agpl 3 0", 0.95),
+    ("agpl", "gnu", r"you should have received a copy of the gnu affero general public license along with", 0.85),
+    ("mpl-2", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0", 1.0),
+    ("mpl-2", "mozilla", r"you can obtain one at https? mozilla org mpl 2 0", 0.9),
+    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1", 1.0),
+    ("epl-1", "eclipse", r"made available under the terms of the eclipse public license v1 0 which accompanies this distribution", 1.0),
+    ("epl-2", "eclipse", r"made available under the terms of the eclipse public license (?:v |version )?2 0", 1.0),
+    ("epl-1", "eclipse", r"eclipse org legal epl v10", 0.95),
+    ("epl-2", "eclipse", r"eclipse org legal epl 2 0", 0.95),
+    ("cddl", "common", r"the contents of this file are subject to the terms of the common development and distribution license", 1.0),
+    ("eupl", "european", r"licen[sc]ed under the eupl version 1 [012] or as soon they will be approved by the european commission", 1.0),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 1.0),
+    ("zlib", "origin", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software", 1.0),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 1.0),
+    ("unlicense", "unlicense", r"for more information please refer to (?:https? )?unlicense org", 0.9),
+    ("wtfpl", "fuck", r"you just do what the fuck you want to", 1.0),
+    ("ofl-1.1", "sil", r"this font software is licensed under the sil open font license version 1 1", 1.0),
+    ("ofl-1.1", "sil", r"scripts sil org ofl", 0.9),
+    ("psf-2", "psf", r"psf license agreement for python", 1.0),
+    ("artistic-2", "perlfoundation", r"perlfoundation org artistic license 2 0", 0.95),
+    ("artistic", "perl", r"under the same terms as perl itself", 0.9),
+    ("ms-pl", "microsoft", r"microsoft public license ms pl", 1.0),
+    ("odbl", "opendatacommons", r"opendatacommons org licenses odbl", 0.95),
+    ("cc0", "creativecommons", r"creativecommons org publicdomain zero 1 0", 0.95),
+    ("public-domain", "creativecommons", r"creativecommons org publicdomain mark 1 0", 0.95),
+    ("cc-by-nc-nd", "creativecommons", r"creativecommons org licenses by nc nd [1-4] [05]", 0.95),
+    ("cc-by-nc-sa", "creativecommons", r"creativecommons org licenses by nc sa [1-4] [05]", 0.95),
+    ("cc-by-nc", "creativecommons", r"creativecommons org licenses by nc [1-4] [05]", 0.95),
+    ("cc-by-nd", "creativecommons", r"creativecommons org licenses by nd [1-4] [05]", 0.95),
+    ("cc-by-sa", "creativecommons", r"creativecommons org licenses by sa [1-4] [05]", 0.95),
+    ("cc-by", "creativecommons", r"creativecommons org licenses by [1-4] [05]", 0.95),
+    ("cc0", "waived", r"has waived all copyright and related or neighbou?ring rights to", 0.9),
+    ("public-domain", "dedicat", r"(?:is|are|been) (?:hereby )?dedicated to the public domain", 0.9),
+]
+
 # Words without which no rule and no base phrase can match; most texts end here.  LOOSE reads raw texts and spares them
 # being cut into words: it holds wherever PREFILTER, which reads the words, does.
-LOOSE = r"(?i)licen[sc]|spdx|under|cc|subject|governed|covered|according"
-PREFILTER = r"licen[sc]| spdx | under | cc | subject to | governed by | covered by | according to "
+WORDINGS = "permission|redistribution|neither|advertising|apache|gnu|altered|origin|unencumbered|unlicense|fuck|sil|perl|creativecommons|opendatacommons|eclipse|waived|dedicat"
+LOOSE = r"(?i)licen[sc]|spdx|under|cc|subject|governed|covered|according|" + WORDINGS
+PREFILTER = r"licen[sc]| spdx | under | cc | subject to | governed by | covered by | according to | (?:" + WORDINGS + ")"
 
 
 def rules() -> list[dict]:
-    """Every family in every form, in order of priority (lower is better): the form first, then the family's place."""
-    out = []
+    """Wordings, then every family in every form, in order of priority (lower is better): the form first, then the family's place."""
+    out = [{"label": label, "keywords": tuple(keywords.split("|")), "priority": i - len(SIGNATURES), "confidence": confidence, "regex": f" (?:{regex})(?= )"} for i, (label, keywords, regex, confidence) in enumerate(SIGNATURES)]
     for i, (form, confidence) in enumerate(FORMS):
         for j, (label, keywords, names) in enumerate(FAMILIES):
             out.append({"label": label, "keywords": tuple(keywords.split("|")), "priority": 1 + i * len(FAMILIES) + j, "confidence": confidence, "regex": f" (?:{form.replace('{n}', names)})(?= )"})
@@ -120,8 +187,11 @@ def _phrase(words: Column, phrase: str, label: str) -> Column:
     return F.transform(at, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.lit(label).alias("label")))
 
 
-def _literal(rows: list[dict]) -> Column:
-    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rows])
+def _literal(by_keywords: dict[tuple[str, ...], list[dict]]) -> str:
+    """The rules as one SQL literal: array<struct<keys, rules>>; thousands of Column calls would take seconds."""
+    rule = lambda r: f"named_struct('regex', r'{r['regex']}', 'priority', {r['priority']}, 'label', '{r['label']}', 'confidence', {r['confidence']}D)"
+    group = lambda keys, rows: f"named_struct('keys', array({', '.join(repr(' ' + k) for k in keys)}), 'rules', array({', '.join(map(rule, rows))}))"
+    return f"array({', '.join(group(k, v) for k, v in by_keywords.items())})"
 
 
 def _detect(words: Column, some: Column) -> Column:
@@ -163,10 +233,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
     by_keywords: dict[tuple[str, ...], list[dict]] = {}
     for r in rules():
         by_keywords.setdefault(r["keywords"], []).append({k: r[k] for k in ("regex", "priority", "label", "confidence")})
-    opened = lambda keys: reduce(or_, [F.contains(words, F.lit(f" {k}")) for k in keys])
-    families = [F.when(opened(keys), _detect(words, _literal(rows))).otherwise(F.array().cast(DETECTIONS)) for keys, rows in by_keywords.items()]
+    groups = F.expr(_literal(by_keywords))
+    opened = F.filter(groups, lambda g: F.exists(g["keys"], lambda k: F.contains(words, k)))
+    tried = F.flatten(F.transform(opened, lambda g: g["rules"]))
     no_base = F.array().cast("array<struct<start:int,stop:int,label:string>>")
-    found = F.when(words.isNotNull(), F.flatten(F.array(*families))).otherwise(F.array().cast(DETECTIONS))
+    found = F.when(words.isNotNull(), _detect(words, tried)).otherwise(F.array().cast(DETECTIONS))
     out = out.withColumns({"base": F.when(words.isNotNull(), base).otherwise(no_base), "_found": found})
     return out.withColumn("detections", suppress(F.col("_found"))).drop("_words", "_found")
 

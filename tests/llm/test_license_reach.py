@@ -1,4 +1,5 @@
 import random
+import re
 
 from test_llm_operators import base_places, rows
 
@@ -63,3 +64,37 @@ def test_every_name_is_found_in_every_form(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string").repartition(4)
     got = rows(license.license_labels(df))
     assert [c for i, c in enumerate(cases) if c[0] not in got[i]["labels"].split(",")] == []
+
+
+def plain_detections(text):
+    """Every rule by Python's re over the words, without gates; containment and priority by comparing all pairs."""
+    w = re.findall(license.WORD, text.translate(str.maketrans(license.UPPER, license.LOWER)))
+    joined = " " + " ".join(w) + " "
+    found = []
+    for r in license.rules():
+        for m in re.finditer(r["regex"], joined):
+            start = joined[: m.start()].count(" ")
+            found.append((start, start + m[0].count(" "), r["priority"], r["label"]))
+    keep = []
+    for d in found:
+        inside = lambda o: o[0] <= d[0] and d[1] <= o[1] and ((o[1] - o[0]) > (d[1] - d[0]) or o[2] < d[2])  # noqa: B023, E731
+        if not any(inside(o) for o in found):
+            keep.append(d)
+    return sorted(keep)
+
+
+def test_detections_equal_a_plain_matcher(spark):
+    rng = random.Random(4)
+    wordings = [re.sub(r"\(\?[:!][^()]*\)\??|\[[^\]]*\][?+*]?|[?^$|()]", "", r) for _, _, r, _ in license.SIGNATURES]
+    names = ["MIT", "Apache License, Version 2.0", "GPL v3", "GNU_GPL", "BSD-3-Clause", "CC-BY-NC-SA 4.0", "cc_by_nc", "Mozilla Public License 2.0", "public domain", "zlib/libpng"]
+    forms = ["Licensed under the {}", "SPDX-License-Identifier: {}", "released under the terms of the {}", "{} license", "see creativecommons.org/licenses/by-nc/4.0 or {}", "under the MIT license and {}", "{}"]
+    texts = {}
+    for i in range(250):
+        parts = [rng.choice(forms).format(rng.choice(names)) for _ in range(rng.randint(0, 3))] + rng.sample(wordings, rng.randint(0, 2)) + rng.choices(["word", "é", "under", "license", "cc", "the", "gnu"], k=rng.randint(0, 6))
+        rng.shuffle(parts)
+        texts[i] = rng.choice([" ", "\n", "_", " - ", "é "]).join(parts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: sorted((d["start"], -d["before"], d["priority"], d["label"]) for d in r["detections"]) for r in license.license_scan(df).collect()}
+    want = {k: plain_detections(t) for k, t in texts.items()}
+    assert got == want and sum(len(v) for v in want.values()) > 250
+    assert len({r["label"] for r in license.rules()}) > 40
