@@ -291,7 +291,7 @@ def join_all(bpe: ByteBpe, parts: list[np.ndarray]) -> np.ndarray:
     return parts[0] if parts else np.empty(0, np.uint16)
 
 
-def encode_documents(docs: DataFrame, vocab: str, finish, schema: str, long_chars: int = 65_536) -> DataFrame:
+def encode_documents(docs: DataFrame, vocab: str, finish, schema: str, long_chars: int = 16_384) -> DataFrame:
     """Rows (doc_id, text) to rows of `schema`.
 
     `finish(bpe, doc_ids, ids, sizes)` gets lists for a batch of documents and returns an Arrow record batch.  A text of
@@ -350,7 +350,7 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def bpe_roundtrip(docs: DataFrame, vocab: str, long_chars: int = 65_536) -> DataFrame:
+def bpe_roundtrip(docs: DataFrame, vocab: str, long_chars: int = 16_384) -> DataFrame:
     """Encode every text and decode it again.
 
     Returns doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 (decoded text in UTF-8).
