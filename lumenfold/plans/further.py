@@ -27,14 +27,14 @@ def table_info(spark, sf_dir):
 
 @register(
     "interval_join",
-    """WITH s AS (SELECT o_orderkey, o_custkey, epoch(o_orderdate) AS start, epoch(o_orderdate) + 86400 * (5 + o_orderkey % 20) AS stop FROM orders)
-       SELECT event_id, o_orderkey FROM events JOIN s ON user_id = o_custkey AND epoch(ts) >= start AND epoch(ts) < stop""",
+    """WITH s AS (SELECT event_id AS purchase_id, user_id AS k, epoch(ts) AS start, epoch(ts) + 3600 * (5 + event_id % 20) AS stop FROM events WHERE event_type = 'purchase')
+       SELECT event_id, purchase_id FROM events JOIN s ON user_id = k AND epoch(ts) >= start AND epoch(ts) < stop""",
 )
 def interval_join(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("k"), F.col("ts").cast("timestamp").cast("double").alias("at"))
-    start = F.col("o_orderdate").cast("timestamp").cast("double")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), start.alias("start"), (start + 86400 * (5 + F.col("o_orderkey") % 20)).alias("stop"))
-    return R.interval_join(e, o, "at", "start", "stop", 86400.0 * 15, ["k"]).select("event_id", "o_orderkey")
+    """The events in the hours after a purchase of the same user."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("k"), "event_type", F.col("ts").cast("timestamp").cast("double").alias("at"))
+    spans = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "k", F.col("at").alias("start"), (F.col("at") + 3600 * (5 + F.col("event_id") % 20)).alias("stop"))
+    return R.interval_join(e.drop("event_type"), spans, "at", "start", "stop", 3600.0 * 15, ["k"]).select("event_id", "purchase_id")
 
 
 @register("insert_positions", "SELECT s_suppkey, (SELECT count(*) FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal < s_acctbal) AS position FROM supplier")
@@ -166,9 +166,9 @@ def first_and_last_value(spark, sf_dir):
     return e.groupBy("user_id").agg(r4(F.max_by("value", at) - F.min_by("value", at)).alias("change"), (F.max("ts").cast("long") - F.min("ts").cast("long")).alias("seconds"), F.count("*").alias("n"))
 
 
-@register("normalise_signal", f"SELECT user_id, list_transform(c, lambda v: round(greatest(least(CASE WHEN p < 500 THEN v * 256 ELSE v END, 32767.0), -32768.0), 4)) AS y FROM (SELECT user_id, c, list_sum(list_transform(c, lambda v: v * v)) / len(c) AS p FROM (SELECT user_id, list_transform(x, lambda v: v - list_sum(x) / len(x)) AS c FROM {_SERIES}))")
+@register("normalise_signal", f"SELECT user_id, list_transform(c, lambda v: round(greatest(least(CASE WHEN p < 500 THEN v * 256 ELSE v END, 32767.0), -32768.0), 8)) AS y FROM (SELECT user_id, c, list_sum(list_transform(c, lambda v: v * v)) / len(c) AS p FROM (SELECT user_id, list_transform(x, lambda v: v - list_sum(x) / len(x)) AS c FROM {_SERIES}))")
 def normalise_signal(spark, sf_dir):
-    return _series(spark, sf_dir).select("user_id", F.transform(C.normalise_signal(F.col("x"), low_power=500.0), lambda v: F.round(v, 4)).alias("y"))
+    return _series(spark, sf_dir).select("user_id", F.transform(C.normalise_signal(F.col("x"), low_power=500.0), lambda v: F.round(v, 8)).alias("y"))
 
 
 @register("manhattan_of_units", "SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.u, b.u), lambda p: abs(p[1] - p[2]))), 4) AS manhattan FROM (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda w: CAST(w AS DOUBLE) * w)))) AS u FROM embeddings) a JOIN (SELECT label, list_transform(e, lambda v: v / sqrt(list_sum(list_transform(e, lambda w: w * w)))) AS u FROM (SELECT label, list_transform(arg_min(embedding, vec_id), lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings GROUP BY 1)) b USING (label)")
