@@ -26,6 +26,7 @@ from .common import filesystem, save, shared_path, small_batches
 SEQ_LEN = 256
 HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("n", "<u2"), ("no_id", "<u2")])
 ROUNDS = 4
+LONG_CHARS = 65_536  # shards and their shuffle take most of the disk, so fewer texts than elsewhere are dealt out in pieces
 WIDE = 1 << 62  # numbers up to here fit a long
 TASKS = 20_000  # a task writes one shard after the other, so there need not be as many tasks as shards
 
@@ -95,7 +96,7 @@ def sequences(docs: DataFrame, vocab: str, key: str, size: int, per_doc: int, fi
             [doc_ids.take(pa.array(at)), pa.array(part.astype(np.int32)), pa.array(order), pa.array(shard), pa.array(body, pa.binary())], ["doc_id", "piece", "order", "shard", "ids"]
         )
 
-    return encode_documents(docs, vocab, finish, "doc_id long, piece int, order long, shard int, ids binary")
+    return encode_documents(docs, vocab, finish, "doc_id long, piece int, order long, shard int, ids binary", long_chars=LONG_CHARS)
 
 
 def materialise(docs: DataFrame, vocab: str, key: str = "epoch-0", seq_len: int = SEQ_LEN, shard_bytes: int = 32 << 20, path: str | None = None) -> DataFrame:
