@@ -12,6 +12,11 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(ZERO), lambda a, v: a + v)
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x computed once; a value used inside a lambda is else computed again for every element."""
+    return F.transform(F.array(x), f)[0]
+
+
 def dot(x: Column, y: Column) -> Column:
     return total(F.zip_with(x.cast("array<double>"), y.cast("array<double>"), lambda a, b: a * b))
 
@@ -30,8 +35,7 @@ def euclidean(x: Column, y: Column) -> Column:
 
 def unit(x: Column) -> Column:
     """Divided by the norm; NULL for a zero vector."""
-    n = norm(x)
-    return F.when(n > 0, F.transform(x.cast("array<double>"), lambda v: v / n))
+    return bound(norm(x), lambda n: F.when(n > 0, F.transform(x.cast("array<double>"), lambda v: v / n)))
 
 
 def cosine_distance(x: Column, y: Column) -> Column:
@@ -77,8 +81,7 @@ def second_difference(x: Column) -> Column:
 
 def log_sum_exp(x: Column) -> Column:
     """ln of the sum of exponentials, about the largest value."""
-    m = F.array_max(x)
-    return m + F.ln(F.aggregate(x, F.lit(ZERO), lambda a, v: a + F.exp(v - m)))
+    return bound(x, lambda y: bound(F.array_max(y), lambda m: m + F.ln(F.aggregate(y, F.lit(ZERO), lambda a, v: a + F.exp(v - m)))))
 
 
 def log_gauss(x: Column, mean: Column, var: Column, weight: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as V
 from .aggregates import exact_percentiles, mode
 from .relational import any_of, cap, numbered
 
@@ -151,8 +152,11 @@ def cube_root(x: Column) -> Column:
 
 def normalise_signal(x: Column, low_power: float = 1024.0, gain: float = 256.0) -> Column:
     """Remove the mean, raise quiet frames, saturate to 16 bits."""
-    n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-    centred = F.transform(x, lambda v: v - mean)
-    power = F.aggregate(centred, F.lit(0.0), lambda a, v: a + v * v) / n
-    return F.transform(centred, lambda v: F.greatest(F.least(F.when(power < low_power, v * gain).otherwise(v), F.lit(32767.0)), F.lit(-32768.0)))
+    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
+    saturated = lambda v: F.greatest(F.least(v, F.lit(32767.0)), F.lit(-32768.0))
+
+    def levelled(c: Column) -> Column:
+        power = F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v) / F.size(c)
+        return V.bound(F.when(power < low_power, gain).otherwise(1.0), lambda g: F.transform(c, lambda v: saturated(v * g)))
+
+    return V.bound(V.bound(mean, lambda m: F.transform(x, lambda v: v - m)), levelled)
\ No newline at end of file

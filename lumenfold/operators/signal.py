@@ -1,18 +1,24 @@
-"""Signal processing: framing, spectra, cepstra, pitch, denoising, speech checks.
+"""Signal processing on rows of frames: framing, spectra, cepstra, pitch, denoising, speech checks.
 
-Kernels are NumPy functions on one utterance; `per_utterance` applies them to array columns in Arrow batches, so an
-utterance is one row and nothing is shuffled.
+An utterance is cut into rows (key, frame, x); what works on one frame is a Column expression, what needs neighbours is a
+window or a fold over one utterance.  Only the Fourier transforms of a batch of frames are NumPy.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from ..functions import arrays as V
+from . import windows as W
+from .cleaning import normalise_signal
+from .models import constant
 
 
 @dataclass(frozen=True)
@@ -31,12 +37,19 @@ class Config:
 MAIN = Config()
 VOICE_LOCK = Config(mel=26, order=24, deltas=True)
 BANDS = ((300, 627), (628, 1060), (1061, 1633), (1634, 2393), (2394, 3400))  # Hz
+# Upper edges of the critical bands in Hz.
+CRITICAL = (100, 200, 300, 400, 510, 630, 770, 920, 1080, 1270, 1480, 1720, 2000, 2320, 2700, 3150, 3700, 4400, 5300, 6400, 7700, 9500)
+VECTOR, MATRIX = "array<double>", "array<array<double>>"
+
 
+def _saturate(v: Column) -> Column:
+    return F.greatest(F.least(v, F.lit(32767.0)), F.lit(-32768.0))
 
-def preemphasis(x: np.ndarray, a: float = 0.97) -> np.ndarray:
-    x = np.asarray(x, float)
-    before = np.concatenate([x[:1], x[:-1]])
-    return np.trunc(np.clip(x - a * before, -32768, 32767))
+
+def preemphasis(x: Column, a: float = 0.97) -> Column:
+    """Samples less a share of the one before, towards 0 and saturated; the first stands before itself."""
+    y = F.transform(x, lambda v, i: _saturate(v - a * F.when(i == 0, v).otherwise(F.element_at(x, F.greatest(i, F.lit(1))))))
+    return F.transform(y, lambda v: F.signum(v) * F.floor(F.abs(v)))
 
 
 def preemphasis_column(x: Column, percent: int = 97) -> Column:
@@ -46,34 +59,58 @@ def preemphasis_column(x: Column, percent: int = 97) -> Column:
     return F.transform(y, lambda v: F.greatest(F.least((F.signum(v) * F.floor(F.abs(v) / 100)).cast("long"), F.lit(32767)), F.lit(-32768)))
 
 
-def deemphasis(x: np.ndarray, a: float = 0.97) -> np.ndarray:
-    out = np.zeros(len(x))
-    last = 0.0
-    for i, v in enumerate(x):
-        last = v + a * last
-        out[i] = last
-    return np.clip(out, -32768, 32767)
+def deemphasis(x: Column, a: float = 0.97) -> Column:
+    """Each sample plus a share of the last result, saturated at the end: a fold in pieces of 64 samples that hand on their last value."""
+    piece = F.lit(64)
+    starts = F.when(F.size(x) > 0, F.sequence(F.lit(1), F.size(x), piece)).otherwise(F.array().cast("array<int>"))
+    run = lambda part, first: F.aggregate(part, F.array().cast(VECTOR), lambda acc, v: F.array_append(acc, v + a * F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc), -1), first)))
+    last = lambda parts: F.coalesce(F.element_at(F.element_at(F.when(F.size(parts) > 0, parts), -1), -1), F.lit(0.0))
+    pieces = F.aggregate(starts, F.array().cast(MATRIX), lambda parts, s: F.array_append(parts, run(F.slice(x.cast(VECTOR), s, piece), last(parts))))
+    return F.when(x.isNotNull(), F.transform(F.flatten(pieces), _saturate))
 
 
-def window(n: int, kind: str = "hamming") -> np.ndarray:
+def window(n: int, kind: str = "hamming") -> Column:
     a = 0.54 if kind == "hamming" else 0.5
-    return a - (1 - a) * np.cos(2 * np.pi * np.arange(n) / (n - 1))
+    return constant((a - (1 - a) * np.cos(2 * np.pi * np.arange(n) / (n - 1))).tolist(), VECTOR)
+
+
+def frame_rows(df: DataFrame, key: str, samples: str, c: Config = MAIN) -> DataFrame:
+    """Rows (key, frame, x) of overlapping frames; utterances shorter than a frame, and null ones, have none."""
+    return df.select(key, F.posexplode(W.frames(F.col(samples).cast(VECTOR), c.frame, c.stride)).alias("frame", "x"))
+
 
+def _batches(frames: DataFrame, name: str, f) -> DataFrame:
+    """Add what `f` makes of a batch of rows, one vector a row.
 
-def frames(x: np.ndarray, size: int = 512, stride: int = 256) -> np.ndarray:
-    n = max(0, (len(x) - size) // stride + 1) if len(x) >= size else 0
-    return np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), size)[::stride][:n] if n else np.zeros((0, size))
+    An operator of its own, as Catalyst neither takes a UDF into a lambda nor lambdas into a UDF's arguments.
+    """
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            if len(p):
+                yield p.assign(**{name: list(f(p))})
 
-def normalise(f: np.ndarray, low: float = 1024.0, gain: float = 256.0) -> np.ndarray:
-    f = f - f.mean(axis=1, keepdims=True)
-    quiet = (f * f).mean(axis=1, keepdims=True) < low
-    return np.clip(np.where(quiet, f * gain, f), -32768, 32767)
+    return frames.mapInPandas(run, StructType([*frames.schema.fields, StructField(name, ArrayType(DoubleType()))]))
 
 
-def spectrogram(x: np.ndarray, c: Config = MAIN, compress: str = "none") -> np.ndarray:
-    s = np.abs(np.fft.rfft(normalise(frames(x, c.frame, c.stride)) * window(c.frame), axis=1))
-    return s if compress == "none" else np.log(np.maximum(s, 1.0)) if compress == "log" else s**0.34
+def magnitudes(frames: DataFrame, x: str, name: str) -> DataFrame:
+    """Add the absolute values of the spectrum of frames of one length."""
+    return _batches(frames, name, lambda p: np.abs(np.fft.rfft(np.stack(list(p[x])), axis=1)))
+
+
+def _reshaped(frames: DataFrame, c: Config) -> DataFrame:
+    """Add `y`: frames whose spectrum is multiplied by a gain for each bin."""
+    return _batches(frames, "y", lambda p: np.fft.irfft(np.fft.rfft(np.stack(list(p["x"])), axis=1) * np.stack(list(p["gain"])), n=c.frame, axis=1))
+
+
+def spectrogram(df: DataFrame, key: str, samples: str, c: Config = MAIN, compress: str = "none") -> DataFrame:
+    """Rows (key, frame, s): magnitudes of normalised, windowed frames; plain, as logarithms or as roots."""
+    shaped = F.zip_with(normalise_signal(F.col("x")), window(c.frame), lambda v, w: v * w)
+    s = magnitudes(frame_rows(df, key, samples, c).select(key, "frame", shaped.alias("x")), "x", "s").drop("x")
+    if compress == "none":
+        return s
+    squeeze = (lambda v: F.ln(F.greatest(v, F.lit(1.0)))) if compress == "log" else (lambda v: F.pow(v, F.lit(0.34)))
+    return s.withColumn("s", F.transform("s", squeeze))
 
 
 def mel(f):
@@ -83,201 +120,230 @@ def mel(f):
 def mel_filters(c: Config = MAIN, low: float = 0.0, high: float = 8000.0) -> np.ndarray:
     """filters x bins: triangles that are linear in mel, with centres on whole bins."""
     centre = np.linspace(mel(low), mel(high), c.mel + 2)
-    bins = np.round(c.frame * 700 * np.expm1(centre / 1127) / c.rate)
-    at = mel(bins * c.rate / c.frame)
+    at = mel(np.round(c.frame * 700 * np.expm1(centre / 1127) / c.rate) * c.rate / c.frame)
     m = mel(np.arange(c.frame // 2 + 1) * c.rate / c.frame)
     up = (m - at[:-2, None]) / np.maximum(at[1:-1] - at[:-2], 1e-9)[:, None]
     down = (at[2:, None] - m) / np.maximum(at[2:] - at[1:-1], 1e-9)[:, None]
     return np.clip(np.minimum(up, down), 0, None)
 
 
-def dct_matrix(n: int, order: int) -> np.ndarray:
-    return np.cos(np.pi * np.arange(1, order + 1)[:, None] * (np.arange(1, n + 1) - 0.5) / n)
-
-
-def mfcc(x: np.ndarray, c: Config = MAIN) -> np.ndarray:
-    """frames x coefficients: mel energies, logarithm or root, cosine transform, with RASTA and deltas if configured."""
-    energy = spectrogram(x, c) @ mel_filters(c).T
-    squeezed = np.log(np.maximum(energy, 1.0)) if c.root is None else energy**c.root
-    out = squeezed @ dct_matrix(c.mel, c.order).T
-    if c.deltas and len(out) >= 5:
-        smooth = rasta(out)
-        out = np.concatenate([smooth, deltas(smooth)], axis=1)[4:]
-    return out
-
-
-def deltas(m: np.ndarray) -> np.ndarray:
-    w = np.array([-0.2, -0.1, 0.0, 0.1, 0.2])
-    out = np.zeros_like(m)
-    for i, a in enumerate(w):
-        out[4:] += a * m[i : len(m) - 4 + i]
-    return out
-
-
-def rasta(m: np.ndarray, pole: float = 0.98) -> np.ndarray:
-    out = deltas(m)
-    for t in range(1, len(out)):
-        out[t] += pole * out[t - 1]
-    return out
-
-
-def second_differences(s: np.ndarray) -> np.ndarray:
-    """Of a spectrogram: in time and in frequency, side by side, without the borders."""
-    time = s[2:, 1:-1] - 2 * s[1:-1, 1:-1] + s[:-2, 1:-1]
-    pitch = s[1:-1, 2:] - 2 * s[1:-1, 1:-1] + s[1:-1, :-2]
-    return np.concatenate([time, pitch], axis=1)
-
-
-def zero_crossing_rate(x: np.ndarray) -> float:
-    return float(np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0)) / len(x)) if len(x) else 0.0
-
-
-def sub_band(x: np.ndarray, c: Config = MAIN, alpha: float = 3.0) -> np.ndarray:
-    """frames x (centroid, Renyi entropy) of five bands."""
-    power = spectrogram(x, c) ** 2
-    hz = np.arange(power.shape[1]) * c.rate / c.frame
-    out = []
-    for a, b in BANDS:
-        inside = (hz >= a) & (hz <= b)
-        p = power[:, inside]
-        share = p / np.maximum(p.sum(axis=1, keepdims=True), 1e-12)
-        out += [share @ hz[inside], np.log2(np.maximum((share**alpha).sum(axis=1), 1e-12)) / (1 - alpha)]
-    return np.stack(out, axis=1)
-
-
-def pitch(x: np.ndarray, rate: int = 16000, low: int = 50, high: int = 205, kind: str = "acf") -> float:
-    """Hertz of the lag with the largest autocorrelation (or least mean difference); 0 for silence."""
-    x = np.asarray(x, float)
-    if len(x) <= high or not np.any(x):
-        return 0.0
-    lags = range(low, high + 1)
-    if kind == "acf":
-        v = [float(x[k:] @ x[:-k]) for k in lags]
-        return rate / (low + int(np.argmax(v)))
-    v = [float(np.abs(x[k:] - x[:-k]).mean()) for k in lags]
-    return rate / (low + int(np.argmin(v)))
-
-
-def _overlap_add(x: np.ndarray, c: Config, gain: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    f = frames(x, c.frame, c.stride)
-    if not len(f):
-        return np.asarray(x, float)
-    spectrum = np.fft.rfft(f * window(c.frame, "hann"), axis=1)
-    back = np.fft.irfft(spectrum * gain(np.abs(spectrum) ** 2), n=c.frame, axis=1)
-    out = np.zeros(len(x))
-    for i, b in enumerate(back):
-        out[i * c.stride : i * c.stride + c.frame] += b
-    return np.clip(out, -32768, 32767)
-
-
-def spectral_subtraction(x: np.ndarray, c: Config = MAIN, quiet_frames: int = 6, floor: float = 0.03) -> np.ndarray:
-    """Subtract more of the noise where the signal is weak; the first frames are taken as noise."""
-
-    def gain(power: np.ndarray) -> np.ndarray:
-        noise = power[:quiet_frames].mean(axis=0)
-        snr = 10 * np.log10(np.maximum(power.sum(axis=1), 1e-9) / max(noise.sum(), 1e-9))
-        over = np.clip(4 - 0.15 * snr, 1, 5)[:, None]
-        return np.sqrt(np.maximum(power - over * noise, floor * noise) / np.maximum(power, 1e-9))
-
-    return _overlap_add(x, c, gain)
-
-
-def wiener(x: np.ndarray, c: Config = MAIN, quiet_frames: int = 6, alpha: float = 0.98, hang_over: int = 15) -> np.ndarray:
-    """Decision-directed gain; the noise follows frames without speech, which must last longer than the hang-over."""
-
-    def gain(power: np.ndarray) -> np.ndarray:
-        noise = power[:quiet_frames].mean(axis=0)
-        before, out, hold = np.ones(power.shape[1]), np.empty_like(power), 0
-        for t, p in enumerate(power):
-            post = p / np.maximum(noise, 1e-9)
-            speech = np.log(np.maximum(post, 1e-9)).mean() > 0.6
-            hold = hang_over if speech else max(0, hold - 1)
-            if not hold:
-                noise = 0.95 * noise + 0.05 * p
-            prior = alpha * before + (1 - alpha) * np.maximum(post - 1, 0)
-            out[t] = prior / (1 + prior)
-            before = out[t] ** 2 * post
-        return out
-
-    return _overlap_add(x, c, gain)
+def mel_energies(s: Column, c: Config = MAIN) -> Column:
+    """Filter-bank energies of a spectrum; each filter reads only the bins that it covers."""
+    table = []
+    for f in mel_filters(c):
+        used = np.flatnonzero(f) if f.any() else np.array([0])
+        table.append({"first": int(used[0]) + 1, "w": f[used[0] : used[-1] + 1].tolist()})
+    filters = constant(table, "array<struct<first: int, w: array<double>>>")
+    return V.bound(s, lambda bins: F.transform(filters, lambda t: V.dot(F.slice(bins, t["first"], F.size(t["w"])), t["w"])))
 
 
-# Upper edges of the critical bands in Hz.
-CRITICAL = (100, 200, 300, 400, 510, 630, 770, 920, 1080, 1270, 1480, 1720, 2000, 2320, 2700, 3150, 3700, 4400, 5300, 6400, 7700, 9500)
+def mfcc(df: DataFrame, key: str, samples: str, c: Config = MAIN) -> DataFrame:
+    """Rows (key, frame, mfcc): mel energies, logarithm or root, cosine transform, with RASTA and deltas if configured."""
+    squeeze = (lambda v: F.ln(F.greatest(v, F.lit(1.0)))) if c.root is None else (lambda v: F.pow(v, F.lit(c.root)))
+    waves = constant(np.cos(np.pi * np.arange(1, c.order + 1)[:, None] * (np.arange(1, c.mel + 1) - 0.5) / c.mel).tolist(), MATRIX)
+    out = spectrogram(df, key, samples, c).withColumn("e", F.transform(mel_energies(F.col("s"), c), squeeze))
+    out = out.select(key, "frame", V.bound(F.col("e"), lambda e: F.transform(waves, lambda w: V.dot(w, e))).alias("mfcc"))
+    if not c.deltas:
+        return out
+    # Below five frames nothing is added, so that such an utterance keeps plain coefficients.
+    long = out.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+    smooth = rasta(long.filter("_n >= 5"), key, "mfcc", "smooth")
+    both = deltas(smooth, key, "smooth", "d").filter("frame >= 4").select(key, (F.col("frame") - 4).alias("frame"), F.concat("smooth", "d").alias("mfcc"))
+    return both.unionByName(long.filter("_n < 5").select(key, "frame", "mfcc"))
+
+
+def deltas(frames: DataFrame, key: str, x: str, name: str) -> DataFrame:
+    """Add the weighted sum of the last five frames' vectors; zeros for the first four frames."""
+    w = Window.partitionBy(key).orderBy("frame")
+    times = lambda x, a: F.transform(x, lambda v: v * a)
+    parts = [times(F.lag(x, 4 - i).over(w), a) for i, a in enumerate(W.DELTA)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = F.zip_with(out, p, lambda u, v: u + v)
+    return frames.withColumn(name, F.coalesce(out, F.transform(x, lambda v: F.lit(0.0))))
+
+
+def rasta(frames: DataFrame, key: str, x: str, name: str, pole: float = 0.98) -> DataFrame:
+    """Deltas through a recursive filter: a fold over one utterance's frames."""
+    d = deltas(frames, key, x, "_d")
+    ordered = F.array_sort(F.collect_list(F.struct("frame", "_d")))
+    fold = lambda s: F.aggregate(F.slice(s, 2, F.size(s)), F.array(s[0]["_d"]), lambda acc, r: F.array_append(acc, F.zip_with(r["_d"], F.element_at(acc, -1), lambda u, v: u + pole * v)))
+    lines = d.groupBy(key).agg(ordered.alias("_s")).select(key, F.explode(F.arrays_zip(F.transform("_s", lambda r: r["frame"]).alias("frame"), fold(F.col("_s")).alias("y"))).alias("r"))
+    return lines.select(key, F.col("r.frame").alias("frame"), F.col("r.y").alias(name))
+
+
+def second_differences(spectra: DataFrame, key: str) -> DataFrame:
+    """Of spectra (key, frame, s): in time and in frequency, side by side, without the borders; frames count from 0 again."""
+    w = Window.partitionBy(key).orderBy("frame")
+    inner = lambda x: F.slice(x, 2, F.size(x) - 2)
+    both = spectra.withColumns({"_a": F.lag("s").over(w), "_b": F.lead("s").over(w)}).filter("_a is not null and _b is not null")
+    time = inner(F.zip_with(F.zip_with("_a", "_b", lambda u, v: u + v), "s", lambda u, v: u - 2 * v))
+    return both.select(key, (F.col("frame") - 1).alias("frame"), F.concat(time, V.second_difference(F.col("s"))).alias("d"))
+
+
+def _bins(c: Config, low: float, high: float) -> tuple[np.ndarray, int]:
+    hz = np.arange(c.frame // 2 + 1) * c.rate / c.frame
+    inside = np.flatnonzero((hz >= low) & (hz <= high))
+    return hz[inside], int(inside[0]) + 1
+
+
+def sub_band(df: DataFrame, key: str, samples: str, c: Config = MAIN, alpha: float = 3.0) -> DataFrame:
+    """Rows (key, frame, bands): centroid and Renyi entropy of each of five bands."""
+
+    def measures(low: float, high: float) -> Column:
+        hz, first = _bins(c, low, high)
+        power = F.transform(F.slice("s", first, len(hz)), lambda v: v * v)
+        share = V.bound(power, lambda p: V.bound(F.greatest(V.total(p), F.lit(1e-12)), lambda t: F.transform(p, lambda v: v / t)))
+        entropy = lambda q: F.log2(F.greatest(V.total(F.transform(q, lambda v: F.pow(v, F.lit(alpha)))), F.lit(1e-12))) / (1 - alpha)
+        return V.bound(share, lambda q: F.array(V.dot(q, constant(hz.tolist(), VECTOR)), entropy(q)))
+
+    out = [measures(low, high) for low, high in BANDS]
+    return spectrogram(df, key, samples, c).select(key, "frame", F.concat(*out).alias("bands"))
+
+
+def pitch(x: Column, rate: int = 16000, low: int = 50, high: int = 205, kind: str = "acf") -> Column:
+    """Hertz of the lag with the largest autocorrelation (or least mean difference); 0 for silence and short frames."""
+    n = F.size(x)
+    late, early = lambda k: F.slice(x, k + 1, n), lambda k: F.slice(x, F.lit(1), n - k)
+    measure = (lambda k: V.dot(late(k), early(k))) if kind == "acf" else (lambda k: -V.total(F.zip_with(late(k), early(k), lambda u, v: F.abs(u - v))) / (n - k))
+    values = F.transform(F.sequence(F.lit(low), F.lit(high)), measure)
+    return F.when((n > high) & F.exists(x, lambda v: v != 0), rate / (low + V.bound(values, V.argmax))).otherwise(0.0)
+
+
+def _spectra(df: DataFrame, key: str, samples: str, c: Config, quiet_frames: int) -> DataFrame:
+    """Windowed frames with their power and the mean power of the first frames: key, frame, x, p, noise."""
+    if c.frame != 2 * c.stride:
+        raise ValueError("frames must overlap by half")
+    f = frame_rows(df, key, samples, c).select(key, "frame", F.zip_with("x", window(c.frame, "hann"), lambda v, w: v * w).alias("x"))
+    f = magnitudes(f, "x", "p").withColumn("p", F.transform("p", lambda v: v * v))
+    bins = f.filter(F.col("frame") < quiet_frames).select(key, F.posexplode("p").alias("i", "v")).groupBy(key, "i").agg(F.avg("v").alias("v"))
+    noise = bins.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("noise"))
+    return f.join(noise, key)
+
+
+def _overlap_add(df: DataFrame, key: str, samples: str, frames: DataFrame, c: Config) -> DataFrame:
+    """Frames with a `gain` back to samples of the utterance's length: rows (key, y); a short utterance stays."""
+    b = _reshaped(frames.select(key, "frame", "x", "gain"), c).drop("x", "gain")
+    w = Window.partitionBy(key).orderBy("frame")
+    half = F.slice("y", 1, c.stride)
+    before = F.lag(F.slice("y", c.stride + 1, c.stride)).over(w)
+    tail = F.when(F.lead("frame").over(w).isNull(), F.slice("y", c.stride + 1, c.stride)).otherwise(F.array().cast(VECTOR))
+    parts = b.select(key, "frame", F.concat(F.coalesce(F.zip_with(half, before, lambda u, v: u + v), half), tail).alias("y"))
+    whole = parts.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frame", "y"))), lambda s: s["y"])).alias("_y"))
+    n = F.size(F.col(samples))
+    padded = F.concat("_y", F.array_repeat(F.lit(0.0), n - F.size("_y")))
+    return df.join(whole, key, "left").select(key, F.when(F.col("_y").isNull(), F.col(samples).cast(VECTOR)).otherwise(F.transform(padded, _saturate)).alias("y"))
+
+
+def spectral_subtraction(df: DataFrame, key: str, samples: str, c: Config = MAIN, quiet_frames: int = 6, floor: float = 0.03) -> DataFrame:
+    """Subtract more of the noise where the signal is weak; the first frames are taken as noise.  Rows (key, y)."""
+    s = _spectra(df, key, samples, c, quiet_frames)
+    snr = 10 * F.log10(F.greatest(V.total(F.col("p")), F.lit(1e-9)) / F.greatest(V.total(F.col("noise")), F.lit(1e-9)))
+    s = s.withColumn("over", F.greatest(F.least(4 - 0.15 * snr, F.lit(5.0)), F.lit(1.0)))
+    gain = F.zip_with("p", "noise", lambda p, m: F.sqrt(F.greatest(p - F.col("over") * m, floor * m) / F.greatest(p, F.lit(1e-9))))
+    return _overlap_add(df, key, samples, s.withColumn("gain", gain), c)
+
+
+def wiener(df: DataFrame, key: str, samples: str, c: Config = MAIN, quiet_frames: int = 6, alpha: float = 0.98, hang_over: int = 15) -> DataFrame:
+    """Decision-directed gain: a fold over one utterance's frames.  Rows (key, y).
+
+    The noise follows frames without speech, once the hang-over after speech has passed.
+    """
+    s = _spectra(df, key, samples, c, quiet_frames)
+    one = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("frame", "p"))).alias("s"), F.first("noise").alias("noise"))
+    state = F.struct(F.col("noise").alias("noise"), F.transform("noise", lambda v: F.lit(1.0)).alias("before"), F.lit(0).alias("hold"), F.array().cast(MATRIX).alias("gains"))
+
+    def step(a: Column, row: Column) -> Column:
+        post = F.array(F.zip_with(row["p"], a["noise"], lambda p, m: p / F.greatest(m, F.lit(1e-9))))
+
+        def decide(q: Column) -> Column:
+            speech = V.total(F.transform(q, lambda v: F.ln(F.greatest(v, F.lit(1e-9))))) / F.size(q) > 0.6
+            hold = F.when(speech, hang_over).otherwise(F.greatest(a["hold"] - 1, F.lit(0)))
+            noise = F.when(hold == 0, F.zip_with(a["noise"], row["p"], lambda m, p: 0.95 * m + 0.05 * p)).otherwise(a["noise"])
+            prior = F.zip_with(a["before"], q, lambda b, v: alpha * b + (1 - alpha) * F.greatest(v - 1, F.lit(0.0)))
+            return V.bound(F.transform(prior, lambda v: v / (1 + v)), lambda g: F.struct(noise.alias("noise"), F.zip_with(g, q, lambda u, v: u * u * v).alias("before"), hold.cast("int").alias("hold"), F.array_append(a["gains"], g).alias("gains")))
+
+        return F.transform(post, decide)[0]
+
+    gains = F.aggregate("s", state, step, lambda a: a["gains"])
+    lines = one.select(key, F.posexplode(gains).alias("frame", "gain"))
+    return _overlap_add(df, key, samples, s.join(lines, [key, "frame"]), c)
 
 
-def masking_threshold(power: np.ndarray, c: Config = MAIN) -> np.ndarray:
+def masking_threshold(power: Column, c: Config = MAIN) -> Column:
     """Threshold of each bin of one frame: band energies spread to their neighbours, lowered by how tonal the frame is."""
-    hz = np.arange(len(power)) * c.rate / c.frame
-    band = np.minimum(np.searchsorted(CRITICAL, hz), len(CRITICAL) - 1)
+    hz = np.arange(c.frame // 2 + 1) * c.rate / c.frame
     n = len(CRITICAL)
-    energy = np.bincount(band, power, n)
-    dz = np.arange(n)[:, None] - np.arange(n)[None, :]
-    spread = 10 ** ((15.81 + 7.5 * (dz + 0.474) - 17.5 * np.sqrt(1 + (dz + 0.474) ** 2)) / 10)
-    flat = np.exp(np.log(np.maximum(power, 1e-9)).mean()) / max(power.mean(), 1e-9)
-    tonal = min(max(10 * np.log10(max(flat, 1e-9)) / -60, 0), 1)
-    offset = tonal * (14.5 + np.arange(1, n + 1)) + (1 - tonal) * 5.5
-    width = np.maximum(np.bincount(band, minlength=n), 1)
-    return ((spread @ energy) * 10 ** (-offset / 10) / width)[band]
-
-
-def perceptual_denoise(x: np.ndarray, c: Config = MAIN, quiet_frames: int = 6) -> np.ndarray:
-    """Subtract only the noise that the masking threshold of the signal does not hide."""
-
-    def gain(power: np.ndarray) -> np.ndarray:
-        noise = power[:quiet_frames].mean(axis=0)
-        out = np.empty_like(power)
-        for t, p in enumerate(power):
-            clean = np.maximum(p - noise, 0.01 * noise)
-            heard = np.maximum(noise - masking_threshold(clean, c), 0)
-            out[t] = np.sqrt(np.maximum(p - 2 * heard, 0.05 * p) / np.maximum(p, 1e-9))
-        return out
-
-    return _overlap_add(x, c, gain)
-
-
-class EnergyCheck:
-    """Speech decision of one frame after the other; the noise level follows frames without speech."""
-
-    def __init__(self, mean: float = 0.004, dev: float = 0.0, keep: float = 0.998):
-        self.mean, self.dev, self.keep = mean, dev, keep
-
-    def speech(self, frame: np.ndarray) -> bool:
-        y = preemphasis(frame) / 32768
-        e = 16 * np.log2(1 + float(y @ y) / 64)
-        sigma = max(np.sqrt(self.dev), np.log10(max(self.mean * 1e4, 1.0)) / 900)
-        if e > self.mean + 3 * sigma:
-            return True
-        self.dev = self.keep * self.dev + (1 - self.keep) * (e - self.mean) ** 2
-        self.mean = self.keep * self.mean + (1 - self.keep) * e
-        return False
-
-
-def admit(x: np.ndarray, c: Config = MAIN, share: float = 0.001) -> np.ndarray:
-    """Frames whose energy is at least a share of the largest."""
-    f = frames(x, c.frame, c.stride)
-    e = (f * f).sum(axis=1)
-    return f[e >= share * e.max()] if len(f) else f
-
-
-def cmvn(m: np.ndarray) -> np.ndarray:
-    """Mean 0 and population deviation 1 a column; a constant column becomes 0."""
-    dev = m.std(axis=0)
-    return np.divide(m - m.mean(axis=0), dev, out=np.zeros_like(m), where=dev > 0)
-
-
-def add_noise(signal: np.ndarray, noise: np.ndarray, snr_db: float) -> np.ndarray:
+    band = np.minimum(np.searchsorted(CRITICAL, hz), n - 1)
+    width = np.bincount(band, minlength=n)
+    first = np.concatenate([[0], np.cumsum(width)[:-1]]) + 1
+    dz = np.arange(n)[:, None] - np.arange(n)[None, :] + 0.474
+    spread = 10 ** ((15.81 + 7.5 * dz - 17.5 * np.sqrt(1 + dz**2)) / 10)
+    rows = [{"first": int(f), "n": int(m), "spread": r.tolist()} for f, m, r in zip(first, width, spread)]
+    bands = constant(rows, "array<struct<first: int, n: int, spread: array<double>>>")
+    def measures(p: Column) -> Column:
+        energy = F.transform(bands, lambda b: V.total(F.slice(p, b["first"], b["n"])))
+        mean = V.total(p) / F.size(p)
+        flat = F.exp(V.total(F.transform(p, lambda v: F.ln(F.greatest(v, F.lit(1e-9))))) / F.size(p)) / F.greatest(mean, F.lit(1e-9))
+        tonal = F.least(F.greatest(10 * F.log10(F.greatest(flat, F.lit(1e-9))) / -60, F.lit(0.0)), F.lit(1.0))
+        return F.struct(energy.alias("energy"), tonal.alias("tonal"))
+
+    def levels(both: Column) -> Column:
+        offset = lambda i: both["tonal"] * (15.5 + i) + (1 - both["tonal"]) * 5.5
+        level = F.transform(bands, lambda b, i: V.dot(b["spread"], both["energy"]) * F.pow(F.lit(10.0), -offset(i) / 10) / F.greatest(b["n"], F.lit(1)))
+        return V.bound(level, lambda t: F.transform(constant((band + 1).tolist(), "array<int>"), lambda i: F.element_at(t, i)))
+
+    return V.bound(V.bound(power, measures), levels)
+
+
+def perceptual_denoise(df: DataFrame, key: str, samples: str, c: Config = MAIN, quiet_frames: int = 6) -> DataFrame:
+    """Subtract only the noise that the masking threshold of the signal does not hide.  Rows (key, y)."""
+    s = _spectra(df, key, samples, c, quiet_frames)
+    s = s.withColumn("clean", F.zip_with("p", "noise", lambda p, m: F.greatest(p - m, 0.01 * m)))
+    s = s.withColumn("heard", F.zip_with("noise", masking_threshold(F.col("clean"), c), lambda m, t: F.greatest(m - t, F.lit(0.0))))
+    gain = F.zip_with("p", "heard", lambda p, h: F.sqrt(F.greatest(p - 2 * h, 0.05 * p) / F.greatest(p, F.lit(1e-9))))
+    return _overlap_add(df, key, samples, s.withColumn("gain", gain), c)
+
+
+def speech_by_energy(frames: DataFrame, key: str, mean: float = 0.004, dev: float = 0.0, keep: float = 0.998) -> DataFrame:
+    """Rows (key, frame, speech): the noise level follows frames without speech, a fold over one utterance's energies."""
+    y = V.total(F.transform(preemphasis(F.col("x")), lambda v: v * v / 32768.0**2))
+    e = frames.select(key, "frame", (16 * F.log2(1 + y / 64)).alias("e"))
+    one = e.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("frame", "e"))).alias("s"))
+    state = F.struct(F.lit(mean).alias("mean"), F.lit(dev).alias("dev"), F.array().cast("array<struct<frame: int, speech: boolean>>").alias("out"))
+
+    def step(a: Column, r: Column) -> Column:
+        sigma = F.greatest(F.sqrt(a["dev"]), F.log10(F.greatest(a["mean"] * 1e4, F.lit(1.0))) / 900)
+        speech = r["e"] > a["mean"] + 3 * sigma
+        found = F.array_append(a["out"], F.struct(r["frame"].alias("frame"), speech.alias("speech")))
+        level, spread = keep * a["mean"] + (1 - keep) * r["e"], keep * a["dev"] + (1 - keep) * F.pow(r["e"] - a["mean"], F.lit(2))
+        return F.struct(F.when(speech, a["mean"]).otherwise(level).alias("mean"), F.when(speech, a["dev"]).otherwise(spread).alias("dev"), found.alias("out"))
+
+    return one.select(key, F.inline(F.aggregate("s", state, step, lambda a: a["out"])))
+
+
+def admit(frames: DataFrame, key: str, share: float = 0.001) -> DataFrame:
+    """Frames whose energy is at least a share of their utterance's largest."""
+    e = frames.withColumn("_e", V.dot(F.col("x"), F.col("x")))
+    return e.withColumn("_m", F.max("_e").over(Window.partitionBy(key))).filter(F.col("_e") >= share * F.col("_m")).drop("_e", "_m")
+
+
+def cmvn(frames: DataFrame, key: str, x: str, dims: int) -> DataFrame:
+    """Mean 0 and population deviation 1 of each coefficient over an utterance; a constant one becomes 0."""
+    stats = frames.groupBy(key).agg(*[F.array(*[f(F.col(x)[i]) for i in range(dims)]).alias(n) for n, f in (("_m", F.avg), ("_s", F.stddev_pop))])
+    centred = F.zip_with(x, "_m", lambda v, m: v - m)
+    return frames.join(stats, key).withColumn(x, F.zip_with(centred, "_s", lambda v, s: F.when(s > 0, v / s).otherwise(0.0))).drop("_m", "_s")
+
+
+def add_noise(signal: Column, noise: Column, snr_db: float) -> Column:
     """Noise scaled to the wanted ratio of powers, repeated to the signal's length."""
-    noise = np.resize(noise, len(signal))
-    gain = np.sqrt((signal**2).mean() / max((noise**2).mean(), 1e-12) / 10 ** (snr_db / 10))
-    return signal + gain * noise
+    power = lambda x: V.dot(x, x) / F.size(x)
+    repeated = F.transform(signal, lambda v, i: F.element_at(noise, F.pmod(i, F.size(noise)).cast("int") + 1))
 
+    def mixed(m: Column) -> Column:
+        gain = F.sqrt(power(signal) / F.greatest(power(m), F.lit(1e-12)) / 10 ** (snr_db / 10))
+        return V.bound(gain, lambda g: F.zip_with(signal, m, lambda u, v: u + g * v))
 
-def per_utterance(df: DataFrame, samples: str, f: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
-    """Add the result of a kernel, a matrix or a vector, for each row's samples (null: null)."""
+    return V.bound(repeated, mixed)
 
-    @F.pandas_udf("array<array<double>>")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else np.atleast_2d(f(np.asarray(v, float))).tolist())
 
-    return df.withColumn(name, run(F.col(samples)))

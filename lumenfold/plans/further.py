@@ -9,11 +9,11 @@ from ..catalog import register, table
 from ..functions import arrays as V
 from ..operators import aggregates as A
 from ..operators import cleaning as C
-from ..operators import evaluation
+from ..operators import dtw, evaluation, models, signal
 from ..operators import relational as R
 from ..operators import windows as W
 from ..streaming import segments as G
-from .texts import _SERIES, _series, r4
+from .texts import _CENTRE, _SERIES, _centroids, _series, r4
 
 
 @register(
@@ -184,3 +184,77 @@ def rolling_extremes(spark, sf_dir):
     by, within = ["ts", "event_id"], ["user_id"]
     v = F.col("value")
     return table(spark, sf_dir, "events").select("event_id", r4(W.rolling(v, 5, by, within, "max")).alias("high"), r4(W.rolling(v, 5, by, within, "min")).alias("low"))
+
+
+@register(
+    "adapted_means",
+    _CENTRE
+    + """, k AS (SELECT label AS name, mean, var, n / CAST((SELECT count(*) FROM embeddings) AS DOUBLE) AS w FROM c),
+       p AS (SELECT vec_id, embedding, name, mean, ln(w) - 0.5 * list_sum(list_transform(var, lambda v: ln(v) + ln(2 * pi()))) - 0.5 * list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), mean, var), lambda z: (z[1] - z[2]) * (z[1] - z[2]) / z[3])) AS l FROM embeddings, k),
+       m AS (SELECT *, l - max(l) OVER (PARTITION BY vec_id) AS d FROM p), r AS (SELECT *, exp(d) / sum(exp(d)) OVER (PARTITION BY vec_id) AS r FROM m),
+       u AS (SELECT name, r, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(mean) AS a, generate_subscripts(mean, 1) AS i FROM r)
+       SELECT name AS label, CAST(i - 1 AS INTEGER) AS i, round((sum(r * v) + 16 * any_value(a)) / (sum(r) + 16), 4) AS mean FROM u GROUP BY name, i""",
+)
+def adapted_means(spark, sf_dir):
+    """The labels' mixture adapted to all vectors: one round."""
+    g = _centroids(spark, sf_dir).orderBy("label").collect()  # one row a class
+    start = models.gmm_table(spark, "labels", [r["weight"] for r in g], [r["mean"] for r in g], [r["var"] for r in g])
+    names = spark.createDataFrame([(i, r["label"]) for i, r in enumerate(g)], f"comp int, label {dict(table(spark, sf_dir, 'embeddings').dtypes)['label']}")
+    e = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"))
+    out = models.adapt(e, start, rounds=1).join(F.broadcast(names), "comp")
+    return out.select("label", F.posexplode("mean").alias("i", "mean")).withColumn("mean", r4(F.col("mean")))
+
+
+@register(
+    "deemphasised",
+    f"SELECT user_id, list_transform(generate_series(1, len(x)), lambda i: round(list_sum(list_transform(generate_series(greatest(1, i - 1000), i), lambda j: x[j] * pow(0.97, i - j))), 6)) AS y FROM {_SERIES}",
+)
+def deemphasised(spark, sf_dir):
+    return _series(spark, sf_dir).select("user_id", F.transform(signal.deemphasis(F.col("x")), lambda v: F.round(v, 6)).alias("y"))
+
+
+@register("mixture_of_vectors")
+def mixture_of_vectors(spark, sf_dir):
+    """A mixture of ten components fitted to all vectors."""
+    return models.gmm_fit(table(spark, sf_dir, "embeddings"), "embedding", 10, rounds=5)
+
+
+@register("kernel_clusters")
+def kernel_clusters(spark, sf_dir):
+    return models.kernel_kmeans(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 10, "vec_id", gamma=0.5).select("vec_id", "cluster")
+
+
+@register("vector_codebooks")
+def vector_codebooks(spark, sf_dir):
+    """Each label's vectors against the codebooks of all labels."""
+    e = table(spark, sf_dir, "embeddings")
+    return models.nearest_codebook(e.withColumnRenamed("label", "spoken"), "spoken", "embedding", models.codebooks(e, "label", "embedding", 4))
+
+
+def _waves(spark, sf_dir):
+    """Each user's series, held for 64 samples a value, as an utterance."""
+    return _series(spark, sf_dir).select("user_id", F.flatten(F.transform("x", lambda v: F.array_repeat(v * 100, 64))).alias("samples"))
+
+
+@register("denoised_series")
+def denoised_series(spark, sf_dir):
+    return signal.spectral_subtraction(_waves(spark, sf_dir), "user_id", "samples")
+
+
+@register("speech_frames")
+def speech_frames(spark, sf_dir):
+    return signal.speech_by_energy(signal.frame_rows(_waves(spark, sf_dir), "user_id", "samples"), "user_id")
+
+
+@register("band_features")
+def band_features(spark, sf_dir):
+    return signal.sub_band(_waves(spark, sf_dir), "user_id", "samples")
+
+
+@register("fused_templates")
+def fused_templates(spark, sf_dir):
+    """One template for each event type from the series of its months."""
+    e = table(spark, sf_dir, "events").filter("value is not null").withColumn("id", F.date_format(F.col("ts").cast("timestamp"), "yyyyMM"))
+    days = e.groupBy("event_type", "id", F.dayofmonth(F.col("ts").cast("timestamp")).alias("day")).agg(F.array(F.avg("value"), F.stddev_pop("value")).alias("f"))
+    months = days.groupBy("event_type", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "f"))), lambda s: s["f"]).alias("frames"))
+    return dtw.fuse_by_key(months, "event_type")

@@ -376,14 +376,14 @@ def dtw_pairs(spark, sf_dir):
 @register("series_stationarity")
 def series_stationarity(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("value is not null").withColumn("at", F.col("ts").cast("timestamp"))
-    return models.adf_by_key(e, "event_type", "at", "value")
+    return models.adf_by_key(e, "event_type", ["at", "event_id"], "value")
 
 
 @register("mfcc_features")
 def mfcc_features(spark, sf_dir):
     # A user's series, held for 64 samples each, stands in for an utterance.
     wave = _series(spark, sf_dir).select("user_id", F.flatten(F.transform("x", lambda v: F.array_repeat(v * 100, 64))).alias("samples"))
-    return signal.per_utterance(wave, "samples", signal.mfcc, "mfcc").select("user_id", F.size("mfcc").alias("frames"), "mfcc")
+    return signal.mfcc(wave, "user_id", "samples")
 
 
 @register("vad_segments")

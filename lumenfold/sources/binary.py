@@ -6,7 +6,6 @@ Files are read by Spark's `binaryFile` source, so any store that Spark reads wil
 from __future__ import annotations
 
 import gzip
-import io
 import struct
 from collections.abc import Iterator
 
@@ -130,40 +129,10 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_gmm(spark: SparkSession, models: dict, path: str) -> None:
-    """Mixtures as a table with one row a component."""
-    from ..operators.models import GMM_SCHEMA, gmm_rows
+def save_model(model: DataFrame, path: str) -> None:
+    """The table of a mixture or a hidden Markov model; models are added side by side and told apart by `model`."""
+    model.write.mode("append").parquet(path)
 
-    spark.createDataFrame([r for name, g in models.items() for r in gmm_rows(g, name)], GMM_SCHEMA).write.parquet(path)
 
-
-def load_gmm(spark: SparkSession, path: str, model: str):
-    from ..operators.models import Gmm
-
-    rows = spark.read.parquet(path).filter(F.col("model") == model).orderBy("comp").collect()
-    return Gmm(np.array([r["weight"] for r in rows]), np.array([r["mean"] for r in rows]), np.array([r["var"] for r in rows]))
-
-
-def save_hmm(spark: SparkSession, name: str, hmm, path: str) -> None:
-    """Transitions and, for each state, its mixture's components."""
-    from ..operators.models import gmm_rows
-
-    rows = [(name, s, hmm.transitions[s].tolist(), *r[1:]) for s, g in enumerate(hmm.states) for r in gmm_rows(g, name)]
-    spark.createDataFrame(rows, "model string, state int, transitions array<double>, comp int, weight double, mean array<double>, var array<double>").write.parquet(path)
-
-
-def load_hmm(spark: SparkSession, path: str, name: str):
-    from ..operators.models import Gmm, Hmm
-
-    rows = spark.read.parquet(path).filter(F.col("model") == name).orderBy("state", "comp").collect()
-    states: dict[int, list] = {}
-    for r in rows:
-        states.setdefault(r["state"], []).append(r)
-    mixtures = [Gmm(np.array([r["weight"] for r in s]), np.array([r["mean"] for r in s]), np.array([r["var"] for r in s])) for _, s in sorted(states.items())]
-    return Hmm(np.array([s[0]["transitions"] for _, s in sorted(states.items())]), mixtures)
-
-
-def to_bytes(x: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.save(out, x)
-    return out.getvalue()
+def load_model(spark: SparkSession, path: str, model: str) -> DataFrame:
+    return spark.read.parquet(path).filter(F.col("model") == model)

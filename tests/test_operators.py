@@ -1,13 +1,10 @@
 """Goldens, invariants and batch-against-stream checks of operators that SQL does not cover."""
 
-import math
-
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars as S
-from lumenfold.operators import cleaning, dtw, evaluation, models, relational, signal, text, windows
+from lumenfold.operators import cleaning, evaluation, relational, text, windows
 from lumenfold.sources import binary
 from lumenfold.sources import text as sources
 from lumenfold.streaming import segments as G
@@ -65,57 +62,6 @@ def test_unrelated_tags(spark):
     assert df.select(S.add_unrelated_tags(F.col("t"))).first()[0] == ["music", "art", "food"]
 
 
-def test_dtw_invariants():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(20, 5))
-    for transition in ("levenshtein", "dtw"):
-        assert dtw.score(x, x, transition=transition)[0] == pytest.approx(0, abs=1e-9)
-        assert dtw.score(np.repeat(x, 2, axis=0), x, transition=transition, subsequence=True)[0] < dtw.score(rng.normal(size=(40, 5)), x, transition=transition, subsequence=True)[0]
-    assert dtw.score(x[:0], x)[0] == dtw.FAR
-    assert np.allclose(dtw.fuse_templates([x, x, x]), x)
-
-
-def test_signal_shapes():
-    t = np.arange(16000) / 16000
-    tone = 8000 * np.sin(2 * np.pi * 200 * t)
-    assert len(signal.frames(tone)) == (16000 - 512) // 256 + 1
-    assert signal.mfcc(tone).shape == (61, 28) and signal.mfcc(tone, signal.VOICE_LOCK).shape[1] == 48
-    assert signal.pitch(tone) == pytest.approx(200, rel=0.03) and signal.pitch(np.zeros(4000)) == 0
-    assert np.allclose(signal.cmvn(signal.mfcc(tone)).mean(axis=0), 0, atol=1e-9)
-    noise = np.random.default_rng(1).normal(0, 300, 16000)
-    quiet = np.concatenate([np.zeros(4000), tone[4000:]])
-    for f in (signal.spectral_subtraction, signal.wiener, signal.perceptual_denoise):
-        assert np.abs(f(quiet + noise)[1000:3000]).mean() < np.abs(noise[1000:3000]).mean()
-    noisy = signal.add_noise(tone, noise, 10) - tone
-    assert 10 * math.log10((tone**2).mean() / (noisy**2).mean()) == pytest.approx(10, abs=1e-6)
-
-
-def test_mixture_and_hmm():
-    rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(-4, 1, (200, 2)), rng.normal(4, 1, (200, 2))])
-    g = models.gmm_fit(x, 2)
-    assert sorted(np.round(g.means[:, 0])) == [-4, 4]
-    assert g.bic(x) < models.gmm_fit(x, 1).bic(x)
-    assert g.mix(g).weights.sum() == pytest.approx(1) and g.select([0]).weights.tolist() == [1.0]
-    h = models.Hmm(models.left_right(2), [g.select([int(np.argmin(g.means[:, 0]))]), g.select([int(np.argmax(g.means[:, 0]))])])
-    up = np.concatenate([x[:20], x[200:220]])
-    p, f = h.forward(up)
-    assert p == pytest.approx(float(np.logaddexp.reduce(f[0] + h.backward(up)[0])), rel=1e-6)
-    assert p > h.forward(up[::-1])[0] and h.learn(up).forward(up)[0] >= p
-    labels = models.kernel_kmeans(models.kernel_matrix(x, x, gamma=0.1), 2)
-    assert len(set(labels[:200])) == 1 and labels[0] != labels[-1]
-    walk = np.cumsum(rng.normal(size=300))
-    assert models.adf(rng.normal(size=300))[0] < -5 < models.adf(walk)[0]
-
-
-def test_gmm_scores_in_spark(spark):
-    g = models.Gmm(np.array([0.4, 0.6]), np.array([[0.0, 0.0], [1.0, 2.0]]), np.array([[1.0, 1.0], [2.0, 0.5]]))
-    table = spark.createDataFrame(models.gmm_rows(g, "m"), models.GMM_SCHEMA)
-    x = spark.createDataFrame([([0.3, 0.7],), ([5.0, -1.0],)], "features array<double>")
-    got = [r["llr"] for r in models.gmm_scores(x, table).collect()]
-    assert np.allclose(got, g.log_likelihood(np.array([[0.3, 0.7], [5.0, -1.0]])))
-
-
 def _speech(spark):
     flags = [False] * 30 + [True] * 40 + [False] * 40 + [True] * 3 + [False] * 40 + [True] * 30 + [False] * 60
     return flags, spark.createDataFrame([("d", i, f) for i, f in enumerate(flags)], "device string, frame long, speech boolean")
@@ -158,15 +104,6 @@ def test_csv_and_matrix(spark, tmp_path):
     assert got == {(0, 0): (0.5, False, "u1"), (0, 1): (0.25, True, "u2")}
 
 
-def test_models_are_saved(spark, tmp_path):
-    g = models.Gmm(np.array([0.4, 0.6]), np.zeros((2, 3)), np.ones((2, 3)))
-    binary.save_gmm(spark, {"m": g}, str(tmp_path / "g"))
-    assert np.allclose(binary.load_gmm(spark, str(tmp_path / "g"), "m").weights, g.weights)
-    h = models.Hmm(models.left_right(2), [g, g])
-    binary.save_hmm(spark, "h", h, str(tmp_path / "h"))
-    assert np.allclose(binary.load_hmm(spark, str(tmp_path / "h"), "h").transitions, h.transitions)
-
-
 def test_imposter_updates(spark):
     s = spark.createDataFrame([(r, c, float(10 * r + c)) for r in range(3) for c in range(3)], "row int, col int, score double")
     new = spark.createDataFrame([(0, 1, 99.0)], "row int, col int, score double")
