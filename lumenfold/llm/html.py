@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -27,6 +28,7 @@ MIN_PAGES = 5
 MIN_SHARE = 0.05
 BROADCAST_ROWS = 200_000
 MAX_DEPTH = 200  # deeper elements become siblings
+NO_TEXT = (0, "", 0)
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -234,12 +236,13 @@ def articles_of(root: Node) -> list[Node]:
     return out
 
 
-def sections(article: Node) -> tuple[list[tuple[int, str, int]], list[tuple[int, int, int, tuple[int, ...]]]]:
-    """Text blocks (length, text, container), and containers: name, first block, block after the last, itself and those around it."""
+def sections(article: Node) -> tuple[list[tuple[int, str, int]], list[tuple[int, int, int, int]], list[int]]:
+    """Text blocks (length, text, container), containers with text (name, first block, block after the last, container around
+    it), and the container around each container, all numbered in page order from the article's 0."""
     texts: list[tuple[int, str, int]] = []
-    found: list[tuple[int, int, int, tuple[int, ...]]] = []
+    found: list[tuple[int, int, int, int]] = []
+    around = [0]
     now: list[str] = []
-    serial = 0
 
     def flush(owner: int) -> None:
         if now:
@@ -248,8 +251,7 @@ def sections(article: Node) -> tuple[list[tuple[int, str, int]], list[tuple[int,
                 texts.append((len(text), text, owner))
             now.clear()
 
-    def walk(x: Node, around: tuple[int, ...]) -> bool:
-        nonlocal serial
+    def walk(x: Node, owner: int) -> bool:
         holds = False
         for y in x.items:
             if isinstance(y, str):
@@ -258,22 +260,22 @@ def sections(article: Node) -> tuple[list[tuple[int, str, int]], list[tuple[int,
             if named_boilerplate(y, True):
                 continue
             if y.tag in BLOCK:
-                flush(around[-1])
-            own, a = around, len(texts)
+                flush(owner)
+            own, a = owner, len(texts)
             if y.tag in CONTAINERS:
-                serial += 1
-                own = (*around, serial)
+                own = len(around)
+                around.append(owner)
             inner = walk(y, own)
             if y.tag in BLOCK:
-                flush(own[-1])
-            if own is not around and not inner and len(texts) > a:
-                found.append((y.name, a, len(texts), around))
+                flush(own)
+            if own != owner and not inner and len(texts) > a:
+                found.append((y.name, a, len(texts), owner))
             holds = holds or inner or y.tag in ("article", "main")
         return holds
 
-    walk(article, (0,))
+    walk(article, 0)
     flush(0)
-    return texts, found
+    return texts, found, around
 
 
 def inside(root: Node) -> tuple[list[tuple[int, int, int]], set[int]]:
@@ -286,15 +288,22 @@ def inside(root: Node) -> tuple[list[tuple[int, int, int]], set[int]]:
     keys: set[int] = set()
     key = lambda best: xxhash.xxh3_64_intdigest(best[1]) - 2**63
     for article in articles_of(root):
-        texts, found = sections(article)
-        if texts:
-            keys.add(key(max(texts)))
-        for name, a, b, around in found:
-            rest = texts[:a] + texts[b:]
-            near = [t for t in rest if t[2] in around]
-            for kind, some in ((1, near), (2, rest)):
-                if some:
-                    rows.add((kind, key(max(some)), name ^ INSIDE))
+        texts, found, around = sections(article)
+        if not texts:
+            continue
+        keys.add(key(max(texts)))
+        # The longest text before and after each place, and in each container or one around it: one pass each.
+        before = list(accumulate(texts, max, initial=NO_TEXT))
+        after = list(accumulate(reversed(texts), max, initial=NO_TEXT))[::-1]
+        own = [NO_TEXT] * len(around)
+        for t in texts:
+            own[t[2]] = max(own[t[2]], t)
+        for i in range(1, len(own)):
+            own[i] = max(own[i], own[around[i]])
+        for name, a, b, owner in found:
+            for kind, best in ((1, own[owner]), (2, max(before[a], after[b]))):
+                if best is not NO_TEXT:
+                    rows.add((kind, key(best), name ^ INSIDE))
     return list(rows), keys
 
 

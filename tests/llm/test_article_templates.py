@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -38,3 +39,12 @@ def test_blocks_that_recur_in_articles_go_and_copied_articles_stay(spark, pages,
     data, want = pages
     df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
     assert {r["page_id"]: r["text"] for r in html.main_text(df, broadcast_rows=limit).collect()} == want
+
+
+def test_an_article_of_many_containers_takes_linear_time():
+    root = html.tree("<article>" + "".join(f"<div>text number {i} of it</div>" for i in range(20_000)) + "</article>")
+    html.name_subtrees(root)
+    start = time.perf_counter()
+    rows, keys = html.inside(root)
+    assert time.perf_counter() - start < 5 and len(keys) == 1
+    assert len(rows) == 20_000 and {r[0] for r in rows} == {2}  # nothing stands beside the containers
