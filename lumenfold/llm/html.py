@@ -42,11 +42,19 @@ CONTAINERS = frozenset("div section ul ol dl table details address".split())
 INSIDE = 0x5BD1E9955BD1E995  # names of subtrees inside an article are kept apart from those outside
 GONE = RAW | frozenset("head nav footer aside form menu dialog button fieldset audio video canvas datalist noscript template svg object select".split())
 
-_BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|nav|navbar|navigation|menu|"
-    r"breadcrumbs?|sidebar|side|footer|header|masthead|comments?|comment-list|disqus|replies|respond|share|sharing|social|related|recommended|widget|skip|hidden|toolbar|pagination|pager)(?:$|[\s_-])",
-    re.I,
+# Words of class and id names.  The first mean boilerplate wherever they stand in a name, the second as its last word
+# ("site-menu"), the third only as the whole name; words of form are no part of it ("share-buttons" is "share").
+ANYWHERE = frozenset(
+    "ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies disqus footer gdpr nav navbar navigation newsletter pager pagination promo"
+    " sidebar sponsor sponsored".split()
 )
+AT_END = frozenset("banner masthead header menu modal notice popup sharing subscribe toolbar widget".split())
+ALONE = frozenset("consent hidden recommended related replies respond share side skip social".split())
+OF_FORM = frozenset(
+    "area articles bar block bottom box button buttons col column container content form grid group icon icons inner item items left link links list main outer panel posts right"
+    " row section slot stories text title top unit widget wrap wrapper".split()
+)
+_JOINT = re.compile(r"[_-]+")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 _NAME = re.compile(r"</?([a-zA-Z][^\s/><]*)")
 _PLAIN = re.compile(r"[^<>\"']+")
@@ -177,6 +185,19 @@ def tree(page: str) -> Node:
     return root
 
 
+def boilerplate_name(names: str, in_article: bool = False) -> bool:
+    """Whether one of the class or id names means boilerplate; an article's header holds its title."""
+    for name in names.lower().split():
+        words = [w for w in _JOINT.split(name) if w]
+        if not ANYWHERE.isdisjoint(words):
+            return True
+        while len(words) > 1 and (words[-1] in OF_FORM or words[-1].isdigit()):
+            words.pop()
+        if words and ((words[-1] in AT_END and not (in_article and words[-1] == "header")) or (len(words) == 1 and words[0] in ALONE)):
+            return True
+    return False
+
+
 def named_boilerplate(node: Node, in_article: bool = False) -> bool:
     """What the markup itself names as no content.  A header inside an article holds its title and stays."""
     if node.tag in GONE or (node.tag == "header" and not in_article):
@@ -187,7 +208,7 @@ def named_boilerplate(node: Node, in_article: bool = False) -> bool:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             return True
-        if (key == "role" and value.lower() in _ROLES) or (key in ("class", "id") and _BOILERPLATE.search(value)):
+        if (key == "role" and value.lower() in _ROLES) or (key in ("class", "id") and boilerplate_name(value, in_article)):
             return True
     return False
 

@@ -48,3 +48,18 @@ def test_an_article_of_many_containers_takes_linear_time():
     rows, keys = html.inside(root)
     assert time.perf_counter() - start < 5 and len(keys) == 1
     assert len(rows) == 20_000 and {r[0] for r in rows} == {2}  # nothing stands beside the containers
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "top_ads", "site-header", "share", "share-buttons", "related-posts", "side", "cookie-notice", "comment-author", "main menu", "skip-link", "widget-2"])
+def test_names_of_boilerplate(name):
+    assert html.boilerplate_name(name)
+
+
+@pytest.mark.parametrize("name", ["", "-", "share-price", "side-by-side", "overflow-hidden", "related-work", "social-history", "menu-of-the-day", "reader", "adelaide", "article-content", "k7"])
+def test_names_of_content(name):
+    assert not html.boilerplate_name(name)
+
+
+def test_a_header_named_in_an_article_stays():
+    page = "<div class='page-header'>Site</div><article><div class='entry-header'><h1>Title</h1></div><p class='share-price'>Ten</p><div class='share'>Share</div></article>"
+    assert html.blocks(html.tree(page), frozenset()) == ["Title", "Ten"]
