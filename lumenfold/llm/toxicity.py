@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -93,7 +94,16 @@ def hits(found: list[str], machine) -> dict[int, tuple[float, int]]:
         elif at not in best or weight > best[at][0]:
             best[at] = (weight, at)
     if spared:
-        best = {k: v for k, v in best.items() if not any(a <= k < b for a, b in spared)}
+        # Exceptions that overlap become one range, so each hit is looked up once.
+        starts, stops = [], []
+        for a, b in sorted(spared):
+            if stops and a <= stops[-1]:
+                stops[-1] = max(stops[-1], b)
+            else:
+                starts.append(a)
+                stops.append(b)
+        inside = lambda k: (i := bisect_right(starts, k) - 1) >= 0 and k < stops[i]
+        best = {k: v for k, v in best.items() if not inside(k)}
     return best
 
 
