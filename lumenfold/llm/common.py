@@ -51,6 +51,11 @@ def drop_table(df: DataFrame) -> None:
         drop(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    for df in tables:
+        drop_table(df)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole documents: at most `rows` rows go to Python at once, so long texts stay within its memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

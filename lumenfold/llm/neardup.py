@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_slices
-from .common import drop_table, few_rows, save, small_batches
+from .common import drop_tables, few_rows, save, small_batches
 from .components import components
 from .shingles import overlap, shingle_sets
 
@@ -203,20 +203,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # The texts of all nodes that share a bucket; the others link with nothing.
     shared = classes.join(degree, "node").select("node", "row")
     texts = save(docs.select("row", "text").join(shared, "row").select("node", "text"), "texts")
-    for table in (members, sizes, inside):
-        drop_table(table)
+    drop_tables(members, sizes, inside, degree)
 
     hubs = save(ranked.groupBy(*place).agg(F.max("rank").alias("hub")).select(*place, F.col("hub.node").alias("b")), "hubs")
     pairs = save(ranked.select(*place, F.col("node").alias("a")).join(hubs, place).filter("a <> b").select("a", "b").distinct(), "pairs")
     sigs = classes.select("node", "sig")
     both = pairs.join(sigs.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
     near = save(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate(least), PAIRS), "near")
+    drop_tables(pairs)
     best = save(near.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("x")).select("a", "x.b"), "best")
     links = save(confirm_links(texts, best, size, percent), "links")
     groups = components(links)
 
     rest = save(_between(near.join(best, ["a", "b"], "left_anti"), groups).select("a", "b"), "rest")
     new = save(confirm_links(texts, rest, size, percent), "links")
+    drop_tables(near, best, rest)
     if not new.isEmpty():
         links = links.unionByName(new)
         groups = components(links)
@@ -228,10 +229,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     held = save(hubs.withColumnRenamed("b", "node").join(groups, "node", "left").select(*place, F.col("node").alias("hub"), component.alias("hub_component")), "held")
     named = save(named.join(held, place).withColumn("away", F.col("component") != F.col("hub_component")).drop("hub_component"), "away")
     loose = save(named.filter("away").select(*place).distinct(), "loose")
+    drop_tables(ranked, hubs, held)
     open_ = save(named.join(loose, place).groupBy("node", "component", "hub").agg(F.bool_or("away").alias("away")), "open")
     families = components(open_.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "family")
     open_ = open_.groupBy("node", "component").agg(F.bool_or("away").alias("away")).join(families, "node").join(classes.select("node", "sig", "bands"), "node").join(texts, "node")
     open_ = save(open_, "members")
+    drop_tables(loose, texts)
     size_of = F.octet_length("text")
     volume = open_.groupBy("family").agg(F.count("*").alias("n"), F.sum(size_of).alias("bytes"), F.count_if("away").alias("k"), F.sum(F.when(F.col("away"), size_of)).alias("k_bytes"))
     blocks = lambda n, b: F.ceil(F.greatest(F.col(n) / FRAGMENT, F.col(b) / FRAGMENT_BYTES)).cast("int")
@@ -244,6 +247,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     few = few.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)))
     with few_rows(docs.sparkSession, 8):
         late = save(few.join(many, ["family", "y"]).select("few", "many").mapInArrow(_blocks(least, size, percent), "a long, b long"), "late")
+    drop_tables(open_, volume)
     if not late.isEmpty():
         groups = components(links.unionByName(late))
 
@@ -251,6 +255,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     named = save(named, "components")
     least_of = save(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("row").alias("least_row")), "names")
     of_node = save(named.select("node", "component").join(least_of, "component").drop("component"), "nodes")
+    drop_tables(classes, links, named, least_of)
     out = rows.select("doc_id", "row", "n_shingles", "node").join(of_node, "node", "left")
     kept = F.when(F.col("node").isNull(), F.lit(True)).when(F.col("component_id").isNull(), F.col("row") == F.col("least_row")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
