@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as V
 from .aggregates import exact_percentiles, mode
-from .relational import any_of, cap, numbered
+from .relational import any_of, cap, numbered, small_side
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -55,13 +55,32 @@ def simple_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) ->
     return df.withColumn("_h", draw(keys, seed)).orderBy("_h", *keys).limit(n).drop("_h")
 
 
+def _strata(df: DataFrame, stratum: str, share: Mapping, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows numbered within their stratum in order of `by` (column _at, from 0), and one row a stratum: its size, how many are wanted.
+
+    A stratum is not put into one task: all rows are numbered by ranges, and a stratum's first number is taken off.
+    """
+    rows = numbered(df, [stratum, *by], "_p")
+    wanted = F.try_element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col(stratum))
+    sizes = rows.groupBy(stratum).agg(F.min("_p").alias("_first"), F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_wanted", F.floor(F.col("_n") * wanted)).filter("_wanted > 0")
+    return rows.join(small_side(sizes), stratum).withColumn("_at", F.col("_p") - F.col("_first")).drop("_p", "_first"), sizes
+
+
 def stratified_sample(df: DataFrame, stratum: str, share: Mapping, keys: Sequence[str], seed: int = 0) -> DataFrame:
-    """Exactly floor(share * size) rows of each stratum, those with the least hashes."""
-    w = Window.partitionBy(stratum)
-    at = F.row_number().over(w.orderBy(draw(keys, seed), *keys))
-    rows = df.withColumns({"_at": at, "_n": F.count("*").over(w)})
-    wanted = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col(stratum)), F.lit(0.0))
-    return rows.filter(F.col("_at") <= F.floor(F.col("_n") * wanted)).drop("_at", "_n")
+    """Exactly floor(share * size) rows of each stratum, those with the least hashes; strata without a share give none."""
+    rows, _ = _strata(df.withColumn("_h", draw(keys, seed)), stratum, share, ["_h", *keys])
+    return rows.filter("_at < _wanted").select(*df.columns)
+
+
+def stratified_draws(df: DataFrame, stratum: str, share: Mapping, keys: Sequence[str], seed: int = 0, chunk: int = 1_000_000) -> DataFrame:
+    """Exactly floor(share * size) draws of each stratum with replacement: column draw, from 0, and the row drawn."""
+    rows, sizes = _strata(df, stratum, share, keys)
+    chunks = sizes.select(stratum, "_n", "_wanted", F.explode(F.sequence(F.lit(0), F.floor((F.col("_wanted") - 1) / chunk))).alias("_c")).repartition(stratum, "_c")
+    last = F.least((F.col("_c") + 1) * chunk, F.col("_wanted")) - 1
+    draws = chunks.select(stratum, "_n", F.explode(F.sequence(F.col("_c") * chunk, last)).alias("draw"))
+    place = F.conv(F.substring(draw([stratum, "draw"], seed), 1, 15), 16, 10).cast("long") % F.col("_n")
+    return draws.select(stratum, "draw", place.alias("_at")).join(rows, [stratum, "_at"]).select("draw", *df.columns)
 
 
 def sample_with_replacement(df: DataFrame, n: int, by: Sequence[str], seed: int = 0) -> DataFrame:

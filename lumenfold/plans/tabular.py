@@ -376,6 +376,18 @@ def stratified_sample(spark, sf_dir):
     return C.stratified_sample(labels, "toxic", {0: 0.5, 1: 0.1}, ["doc_id"], seed=5)
 
 
+@register(
+    "stratified_draws",
+    """WITH l AS (SELECT doc_id, quality, toxic, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) - 1 AS place FROM labels),
+       n AS (SELECT toxic, count(*) AS n, CAST(floor(count(*) * CASE toxic WHEN 0 THEN 0.1 ELSE 1.5 END) AS BIGINT) AS wanted FROM labels WHERE toxic IS NOT NULL GROUP BY 1),
+       d AS (SELECT toxic, n, unnest(generate_series(0, wanted - 1)) AS draw FROM n)
+       SELECT draw, doc_id, quality, toxic FROM (SELECT toxic, draw, CAST('0x' || substr(md5(concat_ws('|', toxic, draw, '5')), 1, 15) AS BIGINT) % n AS place FROM d) JOIN l USING (toxic, place)""",
+)
+def stratified_draws(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return C.stratified_draws(labels, "toxic", {0: 0.1, 1: 1.5}, ["doc_id"], seed=5)
+
+
 @register("sample_with_replacement", "SELECT id AS draw, s_suppkey, s_name FROM (SELECT id, CAST('0x' || substr(md5(concat_ws('|', id, '1')), 1, 8) AS BIGINT) % (SELECT count(*) FROM supplier) AS p FROM range(200) AS r(id)) JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS p FROM supplier) USING (p)")
 def sample_with_replacement(spark, sf_dir):
     return C.sample_with_replacement(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), 200, ["s_suppkey"], seed=1)

@@ -111,3 +111,18 @@ def test_imposter_updates(spark):
     got = {(r["row"], r["col"]): (r["score"], r["chosen"]) for r in evaluation.update_imposters(s, new, gone, 1).collect()}
     assert got == {(0, 0): (0.0, False), (0, 1): (99.0, True), (1, 0): (10.0, True), (1, 1): (11.0, False)}
     assert [r["row"] for r in evaluation.confused_users(s).orderBy("row").collect()] == [0, 1]
+
+
+def test_stratified_draws_repeat_rows_and_skip_strata_without_a_share(spark):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else i % 3) for i in range(100)], "id long, s int")
+    size = {r["s"]: r["count"] for r in df.groupBy("s").count().collect()}
+    draws = cleaning.stratified_draws(df, "s", {0: 2.0, 1: 0.25}, ["id"], chunk=10).collect()
+    assert sorted((r["s"], r["draw"]) for r in draws) == [(0, i) for i in range(2 * size[0])] + [(1, i) for i in range(size[1] // 4)]
+    assert len({r["id"] for r in draws if r["s"] == 0}) <= size[0]
+    assert cleaning.stratified_draws(df.limit(0), "s", {0: 1.0}, ["id"]).isEmpty()
+
+
+def test_stratified_sample_is_exact_without_repeats(spark):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else i % 2) for i in range(100)], "id long, s int")
+    got = [r["id"] for r in cleaning.stratified_sample(df, "s", {1: 0.5}, ["id"]).collect()]
+    assert len(got) == len(set(got)) == df.filter("s = 1").count() // 2 and all(i % 2 for i in got)
