@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, collisions, html, license, media, neardup, order, packing, periodic, search, suffix, toxicity
+from . import bpe, collisions, html, license, media, neardup, order, packing, periodic, search, spelling, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(_table(spark, sf_dir, "documents"), spelling.with_slips))
+
+
 def op12_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collisions.link_counts(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -73,6 +77,7 @@ QUERIES = {
         op8_minhash_neardup,
         op9_bestfit_packing,
         op10_toxicity,
+        op11_spelling_variants,
         op12_embedding_neardup,
         op13_periodic_runs,
     )
@@ -86,6 +91,24 @@ ORACLE_SQL: dict[str, str] = {
                    FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
              r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    # The checksum is a fold over the bytes of a word, eight bits each.
+    "op11_spelling_variants": """
+        WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+             lowered AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM runs WHERE length(run) >= 6),
+             each AS (SELECT doc_id, w, count(*) AS n, hex(encode(doc_id || ':' || w)) AS code FROM lowered GROUP BY doc_id, w),
+             summed AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(code), 2), lambda i: ('0x' || code[i + 1:i + 2])::BIGINT)),
+                        lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda d, k: xor(d >> 1, CASE WHEN d & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295) AS h FROM each),
+             words AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n AS m FROM summed),
+             v AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+             places AS (SELECT word, n, unnest(range(length(word) + 1)) AS i FROM v),
+             keys AS (SELECT word, n, true AS skips, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM places WHERE i < length(word)
+                      UNION ALL SELECT word, n, false, substr(word, 1, i), substr(word, i + 1) FROM places),
+             near AS (SELECT DISTINCT x.word, x.n, y.word AS other, y.n AS other_n FROM keys x JOIN keys y ON x.a = y.a AND x.b = y.b AND x.word <> y.word AND (x.skips OR y.skips)),
+             ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS r FROM near),
+             best AS (SELECT word, n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM ranked WHERE r = 1),
+             chain AS (SELECT word, form AS root FROM best WHERE form IS NOT NULL UNION ALL SELECT c.word, b.form FROM chain c JOIN best b ON b.word = c.root WHERE b.form IS NOT NULL),
+             last AS (SELECT word, root FROM chain WHERE root NOT IN (SELECT word FROM best WHERE form IS NOT NULL))
+        SELECT v.word, form, coalesce(root, v.word) AS root, n, coalesce(n_near, 0) AS n_near, form_n FROM v LEFT JOIN best ON best.word = v.word LEFT JOIN last ON last.word = v.word""",
     "op12_embedding_neardup": """
         WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
                              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
