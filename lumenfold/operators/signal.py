@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import arrays as V
+from . import scans
 from . import windows as W
 from .cleaning import normalise_signal
 from .models import constant
@@ -164,12 +165,9 @@ def deltas(frames: DataFrame, key: str, x: str, name: str) -> DataFrame:
 
 
 def rasta(frames: DataFrame, key: str, x: str, name: str, pole: float = 0.98) -> DataFrame:
-    """Deltas through a recursive filter: a fold over one utterance's frames."""
-    d = deltas(frames, key, x, "_d")
-    ordered = F.array_sort(F.collect_list(F.struct("frame", "_d")))
-    fold = lambda s: F.aggregate(F.slice(s, 2, F.size(s)), F.array(s[0]["_d"]), lambda acc, r: F.array_append(acc, F.zip_with(r["_d"], F.element_at(acc, -1), lambda u, v: u + pole * v)))
-    lines = d.groupBy(key).agg(ordered.alias("_s")).select(key, F.explode(F.arrays_zip(F.transform("_s", lambda r: r["frame"]).alias("frame"), fold(F.col("_s")).alias("y"))).alias("r"))
-    return lines.select(key, F.col("r.frame").alias("frame"), F.col("r.y").alias(name))
+    """Deltas through a recursive filter, in blocks of frames; frames of a key count from 0 without gaps."""
+    d = deltas(frames, key, x, "_d").select(key, "frame", "_d")
+    return scans.affine_scan(d, [key], "frame", F.lit(pole), F.col("_d"), name).drop("_d")
 
 
 def second_differences(spectra: DataFrame, key: str) -> DataFrame:
@@ -181,6 +179,13 @@ def second_differences(spectra: DataFrame, key: str) -> DataFrame:
     return both.select(key, (F.col("frame") - 1).alias("frame"), F.concat(time, V.second_difference(F.col("s"))).alias("d"))
 
 
+def deemphasised(samples: DataFrame, by: list[str], order: list[str], value: str, name: str, a: float = 0.97) -> DataFrame:
+    """Rows of samples with each one plus a share of the last result, saturated at the end; the rows of a key are many tasks."""
+    rows = scans.placed(samples, by, order, "_place")
+    out = scans.affine_scan(rows, by, "_place", F.lit(a), F.col(value), name)
+    return out.withColumn(name, _saturate(F.col(name))).drop("_place")
+
+
 def _bins(c: Config, low: float, high: float) -> tuple[np.ndarray, int]:
     hz = np.arange(c.frame // 2 + 1) * c.rate / c.frame
     inside = np.flatnonzero((hz >= low) & (hz <= high))

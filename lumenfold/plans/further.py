@@ -207,10 +207,12 @@ def adapted_means(spark, sf_dir):
 
 @register(
     "deemphasised",
-    f"SELECT user_id, list_transform(generate_series(1, len(x)), lambda i: round(list_sum(list_transform(generate_series(greatest(1, i - 1000), i), lambda j: x[j] * pow(0.97, i - j))), 6)) AS y FROM {_SERIES}",
+    """WITH u AS (SELECT user_id, list(value ORDER BY ts, event_id) AS x, list(event_id ORDER BY ts, event_id) AS ids FROM events WHERE value IS NOT NULL GROUP BY 1)
+       SELECT ids[i] AS event_id, round(list_sum(list_transform(generate_series(greatest(1, i - 1000), i), lambda j: x[j] * pow(0.97, i - j))), 6) AS y FROM u, LATERAL (SELECT unnest(generate_series(1, len(x))) AS i)""",
 )
 def deemphasised(spark, sf_dir):
-    return _series(spark, sf_dir).select("user_id", F.transform(signal.deemphasis(F.col("x")), lambda v: F.round(v, 6)).alias("y"))
+    e = table(spark, sf_dir, "events").filter("value is not null").select("event_id", "user_id", "ts", "value")
+    return signal.deemphasised(e, ["user_id"], ["ts", "event_id"], "value", "y").select("event_id", F.round("y", 6).alias("y"))
 
 
 @register("mixture_of_vectors")

@@ -9,7 +9,7 @@ from ..catalog import register, table
 from ..functions import arrays as V
 from ..functions import scalars as S
 from ..operators import aggregates as A
-from ..operators import dtw, evaluation, models, signal
+from ..operators import dtw, evaluation, models, scans, signal
 from ..operators import relational as R
 from ..operators import text as X
 from ..operators import windows as W
@@ -388,15 +388,31 @@ def mfcc_features(spark, sf_dir):
 
 @register("vad_segments")
 def vad_segments(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    f = table(spark, sf_dir, "events").select(F.col("event_type").alias("device"), F.row_number().over(w).alias("frame"), (F.pmod(F.floor((F.row_number().over(w) - 1) / 40), F.lit(2)) == 1).alias("speech"))
-    return G.segments_batch(f)
+    """Segments of the energy of each event type's values, in frames of four."""
+    e = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
+    return G.segments_in_blocks(G.energy_frames(e, "event_type", ["ts", "event_id"], "value", 4, 1.0), VAD_RULES)
+
+
+# The events are noise, so these rules open and close segments sooner than those for speech.
+VAD_RULES = G.Rules(context=6, context_silent=3, enter=4, enter_speech=3, leave=4, leave_silent=3, last_silent=2, trail=4, trail_silent=2, pre_roll=3, most=200)
 
 
 @register("noise_floor", f"SELECT user_id, round(list_reduce(x, lambda a, v: a * 0.998 + v * (1 - 0.998)), 4) AS floor FROM {_SERIES}")
 def noise_floor(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("value is not null")
-    return G.noise_floor(e, "user_id", "ts", "value").withColumn("floor", r4(F.col("floor")))
+    return G.noise_floor(e, "user_id", ["ts", "event_id"], "value").withColumn("floor", r4(F.col("floor")))
+
+
+@register(
+    "noise_track",
+    """WITH RECURSIVE o AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events WHERE value IS NOT NULL),
+       y AS (SELECT event_id, event_type, n, value AS y FROM o WHERE n = 1 UNION ALL SELECT o.event_id, o.event_type, o.n, y.y * 0.998 + o.value * (1 - 0.998) FROM y JOIN o ON o.event_type = y.event_type AND o.n = y.n + 1)
+       SELECT event_id, round(y, 4) AS track FROM y""",
+)
+def noise_track(spark, sf_dir):
+    """The noise level after each event of a type: few keys with many rows."""
+    e = table(spark, sf_dir, "events").filter("value is not null").select("event_id", "event_type", "ts", "value")
+    return scans.moving_average(e, ["event_type"], ["ts", "event_id"], "value", 0.998, "track").select("event_id", r4(F.col("track")).alias("track"))
 
 
 @register("coin_change", "SELECT amount, CAST(list_sum(list_transform(generate_series(0, amount // 25), lambda q: list_sum(list_transform(generate_series(0, (amount - 25 * q) // 10), lambda d: (amount - 25 * q - 10 * d) // 5 + 1)))) AS BIGINT) AS ways FROM (SELECT DISTINCT CAST(p_size AS INTEGER) AS amount FROM part)")

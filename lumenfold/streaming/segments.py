@@ -7,9 +7,12 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import scans
+from ..session import cut
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -125,6 +128,85 @@ def segments_batch(frames: DataFrame, rules: Rules = Rules(), flush: bool = Fals
     return frames.select("device", "frame", "speech").groupBy("device").applyInPandas(run, SEGMENT_SCHEMA)
 
 
+BLOCK_SCHEMA = "device string, block long, start string, stop string, dropped int, found array<struct<first:long,last:long>>"
+
+
+def _dump(g: Segmenter) -> str:
+    return json.dumps(asdict(g.s) | {"dropped": 0}, sort_keys=True)
+
+
+FRESH = _dump(Segmenter())
+
+
+def segments_in_blocks(frames: DataFrame, rules: Rules = Rules(), flush: bool = False, size: int = 65_536, warm: int = 4_096, stats: dict | None = None) -> DataFrame:
+    """The same as `segments_batch`, with the frames of one device in many tasks.
+
+    Frames are cut into blocks of `size` frame numbers.  The machine forgets: after some silence its state does not
+    depend on how it began.  So each block first runs over the last `warm` frames before it, starting fresh, and notes
+    the state in which it enters and leaves the block.  Where a block's entry is not what the block before it left, it
+    runs again from there, until all agree; the first wrong block of a device is right after each round, so the result
+    is that of one run from the first frame, whatever the frames are.  Only states, one for each block, go into windows.
+    `stats`, if given, gets the number of blocks that each round ran again.
+    """
+    frames = cut(frames.select(F.col("device").cast("string").alias("device"), F.col("frame").cast("long").alias("frame"), F.coalesce("speech", F.lit(False)).alias("speech")))
+    block = F.floor(F.col("frame") / size)
+
+    def over(p: pd.DataFrame, number: int, start: str | None) -> pd.DataFrame:
+        p = p.sort_values("frame")
+        g = Segmenter(rules, State(**json.loads(start)) if start is not None else None)
+        at = int(p["frame"].searchsorted(number * size))
+        steps = list(zip(p["frame"].tolist(), p["speech"].tolist()))
+        for n, s in steps[:at]:
+            g.step(n, s)
+        entry, g.s.dropped = _dump(g), 0
+        found = [{"first": x[0], "last": x[1]} for n, s in steps[at:] if (x := g.step(n, s))]
+        device = None if pd.isna(p["device"].iloc[0]) else p["device"].iloc[0]
+        return pd.DataFrame([(device, number, entry, _dump(g), g.s.dropped, found)], columns=["device", "block", "start", "stop", "dropped", "found"])
+
+    def first_run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        own = (p["frame"] >= int(key[1]) * size).any()
+        return over(p, int(key[1]), None) if own else pd.DataFrame(columns=["device", "block", "start", "stop", "dropped", "found"])
+
+    def again(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        return over(p, int(key[1]), p["entry"].iloc[0])
+
+    both = F.when(F.pmod(F.col("frame"), F.lit(size)) >= size - warm, F.array(block, block + 1)).otherwise(F.array(block))
+    runs = cut(frames.withColumn("block", F.explode(both)).groupBy("device", "block").applyInPandas(first_run, BLOCK_SCHEMA))
+    in_order = Window.partitionBy("device").orderBy("block")
+    while True:
+        entry = F.coalesce(F.lag("stop").over(in_order), F.lit(FRESH))
+        wrong = cut(runs.select("device", "block", "start", entry.alias("entry")).filter("start <> entry").drop("start"))
+        left = wrong.count()
+        if stats is not None:
+            stats.setdefault("rounds", []).append(left)
+        if not left:
+            break
+        same = F.col("f.device").eqNullSafe(F.col("w.device")) & (F.col("f.block") == F.col("w.block"))
+        redone = frames.withColumn("block", block).alias("f").join(wrong.alias("w"), same).select("f.*", "w.entry").groupBy("device", "block").applyInPandas(again, BLOCK_SCHEMA)
+        same = F.col("r.device").eqNullSafe(F.col("w.device")) & (F.col("r.block") == F.col("w.block"))
+        runs = cut(runs.alias("r").join(wrong.alias("w"), same, "left_anti").unionByName(redone))
+    out = runs.select("device", F.explode("found").alias("s")).select("device", "s.first", "s.last")
+    if not flush:
+        return out
+
+    def open_ones(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            found = [(d, x) for d, s in zip(p["device"], p["stop"]) if (x := Segmenter(rules, State(**json.loads(s))).flush())]
+            yield pd.DataFrame([(d, *x) for d, x in found], columns=["device", "first", "last"])
+
+    last = runs.groupBy("device").agg(F.max_by("stop", "block").alias("stop"))
+    return out.unionByName(last.mapInPandas(open_ones, SEGMENT_SCHEMA))
+
+
+def energy_frames(samples: DataFrame, device: str, order: list[str], value: str, length: int, above: float) -> DataFrame:
+    """Rows (device, frame, speech): frames of `length` samples that follow each other, speech where the mean square is
+    over `above` times the device's.  The last frame may be shorter; null samples count as silence."""
+    rows = scans.placed(samples.select(F.col(device).alias("device"), *[c for c in order if c != device], F.coalesce(value, F.lit(0.0)).alias("_v")), ["device"], order)
+    frames = rows.groupBy("device", F.floor(F.col("place") / length).alias("frame")).agg(F.avg(F.col("_v") * F.col("_v")).alias("_e"))
+    mean = rows.groupBy("device").agg((F.avg(F.col("_v") * F.col("_v")) * above).alias("_least")).withColumnRenamed("device", "_device")
+    return frames.join(mean, F.col("device").eqNullSafe(F.col("_device"))).select("device", "frame", (F.col("_e") > F.col("_least")).alias("speech"))
+
+
 def segments_stream(frames: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The same over a stream; each micro-batch is put in order of frame number, and the state is a small JSON text."""
 
@@ -171,11 +253,9 @@ def dispatch(segments: DataFrame, enrol, detect, mode: str, checkpoint: str):
     return segments.writeStream.foreachBatch(lambda df, batch_id: handler(df, batch_id)).option("checkpointLocation", checkpoint)
 
 
-def noise_floor(values: DataFrame, by: str, order: str, value: str, keep: float = 0.998) -> DataFrame:
-    """Exponential moving average in order: a fold over each group's ordered values."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    fold = F.aggregate(ordered, F.lit(None).cast("double"), lambda a, s: F.coalesce(a * keep + s["v"] * (1 - keep), s["v"]))
-    return values.groupBy(by).agg(fold.alias("floor"))
+def noise_floor(values: DataFrame, by: str, order: str | list[str], value: str, keep: float = 0.998) -> DataFrame:
+    """Exponential moving average in order, one row for each key; the rows of a key are many tasks."""
+    return scans.last_average(values, [by], [order] if isinstance(order, str) else order, value, keep, "floor")
 
 
 def windowed_counts(events: DataFrame, time: str, late: str, length: str, by: str) -> DataFrame:
