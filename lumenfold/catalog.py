@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import further, tabular, texts  # noqa: F401
+    from .plans import further, streams, tabular, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -1,14 +1,15 @@
 """Recurrences over the ordered rows of a key, in blocks, so that a hot key is many tasks.
 
-A step y = factor * y + term is a map, and the maps of a block of rows compose to one map of the same form.  Blocks of
-`SIZE` rows are composed in parallel, the maps of the blocks are scanned in the same way, and each block then runs from
+A step such as y = factor * y + term or y = clip(y + add) is a map, and the maps of a block of rows compose to one map of
+the same form.  Blocks of `SIZE` rows are composed in parallel, the maps of the blocks are scanned in the same way, and each block then runs from
 the value that the one before it ends with.  With n rows of a key there are log n / log SIZE levels; no group has over
 SIZE rows, and all of it is aggregation of Column expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,36 +39,63 @@ def placed(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "
     return out.drop("_range", "_from", "_inside", "_before", *[f"_key_{c}" for c in by])
 
 
-def _step(a: Column, y: Column, b: Column, vector: bool) -> Column:
-    return F.zip_with(y, b, lambda u, v: a * u + v) if vector else a * y + b
+@dataclass(frozen=True)
+class Form:
+    """Maps of one kind: `fields` name their numbers, `compose` is the map that applies m and then x, `apply` its value at y.
 
+    y is null before the first row.
+    """
+
+    fields: tuple[str, ...]
+    compose: Callable[[Column, Column], Column]
+    apply: Callable[[Column, Column], Column]
+    kind: str = "double"
+
+
+def affine(kind: str = "double") -> Form:
+    """y = a * y + b, for numbers or for arrays b; before the first row y is 0."""
+    step = (lambda a, y, b: F.zip_with(y, b, lambda u, v: a * u + v)) if kind.startswith("array") else (lambda a, y, b: a * y + b)
+    return Form(
+        ("a", "b"), lambda m, x: F.struct((m["a"] * x["a"]).alias("a"), step(x["a"], m["b"], x["b"]).alias("b")), lambda x, y: F.when(y.isNull(), x["b"]).otherwise(step(x["a"], y, x["b"])), kind
+    )
+
+
+def _clip(v: Column, x: Column) -> Column:
+    return F.least(F.greatest(v, x["low"]), x["high"])
 
-def _blocks(steps: DataFrame, by: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """Rows (key, place, a, b) to one row for each block: its steps in order."""
-    return steps.groupBy(*by, F.floor(F.col("place") / SIZE).alias("block")).agg(F.array_sort(F.collect_list(F.struct("place", "a", "b", *extra))).alias("steps"))
 
+# y = y + add, not under low and not over high; before the first row y is 0.
+CLIPPED = Form(
+    ("add", "low", "high"),
+    lambda m, x: F.struct((m["add"] + x["add"]).alias("add"), _clip(m["low"] + x["add"], x).alias("low"), _clip(m["high"] + x["add"], x).alias("high")),
+    lambda x, y: _clip(F.coalesce(y, F.lit(0.0)) + x["add"], x),
+)
 
-def _composed(blocks: DataFrame, by: Sequence[str], vector: bool) -> DataFrame:
+
+def _blocks(steps: DataFrame, by: Sequence[str], form: Form, extra: Sequence[str] = ()) -> DataFrame:
+    """Rows (key, place, fields) to one row for each block: its steps in order."""
+    return steps.groupBy(*by, F.floor(F.col("place") / SIZE).alias("block")).agg(F.array_sort(F.collect_list(F.struct("place", *form.fields, *extra))).alias("steps"))
+
+
+def _composed(blocks: DataFrame, by: Sequence[str], form: Form) -> DataFrame:
     """The map of each block, as a step of the next level."""
     s = F.col("steps")
-    first = F.struct(s[0]["a"].alias("a"), s[0]["b"].alias("b"))
-    total = F.aggregate(F.slice(s, 2, F.size(s)), first, lambda m, x: F.struct((m["a"] * x["a"]).alias("a"), _step(x["a"], m["b"], x["b"], vector).alias("b")))
-    return blocks.select(*by, F.col("block").alias("place"), total.alias("m")).select(*by, "place", F.col("m.a").alias("a"), F.col("m.b").alias("b"))
+    first = F.struct(*[s[0][f].alias(f) for f in form.fields])
+    total = F.aggregate(F.slice(s, 2, F.size(s)), first, form.compose)
+    return blocks.select(*by, F.col("block").alias("place"), total.alias("m")).select(*by, "place", *[F.col(f"m.{f}").alias(f) for f in form.fields])
 
 
-def _ends(steps: DataFrame, by: Sequence[str], vector: bool, most: int) -> DataFrame:
+def _ends(steps: DataFrame, by: Sequence[str], form: Form, most: int) -> DataFrame:
     """(key, place, y): the value after each step; `most` is the largest place."""
-    blocks = _blocks(steps, by)
-    kind = steps.schema["b"].dataType.simpleString()
-    if most >= SIZE:
-        ends = _ends(_composed(blocks, by, vector), by, vector, most // SIZE)
-        blocks = _carried(blocks, ends, by)
-    else:
-        blocks = blocks.withColumn("carry", F.lit(None).cast(kind))
-    return blocks.select(*by, F.explode(_values(kind, vector)).alias("x")).select(*by, F.col("x.place").alias("place"), F.col("x.y").alias("y"))
+    blocks = _started(_blocks(steps, by, form), by, form, most)
+    return blocks.select(*by, F.explode(_values(form)).alias("x")).select(*by, F.col("x.place").alias("place"), F.col("x.y").alias("y"))
 
 
-def _carried(blocks: DataFrame, ends: DataFrame, by: Sequence[str]) -> DataFrame:
+def _started(blocks: DataFrame, by: Sequence[str], form: Form, most: int) -> DataFrame:
+    """Add `carry`, the value with which the block before ends."""
+    if most < SIZE:
+        return blocks.withColumn("carry", F.lit(None).cast(form.kind))
+    ends = _ends(_composed(blocks, by, form), by, form, most // SIZE)
     before = ends.select(*[F.col(c).alias(f"_key_{c}") for c in by], (F.col("place") + 1).alias("_next"), F.col("y").alias("carry"))
     same = F.col("block") == F.col("_next")
     for c in by:
@@ -75,56 +103,68 @@ def _carried(blocks: DataFrame, ends: DataFrame, by: Sequence[str]) -> DataFrame
     return blocks.join(before, same, "left").drop("_next", *[f"_key_{c}" for c in by])
 
 
-def _values(kind: str, vector: bool) -> Column:
-    """The steps of a block with the value y after each."""
-    start = F.struct(F.col("carry").alias("y"), F.array().cast(f"array<{kind}>").alias("ys"))
+def _values(form: Form) -> Column:
+    """The steps of a block with the value y after each and the value before it."""
+    start = F.struct(F.col("carry").alias("y"), F.array().cast(f"array<struct<y:{form.kind},before:{form.kind}>>").alias("ys"))
 
     def step(acc: Column, x: Column) -> Column:
-        y = F.when(acc["y"].isNull(), x["b"]).otherwise(_step(x["a"], acc["y"], x["b"], vector))
-        return F.struct(y.alias("y"), F.array_append(acc["ys"], y).alias("ys"))
+        y = form.apply(x, acc["y"])
+        return F.struct(y.alias("y"), F.array_append(acc["ys"], F.struct(y.alias("y"), acc["y"].alias("before"))).alias("ys"))
 
-    return F.zip_with("steps", F.aggregate("steps", start, step, lambda acc: acc["ys"]), lambda s, y: s.withField("y", y))
+    return F.zip_with("steps", F.aggregate("steps", start, step, lambda acc: acc["ys"]), lambda s, v: s.withField("y", v["y"]).withField("before", v["before"]))
 
 
 def _largest(df: DataFrame, place: str) -> int:
     return df.agg(F.max(place)).first()[0] or 0
 
 
-def affine_scan(df: DataFrame, by: Sequence[str], place: str, factor: Column, term: Column, name: str) -> DataFrame:
-    """Add y[t] = factor[t] * y[t - 1] + term[t] over the rows of each key, from 0, in order of `place`.
+def scan(df: DataFrame, by: Sequence[str], place: str, maps: Mapping[str, Column], form: Form, name: str, before: str | None = None) -> DataFrame:
+    """Add the value after each row's map, over the rows of each key in order of `place`, and the value before it if named.
 
-    `place` numbers the rows of a key from 0 without gaps or repeats, as `placed` does.  `term` is a number or an array of
-    numbers, all of one length; a null factor or number leaves y as it is.  The keys may be null, which is one key.
+    `place` numbers the rows of a key from 0 without gaps or repeats, as `placed` does.  The keys may be null, which is
+    one key.
     """
-    vector = df.select(term.alias("t")).schema["t"].dataType.simpleString().startswith("array")
-    kind = "array<double>" if vector else "double"
-    skip = F.lit(False) if vector else (factor.isNull() | term.isNull())
+    new = [c for c in (name, before) if c]
     rows = df.select(
-        *by, F.col(place).cast("long").alias("place"), F.when(skip, 1.0).otherwise(factor).cast("double").alias("a"), (term if vector else F.when(skip, 0.0).otherwise(term)).cast(kind).alias("b"),
-        F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in by and c != name]).alias("row"),
+        *by, F.col(place).cast("long").alias("place"), *[maps[f].alias(f) for f in form.fields], F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in by and c not in new]).alias("row")
     )
-    blocks = _blocks(rows, by, ["row"])
-    most = _largest(df, place)
-    if most >= SIZE:
-        blocks = _carried(blocks, _ends(_composed(blocks, by, vector), by, vector, most // SIZE), by)
-    else:
-        blocks = blocks.withColumn("carry", F.lit(None).cast(kind))
-    out = blocks.select(*by, F.explode(_values(kind, vector)).alias("x"))
-    return out.select(*[F.col(c) if c in by else F.col(f"x.row.`{c}`").alias(c) for c in df.columns if c != name], F.col("x.y").alias(name))
+    blocks = _started(_blocks(rows, by, form, ["row"]), by, form, _largest(df, place))
+    out = blocks.select(*by, F.explode(_values(form)).alias("x"))
+    kept = [F.col(c) if c in by else F.col(f"x.row.`{c}`").alias(c) for c in df.columns if c not in new]
+    return out.select(*kept, F.col("x.y").alias(name), *([F.col("x.before").alias(before)] if before else []))
+
+
+def _affine_maps(factor: Column, term: Column) -> dict[str, Column]:
+    skip = factor.isNull() | term.isNull()
+    return {"a": F.when(skip, 1.0).otherwise(factor).cast("double"), "b": F.when(skip, 0.0).otherwise(term).cast("double")}
+
+
+def affine_scan(df: DataFrame, by: Sequence[str], place: str, factor: Column, term: Column, name: str) -> DataFrame:
+    """Add y[t] = factor[t] * y[t - 1] + term[t] over the rows of each key, from 0, in order of `place`.
+
+    `term` is a number or an array of numbers, all of one length; a null factor or number leaves y as it is.
+    """
+    if df.select(term.alias("t")).schema["t"].dataType.simpleString().startswith("array"):
+        return scan(df, by, place, {"a": factor.cast("double"), "b": term.cast("array<double>")}, affine("array<double>"), name)
+    return scan(df, by, place, _affine_maps(factor, term), affine(), name)
 
 
 def affine_total(df: DataFrame, by: Sequence[str], place: str, factor: Column, term: Column, name: str) -> DataFrame:
     """One row for each key: the last value of the recurrence of `affine_scan`."""
-    skip = factor.isNull() | term.isNull()
-    steps = df.select(*by, F.col(place).cast("long").alias("place"), F.when(skip, 1.0).otherwise(factor).cast("double").alias("a"), F.when(skip, 0.0).otherwise(term).cast("double").alias("b"))
+    steps = df.select(*by, F.col(place).cast("long").alias("place"), *[c.alias(f) for f, c in _affine_maps(factor, term).items()])
     most = _largest(df, place)
     while True:
-        steps = _composed(_blocks(steps, by), by, False)
+        steps = _composed(_blocks(steps, by, affine()), by, affine())
         if most < SIZE:
             return steps.select(*by, F.col("b").alias(name))
         most //= SIZE
 
 
+def clipped_scan(df: DataFrame, by: Sequence[str], place: str, add: Column, low: Column, high: Column, name: str, before: str | None = None) -> DataFrame:
+    """Add a level that each row changes by `add` but not under `low` and not over `high`; it starts at 0."""
+    return scan(df, by, place, {"add": add.cast("double"), "low": low.cast("double"), "high": high.cast("double")}, CLIPPED, name, before)
+
+
 def moving_average(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, keep: float, name: str) -> DataFrame:
     """Add the exponential moving average that starts with the first value: y = keep * y + (1 - keep) * value."""
     rows = placed(df, by, order, "_place")
