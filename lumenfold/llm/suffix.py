@@ -109,9 +109,8 @@ def _ranks(width: int, core: int):
                 if not rows:
                     continue
                 row = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
-                th = part.column("th").to_numpy().astype(np.int64)[row] << 32
-                at = th | np.concatenate([r[1] for r in rows])
-                yield pa.RecordBatch.from_arrays([_signed(keys), _signed(spans), part.column("doc").take(pa.array(row)), pa.array(at)], ["key", "span", "doc", "at"])
+                at = pa.array(np.concatenate([r[1] for r in rows]), pa.int32())
+                yield pa.RecordBatch.from_arrays([_signed(keys), _signed(spans), part.column("doc").take(pa.array(row)), at], ["key", "span", "doc", "pos"])
 
     return run
 
@@ -123,16 +122,16 @@ def _contexts(width: int, core: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, th, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc", "th", "text", "places"))):
+            for doc, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "places"))):
                 data = text.encode()
                 for x in places:
                     p = x["pos"]
                     left = min(p, reach - 1)
-                    out.append((x["key"], x["subject"], x["large"], doc, th, p, left, data[p - left : p + width]))
+                    out.append((x["key"], x["subject"], x["large"], doc, p, left, data[p - left : p + width]))
             for a in range(0, len(out), 2000):
                 some = out[a : a + 2000]
-                types = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], t) for i, t in enumerate(types)], ["key", "subject", "large", "doc", "th", "pos", "left", "around"])
+                types = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], t) for i, t in enumerate(types)], ["key", "subject", "large", "doc", "pos", "left", "around"])
 
     return run
 
@@ -157,10 +156,10 @@ def _halves(width: int, reach: int):
                     rank = digest(grown, seed=(key * 2 + bool(shift)) % 2**64)
                     out.append((i, rank, digest(x[at - most : at - first + width], seed=first * 1000 + most), -shift, most, x[at - most : at + width]))
             at = pa.array([r[0] for r in out], pa.int64())
-            doc, th, pos, subject = (batch.column(c).take(at) for c in ("doc", "th", "pos", "subject"))
+            doc, pos, subject = (batch.column(c).take(at) for c in ("doc", "pos", "subject"))
             moved = pa.array(pos.to_numpy() + np.array([r[3] for r in out], np.int64))
-            new = [_signed([r[1] for r in out]), _signed([r[2] for r in out]), doc, th, moved, subject, pa.array([r[4] for r in out], pa.int32()), pa.array([r[5] for r in out], pa.binary())]
-            yield pa.RecordBatch.from_arrays(new, ["key", "span", "doc", "th", "pos", "subject", "left", "around"])
+            new = [_signed([r[1] for r in out]), _signed([r[2] for r in out]), doc, moved, subject, pa.array([r[4] for r in out], pa.int32()), pa.array([r[5] for r in out], pa.binary())]
+            yield pa.RecordBatch.from_arrays(new, ["key", "span", "doc", "pos", "subject", "left", "around"])
 
     return run
 
@@ -202,7 +201,7 @@ def _runs(flags: np.ndarray, pos: np.ndarray, width: int) -> tuple[np.ndarray, n
     return row, pos[row] - (stop - 1), pos[row] - first + width
 
 
-INTERVALS = "doc long, th int, start long, stop long"
+INTERVALS = "doc long, start long, stop long"
 
 
 def _local(width: int):
@@ -215,7 +214,7 @@ def _local(width: int):
             flags[~part.column("subject").to_numpy(zero_copy_only=False)] = False
             row, start, stop = _runs(flags, pos, width)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part.column("doc").take(at), part.column("th").take(at), pa.array(start), pa.array(stop)], ["doc", "th", "start", "stop"])
+            yield pa.RecordBatch.from_arrays([part.column("doc").take(at), pa.array(start), pa.array(stop)], ["doc", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -240,42 +239,41 @@ def _local(width: int):
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, core: int = CORE, group: int = GROUP) -> DataFrame:
-    """doc, th, parts: byte ranges (start, stop), which may overlap, that strings occurring elsewhere cover.
+    """doc, parts: byte ranges (start, stop), which may overlap, that strings occurring elsewhere cover.
 
-    `docs` has doc (long), th (a hash of the text) and text, without nulls; doc and th together name a row.
+    `docs` has doc (long, different in all rows) and text, without nulls.
     """
     reach = width - core + 1
-    # A position is a text's hash and the byte in one number.
-    th, pos = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
-    ranks = save(docs.mapInArrow(_ranks(width, core), "key long, span long, doc long, at long"), "ranks")
+    pos = F.col("pos").cast("long")
+    ranks = save(docs.mapInArrow(_ranks(width, core), "key long, span long, doc long, pos int"), "ranks")
     shared = save(ranks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
     live = save(ranks.join(shared, "key"), "live")
     drop_table(ranks)
     drop_table(shared)
 
-    spans = save(live.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")), "spans")
-    settled = live.join(spans.filter("n > 1").select("key", "span"), ["key", "span"]).select("doc", th.alias("th"), F.greatest(pos - reach + 1, F.lit(0)).alias("start"), (pos + width).alias("stop"))
-    settled = save(settled.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("parts")), "settled")
+    spans = save(live.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first")), "spans")
+    settled = live.join(spans.filter("n > 1").select("key", "span"), ["key", "span"]).select("doc", F.greatest(pos - reach + 1, F.lit(0)).alias("start"), (pos + width).alias("stop"))
+    settled = save(settled.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("parts")), "settled")
     drop_table(live)
     # Each different span has one position left, in the groups in which some span is not settled; that one is a subject.
     sizes = spans.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("n") == 1).alias("subjects")).filter("size > 1 and subjects > 0")
     sizes = save(sizes.select("key", "size"), "sizes")
     speakers = spans.join(sizes, "key").select("key", "first.*", (F.col("n") == 1).alias("subject"), (F.col("size") > group).alias("large"))
-    places = speakers.select("doc", th.alias("th"), F.struct("key", pos.alias("pos"), "subject", "large").alias("place")).groupBy("doc", "th").agg(F.collect_list("place").alias("places"))
-    fields = "key long, subject boolean, large boolean, doc long, th int, pos long, left int, around binary"
-    now = save(docs.join(places, ["doc", "th"]).mapInArrow(_contexts(width, core), fields), "around")
+    places = speakers.select("doc", F.struct("key", pos.alias("pos"), "subject", "large").alias("place")).groupBy("doc").agg(F.collect_list("place").alias("places"))
+    fields = "key long, subject boolean, large boolean, doc long, pos long, left int, around binary"
+    now = save(docs.join(places, "doc").mapInArrow(_contexts(width, core), fields), "around")
     drop_table(spans)
     drop_table(sizes)
 
-    where, columns = F.struct("doc", "th", "pos"), ["key", "doc", "th", "pos", "subject", "left", "around"]
+    where, columns = F.struct("doc", "pos"), ["key", "doc", "pos", "subject", "left", "around"]
     small, found, tables = [now.filter("not large").select(*columns, F.lit(reach).alias("reach"))], [], [now]
     while reach > 1 and not now.filter("large").isEmpty():
-        halved = now.filter("large").mapInArrow(_halves(width, reach), "key long, span long, doc long, th int, pos long, subject boolean, left int, around binary")
+        halved = now.filter("large").mapInArrow(_halves(width, reach), "key long, span long, doc long, pos long, subject boolean, left int, around binary")
         reach = (reach + 1) // 2
         halved = save(halved, "halved")
         by_span = save(halved.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(where).alias("first"), F.bool_or("subject").alias("subject")), "by_span")
         equal = halved.filter("subject").join(by_span.filter("n > 1").select("key", "span"), ["key", "span"])
-        found.append(save(equal.select("doc", "th", F.greatest(F.col("pos") - reach + 1, F.lit(0)).alias("start"), (F.col("pos") + width).alias("stop")), "found"))
+        found.append(save(equal.select("doc", F.greatest(F.col("pos") - reach + 1, F.lit(0)).alias("start"), (F.col("pos") + width).alias("stop")), "found"))
         sizes = by_span.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("subject") & (F.col("n") == 1)).alias("subjects"))
         sizes = save(sizes.filter("size > 1 and subjects > 0").select("key", "size"), "sizes")
         stay = by_span.join(sizes, "key").select("key", "span", "first", (F.col("n") == 1).alias("lone"), (F.col("size") > group).alias("large"))
@@ -287,10 +285,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, core: int = CORE, group:
         tables.append(now)
 
     cool = reduce(DataFrame.unionByName, small).repartition("key").sortWithinPartitions("key")
-    found.append(save(cool.mapInArrow(_local(width), "doc long, th int, start long, stop long"), "found"))
+    found.append(save(cool.mapInArrow(_local(width), INTERVALS), "found"))
     for table in tables:
         drop_table(table)
-    one = reduce(DataFrame.unionByName, found).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))
+    one = reduce(DataFrame.unionByName, found).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("parts"))
     return settled.unionByName(one)
 
 
@@ -317,10 +315,16 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, core: int = CORE, group
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     names = [c for c in docs.columns if c.lower() not in NEW]
-    # A row without an id is named by its text alone; rows equal in text get equal ranges.
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce("doc_id", F.xxhash64(text)).alias("doc"), F.hash(text).alias("th"), text.alias("text"))
-    spans = repeated_spans(keyed.select("doc", "th", "text"), width, core, group).groupBy("doc", "th").agg(F.flatten(F.collect_list("parts")).alias("parts"))
-    joined = keyed.join(spans, ["doc", "th"], "left").select("row", F.when(F.col("parts").isNotNull(), F.col("text")).alias("text"), F.octet_length("text").cast("long").alias("n"), "parts")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("doc_id", text).alias("doc"), text.alias("text"))
+    size = F.octet_length("text").cast("long")
+    # Rows equal in id and text are one text, which goes whole; it is looked up once, so copies are no work.
+    copies = save(keyed.groupBy("doc").agg(F.count("*").alias("n"), F.max(size).alias("stop")).filter("n > 1").select("doc", "stop"), "copies")
+    once = keyed.select("doc", "text")
+    if not copies.isEmpty():
+        once = once.join(copies, "doc", "left_anti").unionByName(once.join(copies, "doc", "left_semi").dropDuplicates(["doc"]))
+    whole = copies.filter(F.col("stop") >= width).select("doc", F.array(F.struct(F.lit(0).cast("long").alias("start"), "stop")).alias("parts"))
+    spans = repeated_spans(once, width, core, group).unionByName(whole).groupBy("doc").agg(F.flatten(F.collect_list("parts")).alias("parts"))
+    joined = keyed.join(spans, "doc", "left").select("row", F.when(F.col("parts").isNotNull(), F.col("text")).alias("text"), size.alias("n"), "parts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
