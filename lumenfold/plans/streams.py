@@ -1,10 +1,11 @@
-"""Queries that give at rest what the streaming operators give."""
+"""Queries that give at rest what the streaming operators give, batches of texts, kept sketches, clusters by kernel blocks."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..catalog import register, table
+from ..operators import batches, blocks, scans
 from ..streaming import buffers, enrolment
 from .texts import r4
 
@@ -42,3 +43,32 @@ def buffer_overruns(spark, sf_dir):
     kind = F.when(F.col("event_type").isin("view", "click", "signup"), "put").otherwise("take")
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("device"), F.col("event_id").alias("number"), kind.alias("kind"), (1 + F.col("event_id") % 7).alias("frames"), "ts")
     return buffers.buffered(e, 16, order=("ts", "number")).withColumnsRenamed({"device": "user_id", "number": "event_id"})
+
+
+@register(
+    "padded_batches",
+    """WITH d AS (SELECT doc_id, least(len(string_split(text, ' ')), 512) AS n FROM documents),
+       b AS (SELECT doc_id, n, (n + 7) // 8 * 8 AS bucket FROM d),
+       p AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY n, doc_id) - 1) // greatest(4096 // greatest(bucket, 8), 1) AS batch FROM b)
+       SELECT doc_id, bucket, batch, n AS n_ids, max(n) OVER (PARTITION BY bucket, batch) AS padded FROM p""",
+)
+def padded_batches(spark, sf_dir):
+    """Texts cut to 512 words, in batches of about 4,096 words with padding."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"))
+    return batches.padded_batches(d, "ids", ["doc_id"], 4096, 512).select("doc_id", "bucket", "batch", "n_ids", "padded")
+
+
+@register("merged_sketches", "SELECT event_type, count(DISTINCT user_id) AS n_distinct, count(*) AS rows FROM events GROUP BY 1")
+def merged_sketches(spark, sf_dir):
+    """Users of each event type from sketches of single days; counts as small as these are exact at this accuracy."""
+    days = batches.sketches(table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), ["event_type", "day"], "user_id", "value", 18)
+    return batches.estimates(batches.merged(days, ["event_type"])).select("event_type", "n_distinct", "rows")
+
+
+@register("kernel_block_clusters")
+def kernel_block_clusters(spark, sf_dir):
+    """Kernel k-means of all vectors with the whole kernel in blocks, from labels by place."""
+    e = scans.placed(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), [], ["vec_id"])
+    first = e.select(F.col("place").alias("row"), F.lit(1.0).alias("weight"), (F.col("place") % 10).cast("int").alias("label"))
+    out = blocks.precomputed_kernel_kmeans(blocks.kernel_blocks(e, "place", "embedding", "rbf", 0.5), first, 10, rounds=8)
+    return e.select("vec_id", F.col("place").alias("row")).join(out, "row").select("vec_id", "label")

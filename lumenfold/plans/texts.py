@@ -9,7 +9,7 @@ from ..catalog import register, table
 from ..functions import arrays as V
 from ..functions import scalars as S
 from ..operators import aggregates as A
-from ..operators import dtw, evaluation, models, scans, signal
+from ..operators import blocks, dtw, evaluation, models, scans, signal
 from ..operators import relational as R
 from ..operators import text as X
 from ..operators import windows as W
@@ -200,17 +200,21 @@ def top_components(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(V.top_indices(F.col("embedding"), 5), lambda i: i.cast("long")).alias("best"))
 
 
-@register("matrix_transpose", "SELECT i - 1 AS col, list(v ORDER BY vec_id) AS embedding FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1")
+@register("matrix_transpose", "SELECT i - 1 AS col, vec_id // 1024 AS block, list(v ORDER BY vec_id) AS embedding FROM (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2")
 def matrix_transpose(spark, sf_dir):
-    return R.transpose_long(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding").withColumn("col", F.col("col").cast("long"))
+    return blocks.transpose(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
 
 
 @register("gram_matrix", 'SELECT a.i - 1 AS "row", b.i - 1 AS col, round(sum(CAST(a.v AS DOUBLE) * b.v), 3) AS value FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) a JOIN (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) b USING (vec_id) GROUP BY 1, 2')
 def gram_matrix(spark, sf_dir):
-    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    a = cells.select(F.col("i").cast("long").alias("row"), F.col("vec_id").alias("col"), F.col("v").alias("value"))
-    b = cells.select(F.col("vec_id").alias("row"), F.col("i").cast("long").alias("col"), F.col("v").alias("value"))
-    return R.matrix_multiply(a, b).withColumn("value", F.round("value", 3))
+    return blocks.gram(table(spark, sf_dir, "embeddings"), "embedding").withColumn("value", F.round("value", 3))
+
+
+@register("sparse_product", "SELECT a.l_suppkey AS \"row\", b.s_nationkey AS col, round(sum(a.v * b.s_acctbal), 2) AS value FROM (SELECT l_suppkey, l_partkey % 50 AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) a JOIN (SELECT s_suppkey % 50 AS k, s_nationkey, sum(s_acctbal) AS s_acctbal FROM supplier GROUP BY 1, 2) b USING (k) GROUP BY 1, 2")
+def sparse_product(spark, sf_dir):
+    a = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("row"), (F.col("l_partkey") % 50).alias("col")).agg(F.sum("l_quantity").alias("value"))
+    b = table(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 50).alias("row"), F.col("s_nationkey").alias("col")).agg(F.sum("s_acctbal").alias("value"))
+    return R.matrix_multiply(a, b).withColumn("value", F.round("value", 2))
 
 
 @register(
