@@ -38,6 +38,7 @@ BLOCK = frozenset(
     " legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"option", "legend", "html", "body"}
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table".split())
 CONTAINERS = frozenset("div section ul ol dl table details address".split())
 INSIDE = 0x5BD1E9955BD1E995  # names of subtrees inside an article are kept apart from those outside
 GONE = RAW | frozenset("head nav footer aside form menu dialog button fieldset audio video canvas datalist noscript template svg object select".split())
@@ -54,6 +55,8 @@ OF_FORM = frozenset(
     "area articles bar block bottom box button buttons col column container content form grid group icon icons inner item items left link links list main outer panel posts right"
     " row section slot stories text title top unit widget wrap wrapper".split()
 )
+# Words that may stand beside those above in a name of boilerplate inside an article, where any other word keeps the element.
+BESIDE = OF_FORM | frozenset("body consent count cta inline policy replies reply share sharing signup social thread".split())
 _JOINT = re.compile(r"[_-]+")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 _NAME = re.compile(r"</?([a-zA-Z][^\s/><]*)")
@@ -186,20 +189,37 @@ def tree(page: str) -> Node:
 
 
 def boilerplate_name(names: str, in_article: bool = False) -> bool:
-    """Whether one of the class or id names means boilerplate; an article's header holds its title."""
+    """Whether one of the class or id names means boilerplate.
+
+    Inside an article a name counts only if all of its words do ("ad-slot", "comment-list"), as an article may well hold a
+    "cookie-recipe" or its "comment-history"; a header holds the title.
+    """
     for name in names.lower().split():
         words = [w for w in _JOINT.split(name) if w]
+        if in_article:
+            own = [w for w in words if w in ANYWHERE or (w in AT_END and w != "header")]
+            if (own and all(w in ANYWHERE or w in AT_END or w in BESIDE or w.isdigit() for w in words)) or (len(words) == 1 and words[0] in ALONE):
+                return True
+            continue
         if not ANYWHERE.isdisjoint(words):
             return True
         while len(words) > 1 and (words[-1] in OF_FORM or words[-1].isdigit()):
             words.pop()
-        if words and ((words[-1] in AT_END and not (in_article and words[-1] == "header")) or (len(words) == 1 and words[0] in ALONE)):
+        if words and (words[-1] in AT_END or (len(words) == 1 and words[0] in ALONE)):
             return True
     return False
 
 
+def _holds_prose(node: Node) -> bool:
+    return node.tag in PROSE or any(not isinstance(x, str) and _holds_prose(x) for x in node.items)
+
+
 def named_boilerplate(node: Node, in_article: bool = False) -> bool:
-    """What the markup itself names as no content.  A header inside an article holds its title and stays."""
+    """What the markup itself names as no content.
+
+    A header inside an article holds its title and stays, and so does an element there that only one word such as "share"
+    names and that holds paragraphs.
+    """
     if node.tag in GONE or (node.tag == "header" and not in_article):
         return True
     if not node.attrs or node.tag in ("html", "body", "article", "main"):
@@ -208,8 +228,11 @@ def named_boilerplate(node: Node, in_article: bool = False) -> bool:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             return True
-        if (key == "role" and value.lower() in _ROLES) or (key in ("class", "id") and boilerplate_name(value, in_article)):
+        if key == "role" and value.lower() in _ROLES:
             return True
+        if key in ("class", "id") and boilerplate_name(value, in_article):
+            if not (in_article and ALONE.issuperset(w for w in value.lower().split() if boilerplate_name(w, True)) and _holds_prose(node)):
+                return True
     return False
 
 
