@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +85,20 @@ def components_by_ratio(df: DataFrame, by: str, weight: str, order: str, log_rat
     near = F.ln(F.sum(weight).over(w)) - F.ln(weight) <= log_ratio
     rank = F.row_number().over(w.orderBy(F.desc(weight), order))
     return df.withColumns({"_near": near, "_rank": rank}).filter(F.col("_near") | (F.col("_rank") <= least)).drop("_near", "_rank")
+
+
+def threshold_sweep(scores: DataFrame, template: str, spoken: str, score: str, thresholds: Sequence[float]) -> DataFrame:
+    """One row for each template and threshold: tp, tn, fp, fn, far (share of other words accepted), frr (share of own ones refused).
+
+    `scores` has one row for each template and utterance; a distance up to the threshold accepts.  Each score is read once
+    and counts for all thresholds; a template without other words, or without own ones, has a null rate.
+    """
+    own = F.col(template).eqNullSafe(F.col(spoken))
+    count = lambda test: F.count_if(test)
+    sums = []
+    for i, t in enumerate(thresholds):
+        taken = F.coalesce(F.col(score) <= t, F.lit(False))
+        sums += [F.struct(F.lit(float(t)).alias("threshold"), count(taken & own).alias("tp"), count(~taken & ~own).alias("tn"), count(taken & ~own).alias("fp"), count(~taken & own).alias("fn")).alias(f"s{i}")]
+    rows = scores.groupBy(template).agg(*sums).select(template, F.explode(F.array(*[f"s{i}" for i in range(len(thresholds))])).alias("s")).select(template, "s.*")
+    share = lambda a, b: F.try_divide(F.col(a), F.col(a) + F.col(b))
+    return rows.withColumns({"far": share("fp", "tn"), "frr": share("fn", "tp")})

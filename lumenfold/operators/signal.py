@@ -138,12 +138,27 @@ def mel_energies(s: Column, c: Config = MAIN) -> Column:
     return V.bound(s, lambda bins: F.transform(filters, lambda t: V.dot(F.slice(bins, t["first"], F.size(t["w"])), t["w"])))
 
 
+def _levelled(x: np.ndarray, low_power: float = 1024.0, gain: float = 256.0) -> np.ndarray:
+    """`normalise_signal` for a batch of frames."""
+    x = x - x.mean(axis=1, keepdims=True)
+    x = x * np.where((x * x).mean(axis=1, keepdims=True) < low_power, gain, 1.0)
+    return np.clip(x, -32768.0, 32767.0)
+
+
 def mfcc(df: DataFrame, key: str, samples: str, c: Config = MAIN) -> DataFrame:
-    """Rows (key, frame, mfcc): mel energies, logarithm or root, cosine transform, with RASTA and deltas if configured."""
-    squeeze = (lambda v: F.ln(F.greatest(v, F.lit(1.0)))) if c.root is None else (lambda v: F.pow(v, F.lit(c.root)))
-    waves = constant(np.cos(np.pi * np.arange(1, c.order + 1)[:, None] * (np.arange(1, c.mel + 1) - 0.5) / c.mel).tolist(), MATRIX)
-    out = spectrogram(df, key, samples, c).withColumn("e", F.transform(mel_energies(F.col("s"), c), squeeze))
-    out = out.select(key, "frame", V.bound(F.col("e"), lambda e: F.transform(waves, lambda w: V.dot(w, e))).alias("mfcc"))
+    """Rows (key, frame, mfcc): mel energies, logarithm or root, cosine transform, with RASTA and deltas if configured.
+
+    All that is linear in a frame is a matrix product of the batch that its Fourier transform takes anyway.
+    """
+    shape = np.hamming(c.frame)
+    filters = mel_filters(c).T
+    waves = np.cos(np.pi * np.arange(1, c.order + 1)[:, None] * (np.arange(1, c.mel + 1) - 0.5) / c.mel).T
+
+    def cepstra(p: pd.DataFrame) -> np.ndarray:
+        e = np.abs(np.fft.rfft(_levelled(np.stack(list(p["x"]))) * shape, axis=1)) @ filters
+        return (np.log(np.maximum(e, 1.0)) if c.root is None else np.power(e, c.root)) @ waves
+
+    out = _batches(frame_rows(df, key, samples, c), "mfcc", cepstra).drop("x")
     if not c.deltas:
         return out
     # Below five frames nothing is added, so that such an utterance keeps plain coefficients.

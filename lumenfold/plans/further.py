@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register, table
 from ..functions import arrays as V
+from ..functions import draws
 from ..operators import aggregates as A
 from ..operators import cleaning as C
 from ..operators import dtw, evaluation, models, signal
@@ -215,6 +216,23 @@ def deemphasised(spark, sf_dir):
     return signal.deemphasised(e, ["user_id"], ["ts", "event_id"], "value", "y").select("event_id", F.round("y", 6).alias("y"))
 
 
+_DRAW = "CAST('0x' || substr(md5(c_custkey || '|{0}'), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+@register(
+    "seeded_draws",
+    f"""WITH u AS (SELECT c_custkey, {_DRAW.format(1)} AS a, {_DRAW.format(4)} AS b, {_DRAW.format(5)} AS c, {_DRAW.format(3)} AS d, {_DRAW.format(7)} AS e FROM customer)
+        SELECT c_custkey, round(a, 9) AS share, round(10 + 2 * sqrt(-2 * ln(1 - b)) * cos(2 * pi() * c), 6) AS height, CAST(1 + floor(d * 6) AS BIGINT) AS die,
+        CASE WHEN e < 0.5 THEN 'red' WHEN e < 0.75 THEN 'green' ELSE 'blue' END AS colour FROM u""",
+)
+def seeded_draws(spark, sf_dir):
+    """Random columns of each customer that stay the same in every run."""
+    k = ["c_custkey"]
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", F.round(draws.uniform(k, 1), 9).alias("share"), F.round(draws.normal(k, 2, 10, 2), 6).alias("height"), draws.integers(k, 3, 1, 7).alias("die"), draws.choice(k, 7, ["red", "green", "blue"], [2, 1, 1]).alias("colour")
+    )
+
+
 @register("mixture_of_vectors")
 def mixture_of_vectors(spark, sf_dir):
     """A mixture of ten components fitted to all vectors."""
@@ -253,10 +271,38 @@ def band_features(spark, sf_dir):
     return signal.sub_band(_waves(spark, sf_dir), "user_id", "samples")
 
 
+def _months(spark, sf_dir):
+    """Each month of an event type as a word: a frame of mean and deviation for each of its days."""
+    e = table(spark, sf_dir, "events").filter("value is not null").withColumn("id", F.date_format(F.col("ts").cast("timestamp"), "yyyyMM"))
+    days = e.groupBy("event_type", "id", F.dayofmonth(F.col("ts").cast("timestamp")).alias("day")).agg(F.array(F.avg("value"), F.stddev_pop("value")).alias("f"))
+    return days.groupBy("event_type", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "f"))), lambda s: s["f"]).alias("frames"))
+
+
 @register("fused_templates")
 def fused_templates(spark, sf_dir):
     """One template for each event type from the series of its months."""
-    e = table(spark, sf_dir, "events").filter("value is not null").withColumn("id", F.date_format(F.col("ts").cast("timestamp"), "yyyyMM"))
-    days = e.groupBy("event_type", "id", F.dayofmonth(F.col("ts").cast("timestamp")).alias("day")).agg(F.array(F.avg("value"), F.stddev_pop("value")).alias("f"))
-    months = days.groupBy("event_type", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "f"))), lambda s: s["f"]).alias("frames"))
-    return dtw.fuse_by_key(months, "event_type")
+    return dtw.fuse_by_key(_months(spark, sf_dir), "event_type")
+
+
+@register("template_sweep")
+def template_sweep(spark, sf_dir):
+    """All months against the templates of all event types: errors of each template at each threshold."""
+    months = _months(spark, sf_dir)
+    templates = dtw.fuse_by_key(months, "event_type").select(F.col("event_type").alias("id"), "frames")
+    words = months.select(F.struct("event_type", "id").alias("id"), "frames")
+    scores = dtw.dtw_pairs(dtw.all_pairs(templates, words)).select(F.col("id_y").alias("template"), F.col("id_x.event_type").alias("spoken"), "score")
+    return evaluation.threshold_sweep(scores, "template", "spoken", "score", [i / 200 for i in range(1, 13)])
+
+
+@register(
+    "value_sweep",
+    """SELECT event_type, threshold, count(*) FILTER (value <= threshold AND late) AS tp, count(*) FILTER (value > threshold AND NOT late) AS tn, count(*) FILTER (value <= threshold AND NOT late) AS fp,
+       count(*) FILTER (value > threshold AND late) AS fn, round(count(*) FILTER (value <= threshold AND NOT late) / count(*) FILTER (NOT late), 6) AS far, round(count(*) FILTER (value > threshold AND late) / count(*) FILTER (late), 6) AS frr
+       FROM (SELECT event_type, value, event_id % 3 = 0 AS late FROM events WHERE value IS NOT NULL), (VALUES (10.0), (25.0), (50.0), (100.0)) AS t(threshold) GROUP BY 1, 2""",
+)
+def value_sweep(spark, sf_dir):
+    """The counts of a detector over thresholds: each third event is to be found by a small value."""
+    e = table(spark, sf_dir, "events").filter("value is not null")
+    e = e.select("event_type", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("spoken"), "value")
+    out = evaluation.threshold_sweep(e, "event_type", "spoken", "value", [10, 25, 50, 100])
+    return out.withColumn("far", F.round("far", 6)).withColumn("frr", F.round("frr", 6))

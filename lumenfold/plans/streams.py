@@ -1,11 +1,12 @@
-"""Queries that give at rest what the streaming operators give, batches of texts, kept sketches, clusters by kernel blocks."""
+"""Queries that give at rest what the streaming operators give, batches of texts, kept sketches, clusters by kernel blocks and by neighbours, records of pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..catalog import register, table
-from ..operators import batches, blocks, scans
+from ..operators import batches, blocks, neighbours, scans
+from ..operators.records import Field, Find, page_records
 from ..streaming import buffers, enrolment
 from .texts import r4
 
@@ -72,3 +73,47 @@ def kernel_block_clusters(spark, sf_dir):
     first = e.select(F.col("place").alias("row"), F.lit(1.0).alias("weight"), (F.col("place") % 10).cast("int").alias("label"))
     out = blocks.precomputed_kernel_kmeans(blocks.kernel_blocks(e, "place", "embedding", "rbf", 0.5), first, 10, rounds=8)
     return e.select("vec_id", F.col("place").alias("row")).join(out, "row").select("vec_id", "label")
+
+
+@register("neighbour_graph")
+def neighbour_graph(spark, sf_dir):
+    """About the ten nearest vectors of each; the tests hold its recall against all rows."""
+    return neighbours.neighbour_graph(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@register("spectral_labels")
+def spectral_labels(spark, sf_dir):
+    return neighbours.spectral_clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+
+
+def _plain(x: str) -> str:
+    """SQL for the text of a piece of markup without tags."""
+    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{c}')"
+    return x
+
+
+_MENU = """regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]*">[^<]*</a>')"""
+
+
+@register(
+    "menu_links",
+    f"""WITH n AS (SELECT page_id, unnest({_MENU}) AS a, generate_subscripts({_MENU}, 1) - 1 AS nth FROM pages)
+        SELECT page_id, CAST(nth AS INTEGER) AS nth, {_plain("regexp_extract(a, 'href=.([^>]*).>', 1)")} AS href, trim({_plain("regexp_extract(a, '>([^<]*)<', 1)")}) AS label FROM n""",
+)
+def menu_links(spark, sf_dir):
+    """The links of each page's menu."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return page_records(pages, "html", [Find("nav", nth=0), Find("a", attrs=(("href", ""),))], {"href": Field(attr="href"), "label": Field()})
+
+
+@register(
+    "page_heads",
+    f"""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, trim({_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS title,
+        trim({_plain("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}) AS head, regexp_extract(html, 'charset="([^"]*)"', 1) AS charset FROM pages""",
+)
+def page_heads(spark, sf_dir):
+    """Language, title, first heading and character set of each page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    fields = {"lang": Field(attr="lang"), "title": Field((Find("title"),)), "head": Field((Find("h1"),)), "charset": Field((Find("meta", attrs=(("charset", ""),)),), attr="charset")}
+    return page_records(pages, "html", [Find("html", nth=0)], fields).drop("nth")

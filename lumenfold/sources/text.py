@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import files
+
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, header: bool = True, sep: str = ",", names: Sequence[str] | None = None,
-             columns: Sequence[str] | None = None, na: Sequence[str] = (), na_by_column: Mapping[str, Sequence[str]] | None = None, bad_lines: str = "fail", quote: str = '"', escape: str = "\\", rows: int | None = None) -> DataFrame:
+             columns: Sequence[str] | None = None, na: Sequence[str] = (), na_by_column: Mapping[str, Sequence[str]] | None = None, bad_lines: str = "fail", quote: str = '"', escape: str = "\\", rows: int | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Delimited text.  Types are inferred only without a schema; `bad_lines` is fail, drop or keep (column _corrupt_record).
 
-    Values in `na`, or in `na_by_column` for one column, become NULL.  `rows` limits how many rows are read.
+    Values in `na`, or in `na_by_column` for one column, become NULL.  `rows` limits how many rows are read: the
+    first ones by `order`, or any without it (`files.head` gives a file's first lines).
     """
     reader = spark.read.option("header", header).option("sep", sep).option("quote", quote).option("escape", escape)
     reader = reader.option("mode", {"fail": "FAILFAST", "drop": "DROPMALFORMED", "keep": "PERMISSIVE"}[bad_lines])
@@ -24,7 +27,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
         reader = reader.schema(text + (", _corrupt_record string" if bad_lines == "keep" else ""))
     df = reader.csv(path)
     if rows is not None:
-        df = df.limit(rows)
+        df = (df.orderBy(*order) if order else df).limit(rows)
     if names:
         df = df.toDF(*names)
     if columns:
@@ -39,6 +42,19 @@ def read_chunks(spark: SparkSession, path: str, chunks: int, key: str, **options
     return [whole.filter(F.pmod(F.xxhash64(key), F.lit(chunks)) == i) for i in range(chunks)]
 
 
+def read_csv_chunks(spark: SparkSession, path: str, schema: str, bytes_: int = files.CHUNK_BYTES, sep: str = ",", header: bool = True) -> DataFrame:
+    """Column chunk and the columns of `schema`: one scan in which each byte is read once, in chunks of about `bytes_` bytes.
+
+    A chunk is what one task reads, so `groupBy("chunk")` counts pieces on their own; `chunk` and `offset` are the order
+    of the lines.  The first line of each file is its header.  A value may not hold a line end.
+    """
+    lines = files.read_line_chunks(spark, path, bytes_)
+    if header:
+        lines = lines.filter("offset > 0")
+    parsed = F.from_csv("line", schema, {"sep": sep})
+    return lines.filter("line <> ''").select("chunk", "offset", parsed.alias("r")).select("chunk", "offset", "r.*")
+
+
 def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_csv(spark, path, sep="\t", **options)
 

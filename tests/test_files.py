@@ -121,3 +121,13 @@ def test_matrix_file(spark, tmp_path, code):
 def test_columnar_formats(spark, tmp_path):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
     assert files.copy_as(orders, str(tmp_path / "o"), "orc", compression="zstd").exceptAll(orders).count() == 0
+
+
+def test_csv_in_chunks(spark, tmp_path):
+    for part in range(2):
+        (tmp_path / f"{part}.csv").write_text("id,name\n" + "".join(f"{part * 500 + i},n{i % 7}\n" for i in range(500)))
+    whole = sources.read_csv_chunks(spark, str(tmp_path), "id int, name string", 1000)
+    counts = whole.groupBy("chunk").count().collect()
+    assert len(counts) >= 8 and sum(r["count"] for r in counts) == 1000
+    assert [r["id"] for r in whole.orderBy("chunk", "offset").collect()] == list(range(1000))
+    assert [r["id"] for r in sources.read_csv(spark, str(tmp_path), "id int, name string", rows=3, order=["id"]).collect()] == [0, 1, 2]
