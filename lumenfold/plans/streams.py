@@ -8,7 +8,6 @@ from ..catalog import register, table
 from ..operators import batches, blocks, neighbours, scans
 from ..operators.records import Field, Find, page_records
 from ..streaming import buffers, enrolment
-from .texts import r4
 
 
 @register(
@@ -20,7 +19,7 @@ from .texts import r4
        f AS (SELECT e.user_id, e.part, v, row_number() OVER (PARTITION BY e.user_id, e.part ORDER BY n) AS r FROM e JOIN s ON s.user_id = e.user_id AND s.part = e.part WHERE k IN ('click', 'view') AND n > first),
        t AS (SELECT user_id, part, count(*) AS frames, avg(v) AS m, var_pop(v) AS q FROM f WHERE r <= 4 GROUP BY 1, 2)
        SELECT s.user_id, a.event_id AS session, CASE WHEN z.k = 'error' THEN 'aborted' WHEN frames IS NULL THEN 'empty' ELSE 'confirmed' END AS outcome, coalesce(frames, 0) AS frames,
-              CASE WHEN z.k = 'purchase' THEN round(m, 4) END AS mean, CASE WHEN z.k = 'purchase' THEN round(q, 4) END AS variance
+              CASE WHEN z.k = 'purchase' THEN round(m, 8) END AS mean, CASE WHEN z.k = 'purchase' THEN round(q, 8) END AS variance
        FROM s JOIN e a ON a.user_id = s.user_id AND a.n = first JOIN e z ON z.user_id = s.user_id AND z.n = last LEFT JOIN t ON t.user_id = s.user_id AND t.part = s.part""",
 )
 def enrolment_sessions(spark, sf_dir):
@@ -28,7 +27,7 @@ def enrolment_sessions(spark, sf_dir):
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "confirm").when(F.col("event_type") == "error", "abort").otherwise("frame")
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), F.col("event_id").alias("number"), kind.alias("kind"), F.array("value").alias("frame"), "ts")
     out = enrolment.enrolments(e, 4, ("ts", "number"))
-    return out.select(F.col("user").cast("long").alias("user_id"), "session", "outcome", "frames", r4(F.col("mean")[0]).alias("mean"), r4(F.col("variance")[0]).alias("variance"))
+    return out.select(F.col("user").cast("long").alias("user_id"), "session", "outcome", "frames", F.round(F.col("mean")[0], 8).alias("mean"), F.round(F.col("variance")[0], 8).alias("variance"))
 
 
 @register(
