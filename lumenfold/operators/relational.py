@@ -102,6 +102,20 @@ def prefix_join(left: DataFrame, right: DataFrame, left_name: str, right_name: s
     return a.join(b, "_key").withColumnRenamed("_key", "prefix")
 
 
+def starts_with_join(words: DataFrame, prefixes: DataFrame, word: str, prefix: str) -> DataFrame:
+    """Rows whose text begins with a prefix, for prefixes of any lengths: an equi-join on the beginnings of those lengths.
+
+    A text gives one row for each length that occurs, so nothing is compared with all prefixes.  An empty prefix begins
+    every text; null texts and prefixes match nothing.
+    """
+    size = F.length(prefix)
+    lengths = [r[0] for r in prefixes.select(size.alias("n")).filter("n is not null").distinct().limit(10_001).collect()]  # as many as there are lengths
+    if len(lengths) > 10_000:
+        raise ValueError("prefixes have over 10,000 different lengths")
+    starts = F.array(*[F.when(F.length(word) >= n, F.substring(word, 1, n)) for n in sorted(lengths)]) if lengths else F.array().cast("array<string>")
+    return words.withColumn("_start", F.explode(starts)).join(prefixes.withColumn("_start", F.col(prefix)), "_start").drop("_start")
+
+
 def info(df: DataFrame) -> DataFrame:
     """place, column, dtype, non_null and rows of every column, in one pass."""
     counts = df.agg(F.count("*").alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(df.columns)])

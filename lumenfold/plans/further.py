@@ -160,6 +160,14 @@ def prefix_join(spark, sf_dir):
     return R.prefix_join(p, c, "a", "b").select("page_id", "conv_id")
 
 
+@register("starts_with_join", "SELECT o_orderkey, s_suppkey FROM orders JOIN supplier ON starts_with(CAST(o_orderkey AS VARCHAR), CAST(s_suppkey AS VARCHAR))")
+def starts_with_join(spark, sf_dir):
+    """Order numbers that begin with the digits of a supplier's number."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("a"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").cast("string").alias("b"))
+    return R.starts_with_join(o, s, "a", "b").select("o_orderkey", "s_suppkey")
+
+
 @register("first_and_last_value", "SELECT user_id, round(arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)), 4) AS change, date_diff('second', min(ts), max(ts)) AS seconds, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
 def first_and_last_value(spark, sf_dir):
     at = F.struct("ts", "event_id")
