@@ -8,6 +8,8 @@ priority stays.  A text's detections are found row by row, without a shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,6 +196,14 @@ def _literal(by_keywords: dict[tuple[str, ...], list[dict]]) -> str:
     return f"array({', '.join(group(k, v) for k, v in by_keywords.items())})"
 
 
+def _open(words: Column, by_keywords: dict[tuple[str, ...], list[dict]]) -> Column:
+    """array<boolean>: which groups of rules have a keyword and a match.  A pattern that is a literal is compiled once, so
+    only rules of texts with a match are compiled for a row."""
+    any_match = lambda rows: F.regexp_like(words, F.lit("|".join(r["regex"] for r in rows)))
+    keyword = lambda keys: reduce(lambda a, b: a | b, [F.contains(words, F.lit(" " + k)) for k in keys])
+    return F.array(*[F.when(keyword(keys), any_match(rows)).otherwise(F.lit(False)) for keys, rows in by_keywords.items()])
+
+
 def _detect(words: Column, some: Column) -> Column:
     """Detections of the rules in an array: array<struct<start, stop, priority, label, confidence>>."""
     tried = F.filter(some, lambda r: F.regexp_like(words, r["regex"]))
@@ -233,9 +243,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     by_keywords: dict[tuple[str, ...], list[dict]] = {}
     for r in rules():
         by_keywords.setdefault(r["keywords"], []).append({k: r[k] for k in ("regex", "priority", "label", "confidence")})
-    groups = F.expr(_literal(by_keywords))
-    opened = F.filter(groups, lambda g: F.exists(g["keys"], lambda k: F.contains(words, k)))
-    tried = F.flatten(F.transform(opened, lambda g: g["rules"]))
+    tried = F.transform(F.array(_open(words, by_keywords)), lambda flags: F.flatten(F.transform(F.filter(F.expr(_literal(by_keywords)), lambda g, i: F.get(flags, i)), lambda g: g["rules"])))[0]
     no_base = F.array().cast("array<struct<start:int,stop:int,label:string>>")
     found = F.when(words.isNotNull(), _detect(words, tried)).otherwise(F.array().cast(DETECTIONS))
     out = out.withColumns({"base": F.when(words.isNotNull(), base).otherwise(no_base), "_found": found})
