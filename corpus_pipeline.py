@@ -27,9 +27,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     an id stay unless they repeat another text.  An empty table gives an empty one.
     """
     kept = neardup.near_duplicates(docs, size=5, percent=80).filter("kept")
-    kept = save(kept.groupBy("row").agg((F.count("*") * F.max((F.col("n_shingles") > 0).cast("int"))).alias("times")), "kept_rows")
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(kept.withColumnRenamed("row", "_row"), "_row")
-    once = keyed.filter("times <= 1").unionByName(keyed.filter("times > 1").dropDuplicates(["_row"]))
+    # The added columns have names of their own, as documents may have any.
+    kept = save(kept.groupBy(F.col("row").alias("_near_row")).agg((F.count("*") * F.max((F.col("n_shingles") > 0).cast("int"))).alias("_near_times")), "kept_rows")
+    keyed = docs.withColumn("_near_row", F.xxhash64("doc_id", "text")).join(kept, "_near_row")
+    once = keyed.filter("_near_times <= 1").unionByName(keyed.filter("_near_times > 1").dropDuplicates(["_near_row"]))
     return once.select(*docs.columns)
 
 
