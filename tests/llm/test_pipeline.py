@@ -49,3 +49,25 @@ def test_stages_equal_brute_force(spark, folder):
         total[r["doc_id"]] += r["length"]
     enc = bpe.encoder(bpe.vocabulary())
     assert total == {k: len(enc.encode_batch([t or ""])[0]) + 1 for k, t in now.items()}
+
+
+def test_clashing_columns_null_ids_and_empty_tables(spark, folder):
+    """Columns named as those that stages add, rows without an id, repeated rows, and no rows at all."""
+    clash = ", times int, _row long, row long, kept string, n_shingles int, score string, n_removed string, parts int, piece int, ids string"
+    text = "one two three four five six seven eight nine ten " * 4
+    rows = [(1, text), (2, text + "eleven"), (None, text), (None, None), (None, "alone"), (None, "alone"), (3, ""), (4, "short"), (4, "short"), (5, None), (6, "some vile words vilething number 7 of many vilething here")]
+    rows = [(k, t, "en", "s", len(t or ""), 7, 8, 9, "k", 1, "s", "r", 3, 5, "i") for k, t in rows]
+    docs = spark.createDataFrame(rows, COLUMNS + clash)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert stage(spark, docs.limit(0), folder).count() == 0
+        kept[name] = collections.Counter((r["doc_id"], r["text"]) if name != "packing" else r["doc_id"] for r in out.collect())
+        if name != "packing":
+            assert out.columns == docs.columns
+    assert (6, rows[-1][1]) not in kept["toxicity"] and sum(kept["toxicity"].values()) == 10
+    near = kept["near_duplicates"]
+    assert near[1, text] == 1 and (2, text + "eleven") not in near and (None, text) not in near and near[None, "alone"] == 1 and near[4, "short"] == 1
+    assert near[None, None] == near[5, None] == near[3, ""] == 1
+    assert sum(kept["suffix_dedup"].values()) == 11
+    assert sum(kept["packing"].values()) == 11
