@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 BROADCAST_ROWS = 100_000
 
 
@@ -21,22 +23,8 @@ def drop_positions(df: DataFrame, places: Sequence[int]) -> DataFrame:
 
 
 def numbered(df: DataFrame, by: Sequence[str], name: str = "position", within: Sequence[str] = ()) -> DataFrame:
-    """Position from 0 in an explicit order.
-
-    Without `within` a global number is a range-partitioned sort and the row counts of its partitions, so no task sees all rows.
-    """
-    if within:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*by)) - 1)
-    spark = df.sparkSession
-    ordered = df.orderBy(*by).withColumn("_part", F.spark_partition_id())
-    ordered = ordered.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1).persist()
-    sizes = sorted((r[0], r[1]) for r in ordered.groupBy("_part").count().collect())  # one row per partition
-    before, rows = 0, []
-    for part, n in sizes:
-        rows.append((part, before))
-        before += n
-    first = spark.createDataFrame(rows, "_part int, _before long")
-    return ordered.join(F.broadcast(first), "_part").withColumn(name, (F.col("_n") + F.col("_before")).cast("long")).drop("_part", "_n", "_before")
+    """Position from 0 in an explicit order, of all rows or of those of each key: ranges are numbered, so no task sees all rows."""
+    return scans.placed(df, list(within), list(by), name)
 
 
 def any_of(tests: Sequence[Column]) -> Column:
