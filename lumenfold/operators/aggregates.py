@@ -178,10 +178,12 @@ def influence(df: DataFrame, fans: str, follows: str, latest: str, hundredth: st
 
 
 def log_sum_exp(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
-    """ln of the sum of exponentials of each group, about its largest value; one shuffle."""
-    w = Window.partitionBy(*by)
-    top = df.withColumn("_m", F.max(x).over(w))
-    return top.groupBy(*by).agg((F.max("_m") + F.ln(F.sum(F.exp(F.col(x) - F.col("_m"))))).alias("log_sum_exp"))
+    """ln of the sum of exponentials of each group: sums about whole numbers first, so a hot group is added up where its rows are."""
+    whole = F.floor(F.col(x))
+    parts = df.groupBy(*by, whole.alias("_b")).agg(F.sum(F.exp(F.col(x) - whole)).alias("_s"))
+    held = parts.groupBy(*by).agg(F.max("_b").alias("_m"), F.collect_list(F.struct("_b", "_s")).alias("_p"))
+    total = F.aggregate("_p", F.lit(0.0), lambda a, v: a + F.coalesce(v["_s"] * F.exp(v["_b"] - F.col("_m")), F.lit(0.0)))
+    return held.select(*by, (F.col("_m") + F.ln(total)).alias("log_sum_exp"))
 
 
 def psnr(df: DataFrame, a: str, b: str, peak: float = 255.0) -> DataFrame:

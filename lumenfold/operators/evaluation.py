@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import log_sum_exp, top_indices
 from ..functions.semantics import divide
+from . import scans
 
 
 def vote(df: DataFrame, by: str, distance: str, threshold: float, sure: float = 0.1) -> DataFrame:
@@ -41,8 +42,7 @@ def z_norm(df: DataFrame, by: str, score: str) -> DataFrame:
 
 def accept_after(df: DataFrame, by: str, order: str, norm: str, own: str, frames: int = 64, norm_above: float = 2.0, own_above: float = 0.5) -> DataFrame:
     """Decide for each block of `frames` rows on the mean scores; an incomplete block has no decision."""
-    at = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    blocks = df.withColumn("block", F.floor(at / frames).cast("int"))
+    blocks = scans.placed(df, [by], [order], "_place").withColumn("block", F.floor(F.col("_place") / frames).cast("int"))
     out = blocks.groupBy(by, "block").agg(F.count("*").alias("n"), F.avg(norm).alias("norm"), F.avg(own).alias("own")).filter(F.col("n") == frames)
     return out.withColumn("accepted", (F.col("norm") > norm_above) & (F.col("own") > own_above))
 
