@@ -164,9 +164,13 @@ def argmax_error(df: DataFrame, scores: str, label: str) -> DataFrame:
 
 
 def h_index(df: DataFrame, by: str, cited: str) -> DataFrame:
-    """Largest h such that h items have at least h."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(cited)))
-    return df.withColumn("_r", rank).groupBy(by).agg(F.coalesce(F.max(F.when(F.col(cited) >= F.col("_r"), F.col("_r"))), F.lit(0)).cast("long").alias("h_index"))
+    """Largest h such that h items have at least h: the best of min(value, items with at least it) over the values.
+
+    Items are counted by value first, so a key's window holds its different values and not its items.
+    """
+    values = df.groupBy(by, cited).agg(F.count("*").alias("_n"))
+    at_least = F.sum("_n").over(Window.partitionBy(by).orderBy(F.desc(cited)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return values.withColumn("_h", F.least(F.floor(cited), at_least)).groupBy(by).agg(F.greatest(F.max(F.when(F.col(cited).isNotNull(), F.col("_h"))), F.lit(0)).cast("long").alias("h_index"))
 
 
 def influence(df: DataFrame, fans: str, follows: str, latest: str, hundredth: str, posts: int = 100) -> DataFrame:
