@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +66,37 @@ def transpose(df: DataFrame, row: str, values: str, size: int = SIZE) -> DataFra
     return pieces.groupBy("col", "block").agg(F.transform(pairs, lambda p: p["v"]).alias(values))
 
 
+def transpose_whole(df: DataFrame, row: str, values: str) -> DataFrame:
+    """col and values: each column of a matrix whole, by row (nulls last; rows of equal number by a hash of their vector).
+
+    Rows are dealt out by ranges of `row`.  Each batch of a range hands over one piece for each column, and a column's
+    pieces follow each other by range and batch; no number is sorted or shuffled with its row's number.  A null vector has
+    no numbers, a shorter one none for the last columns; null numbers stay, and numbers keep their type.  A column must
+    fit in one row of Spark, which is 2 GB.
+    """
+    order = [F.asc_nulls_last("row"), F.xxhash64("x")]
+    rows = df.select(F.col(row).alias("row"), F.col(values).alias("x")).repartitionByRange(*order).sortWithinPartitions(*order)
+    kind = df.schema[values].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for number, b in enumerate(batches):
+            lengths = b.column("x").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.arange(lengths.sum()) - np.repeat(lengths.cumsum() - lengths, lengths)
+            if len(at):
+                by_column = np.argsort(at.astype(np.min_scalar_type(at.max())), kind="stable")
+                ends = np.concatenate([[0], np.bincount(at).cumsum()])
+                n = len(ends) - 1
+                pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), b.column("x").flatten().take(pa.array(by_column)))
+                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([part] * n, pa.int64()), pa.array([number] * n, pa.int64()), pieces], ["col", "part", "batch", "v"])
+
+    def joined(pieces: pa.Table) -> pa.Table:
+        v = pieces.sort_by([("part", "ascending"), ("batch", "ascending")]).column("v").combine_chunks().flatten()
+        return pa.table([pieces.column("col")[:1].combine_chunks(), pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)], ["col", values])
+
+    return rows.mapInArrow(run, f"col long, part long, batch long, v {kind}").groupBy("col").applyInArrow(joined, f"col long, `{values}` {kind}")
+
+
 def kernel_blocks(df: DataFrame, place: str, x: str, kind: str = "rbf", gamma: float = 1.0, degree: int = 3, size: int = SIZE) -> DataFrame:
     """The kernel of all rows with all rows, (row, block, values): values are those with rows [block * size, ...).
 

@@ -200,9 +200,9 @@ def top_components(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(V.top_indices(F.col("embedding"), 5), lambda i: i.cast("long")).alias("best"))
 
 
-@register("matrix_transpose", "SELECT i - 1 AS col, vec_id // 1024 AS block, list(v ORDER BY vec_id) AS embedding FROM (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2")
+@register("matrix_transpose", "SELECT i - 1 AS col, list(v ORDER BY vec_id) AS embedding FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1")
 def matrix_transpose(spark, sf_dir):
-    return blocks.transpose(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
+    return blocks.transpose_whole(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
 @register("gram_matrix", 'SELECT a.i - 1 AS "row", b.i - 1 AS col, round(sum(CAST(a.v AS DOUBLE) * b.v), 3) AS value FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) a JOIN (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) b USING (vec_id) GROUP BY 1, 2')
