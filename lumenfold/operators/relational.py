@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -40,18 +42,47 @@ def cap(x: Column, limit: float) -> Column:
     return F.when(F.abs(x) > limit, F.signum(x) * limit).otherwise(x)
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], how: str = "inner") -> DataFrame:
-    """Equi-join in which a missing key meets a missing key; full joins coalesce the keys under the left names."""
-    renamed = {b: f"_r_{b}" for _, b in keys}
-    other = right.withColumnsRenamed(renamed)
-    out = left.join(other, all_of([left[a].eqNullSafe(other[f"_r_{b}"]) for a, b in keys]), how)
-    if how in ("left_semi", "left_anti"):
-        return out
-    for a, b in keys:
-        if how in ("full", "right", "outer", "full_outer", "right_outer"):
-            out = out.withColumn(a, F.coalesce(F.col(a), F.col(f"_r_{b}")))
-        out = out.drop(f"_r_{b}")
-    return out
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], how: str = "inner", pairs: int = 4_000_000) -> DataFrame:
+    """Equi-join in which a missing key meets a missing key; full and right joins coalesce the keys under the left names.
+
+    All rows without a key are one group, whose pairs grow with the square of its rows.  If they are over `pairs`, the group
+    is dealt out over a grid, whose cells of about so many pairs are tasks of their own.  A full join is a left one and
+    the right rows that meet nothing, as Spark's own holds all pairs of a key in memory.
+    """
+    kind = how.lower().replace("_", "").removesuffix("outer") or "full"
+    names = [f"_r_{b}" for _, b in keys]
+    other = right.withColumnsRenamed({b: f"_r_{b}" for _, b in keys})
+
+    def meet(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+        return a.join(b, all_of([a[x].eqNullSafe(b[y]) for (x, _), y in zip(keys, names)]), how)
+
+    if kind in ("semi", "leftsemi", "anti", "leftanti"):
+        return meet(left, other, kind)
+    parts = []
+    missing = [all_of([F.col(f"`{c}`").isNull() for c in side]) for side in ([a for a, _ in keys], names)]
+    n = [side.filter(m).count() for side, m in zip((left, other), missing)]
+    if n[0] * n[1] > pairs:
+        parts.append(_grid(left.filter(missing[0]), other.filter(missing[1]), min(100, math.ceil(math.sqrt(n[0] * n[1] / pairs)))))
+        left, other = left.filter(~missing[0]), other.filter(~missing[1])
+    parts.append(meet(left, other, "left" if kind == "full" else kind))
+    if kind == "full":
+        seen = left.select(*[F.col(f"`{a}`").alias(f"_seen{b}") for (a, _), b in zip(keys, names)]).distinct()
+        alone = other.join(seen, all_of([seen[f"_seen{b}"].eqNullSafe(other[b]) for b in names]), "left_anti")
+        parts.append(alone.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema.fields], *[alone[c] for c in alone.columns]))
+    out = reduce(lambda a, b: a.union(b), parts)
+    if kind in ("full", "right"):
+        out = out.withColumns({a: F.coalesce(F.col(f"`{a}`"), F.col(f"`{b}`")) for (a, _), b in zip(keys, names)})
+    return out.drop(*names)
+
+
+def _grid(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
+    """All pairs of the rows of two sides, in n * n cells: a row is dealt to one of n parts by its hash and copied to the n parts of the other side."""
+    part = lambda df: F.pmod(F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c, t in df.dtypes if not re.search("map<|variant", t)]), F.lit(n)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.select("*", part(left).alias("_own_left")).select("*", every.alias("_met_left")).repartition(n * n, "_own_left", "_met_left")
+    b = right.select("*", part(right).alias("_own_right")).select("*", every.alias("_met_right")).repartition(n * n, "_met_right", "_own_right")
+    cells = (F.col("_own_left") == F.col("_met_right")) & (F.col("_met_left") == F.col("_own_right"))
+    return a.join(b, cells).drop("_own_left", "_met_left", "_own_right", "_met_right")
 
 
 def not_in(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
