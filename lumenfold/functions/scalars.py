@@ -142,3 +142,14 @@ def recode(x: Column, table: dict) -> Column:
     for old, new in table.items():
         out = F.when(x == F.lit(old), F.lit(new)).otherwise(out)
     return out
+
+
+def round_product(x: Column, places: int) -> Column:
+    """A double times 10^places, rounded half away from zero, and divided again; what is under zero stays so, as -0.0.
+
+    Spark's `round` takes the decimal digits of the number instead: it differs where these, but not the product, end just
+    under a half, and has no -0.0.  A number whose product is too large stays as it is.
+    """
+    y = x * F.lit(10.0**places)
+    whole = F.signum(y) * F.round(F.abs(y), 0)
+    return F.when(F.isnan(whole) | (F.abs(whole) == float("inf")), x).otherwise(whole / F.lit(10.0**places))

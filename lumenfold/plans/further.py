@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import register, table
 from ..functions import arrays as V
 from ..functions import draws
+from ..functions.scalars import round_product
 from ..operators import aggregates as A
 from ..operators import cleaning as C
 from ..operators import dtw, evaluation, models, signal
@@ -177,7 +178,7 @@ def first_and_last_value(spark, sf_dir):
 
 @register("normalise_signal", f"SELECT user_id, list_transform(c, lambda v: round(greatest(least(CASE WHEN p < 500 THEN v * 256 ELSE v END, 32767.0), -32768.0), 8)) AS y FROM (SELECT user_id, c, list_sum(list_transform(c, lambda v: v * v)) / len(c) AS p FROM (SELECT user_id, list_transform(x, lambda v: v - list_sum(x) / len(x)) AS c FROM {_SERIES}))")
 def normalise_signal(spark, sf_dir):
-    return _series(spark, sf_dir).select("user_id", F.transform(C.normalise_signal(F.col("x"), low_power=500.0), lambda v: F.round(v, 8)).alias("y"))
+    return _series(spark, sf_dir).select("user_id", F.transform(C.normalise_signal(F.col("x"), low_power=500.0), lambda v: round_product(v, 8)).alias("y"))
 
 
 @register("manhattan_of_units", "SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.u, b.u), lambda p: abs(p[1] - p[2]))), 4) AS manhattan FROM (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda w: CAST(w AS DOUBLE) * w)))) AS u FROM embeddings) a JOIN (SELECT label, list_transform(e, lambda v: v / sqrt(list_sum(list_transform(e, lambda w: w * w)))) AS u FROM (SELECT label, list_transform(arg_min(embedding, vec_id), lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings GROUP BY 1)) b USING (label)")
