@@ -76,7 +76,7 @@ def second_difference(x: Column) -> Column:
     """x[i+1] - 2 x[i] + x[i-1], without the ends."""
     n = F.size(x)
     inner = F.slice(x, 2, F.greatest(n - 2, F.lit(0)))
-    return F.transform(inner, lambda v, i: F.element_at(x, i + 1) - 2 * v + F.element_at(x, i + 3))
+    return F.transform(inner, lambda v, i: F.element_at(x, i + 3) - 2 * v + F.element_at(x, i + 1))
 
 
 def log_sum_exp(x: Column) -> Column:

@@ -278,7 +278,7 @@ def preemphasis(spark, sf_dir):
 
 @register("second_difference", f"SELECT user_id, list_transform(generate_series(2, len(x) - 1), lambda i: round(x[i + 1] - 2 * x[i] + x[i - 1], 4)) AS d FROM {_SERIES} WHERE len(x) >= 3")
 def second_difference(spark, sf_dir):
-    return _series(spark, sf_dir).filter(F.size("x") >= 3).select("user_id", F.transform(V.second_difference(F.col("x")), lambda v: F.round(v, 4)).alias("d"))
+    return _series(spark, sf_dir).filter(F.size("x") >= 3).select("user_id", F.transform(V.second_difference(F.col("x")), lambda v: S.round_product(v, 4)).alias("d"))
 
 
 @register("energy_frames", "SELECT event_id FROM (SELECT event_id, value * value AS e, max(value * value) OVER (PARTITION BY user_id) AS m FROM events) WHERE e >= 0.001 * m")

@@ -21,7 +21,7 @@ def events(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name, column", [("normalise_signal", "y")])
+@pytest.mark.parametrize("name, column", [("normalise_signal", "y"), ("second_difference", "d")])
 def test_series_to_the_last_bit(spark, events, name, column):
     want = dict(connect(events).execute(f"SELECT user_id, {column} FROM ({catalog.oracle_sql()[name]})").fetchall())
     got = {r["user_id"]: r[column] for r in catalog.queries()[name](spark, events).collect()}
