@@ -129,6 +129,13 @@ def page_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.select(*rest, "position", F.regexp_extract("_a", r'(?is)^<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1).alias("href"), text.alias("text"))
 
 
+def plain_text(markup: Column) -> Column:
+    """Text of markup without tags: the five references written with a semicolon become characters, one after the other; white space stays but for spaces at both ends."""
+    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        markup = F.replace(markup, F.lit(name), F.lit(c))
+    return F.regexp_replace(markup, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def number_in(text: Column) -> Column:
     """First integer in a text, or NULL."""
     return F.try_to_number(first_match(text, r"\d+"), F.lit("999999999999")).cast("long")

@@ -46,3 +46,18 @@ def test_steps():
     assert [e.text() for e in walk(top, [Find("ul"), Find("li", nth=-1)])] == ["d", "c"]
     assert [e.tag for e in walk(top, [Find(text="^tw")])] == ["p"] and [e.text() for e in walk(top, [Find("p", nth=1), Find("b")])] == ["x"]
     assert walk(top, [Find("p", nth=9)]) == [] and Field((Find("i"),)).of(top) is None
+
+
+def test_heads_of_odd_pages(spark, tmp_path):
+    """Equal to SQL also where a page has no or other elements, open references and other spaces."""
+    from lumenfold import catalog
+    from oracle import compare
+
+    odd = [
+        None, "", "x", "<html><title>a</title>", '<HTML lang="en"><title>b</title>', '<html lang="fr" class="x"><head><meta charset="utf-8"><title> R&amp;D&amp;amp; &amp </title><h1>a<b>c</b>\n d</h1>',
+        '<html class="x" lang="de"><h1 id="y">no</h1><h1>&#39;&lt;&quot;&gt;&copy;&nbsp;</h1><title></title>', "<title> 　a  b\t  </title><h1>\n x \n</h1>", "<title>open", '<html lang="a"><html lang="b"><meta charset="">',
+        "<!-- <title>in a comment</title> --><title>later</title>", "<h1>one</h1><h1>two</h1>", "<title>a&amp;lt;b&amp;amp;lt;</title>", '<script>var charset="z"</script><meta charset="utf-8">',
+    ]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(odd)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    compare(spark, catalog.queries()["page_heads"], catalog.oracle_sql()["page_heads"], str(tmp_path))
