@@ -63,3 +63,18 @@ def estimates(kept: DataFrame, at: Sequence[float] = (0.5,)) -> DataFrame:
     """The numbers that sketches hold: n_distinct and one quantile for each of `at`."""
     ranks = F.array(*[F.lit(q) for q in at])
     return kept.withColumn("n_distinct", F.hll_sketch_estimate("distinct")).withColumn("at", F.kll_sketch_get_quantile_double("quantiles", ranks))
+
+
+def kept_values(df: DataFrame, by: Sequence[str], distinct: str) -> DataFrame:
+    """What `sketches` keeps, exact: one row for each key and distinct value (`value`, also null), with its number of `rows`."""
+    return df.groupBy(*by, F.col(distinct).alias("value")).agg(F.count("*").alias("rows"))
+
+
+def merged_values(kept: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Kept values of finer keys merged into those of coarser ones."""
+    return kept.groupBy(*by, "value").agg(F.sum("rows").alias("rows"))
+
+
+def counts(kept: DataFrame, by: Sequence[str]) -> DataFrame:
+    """n_distinct and rows of each key, from kept values that were merged by it; a null is a row but no value."""
+    return kept.groupBy(*by).agg(F.count("value").alias("n_distinct"), F.sum("rows").alias("rows"))

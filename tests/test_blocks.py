@@ -81,3 +81,17 @@ def test_sketches(spark):
     r = batches.estimates(batches.merged(days, []), [0.1, 0.5, 0.9]).first()
     assert r["rows"] == 40_000 and abs(r["n_distinct"] / 9973 - 1) < 0.05
     assert all(abs(x / 40_000 - q) < 0.03 for x, q in zip(r["at"], [0.1, 0.5, 0.9]))
+
+
+def test_distinct_users_are_exact(spark, tmp_path):
+    """Beyond the users whose number a sketch gives exactly, with null users and types."""
+    from lumenfold import catalog
+    from oracle import compare
+
+    i = F.col("id")
+    events = spark.range(300_000).select(
+        i.alias("event_id"), F.timestamp_seconds(1_700_000_000 + i * 37 % 900_000).alias("ts"), F.when(i % 11 > 0, F.xxhash64(i % 90_001)).alias("user_id"),
+        F.when(i % 3 == 0, "view").when(i % 3 == 1, "click").alias("event_type"), (i % 50).cast("double").alias("value"),
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    compare(spark, catalog.queries()["merged_sketches"], catalog.oracle_sql()["merged_sketches"], str(tmp_path))
