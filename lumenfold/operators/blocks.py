@@ -5,7 +5,7 @@ A matrix is a table of rows; what leaves a partition is a block of bounded size,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -97,6 +97,15 @@ def transpose_whole(df: DataFrame, row: str, values: str) -> DataFrame:
     return rows.mapInArrow(run, f"col long, part long, batch long, v {kind}").groupBy("col").applyInArrow(joined, f"col long, `{values}` {kind}")
 
 
+def _kernel(a: np.ndarray, c: np.ndarray, kind: str, gamma: float, degree: int) -> np.ndarray:
+    """The kernel of the rows of `a` with those of `c`."""
+    dot = a @ c.T
+    if kind == "rbf":
+        far = np.maximum((a * a).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * dot, 0)
+        return np.exp(np.multiply(far, -gamma, out=far), out=far)
+    return (gamma * dot + 1) ** degree if kind == "poly" else dot
+
+
 def kernel_blocks(df: DataFrame, place: str, x: str, kind: str = "rbf", gamma: float = 1.0, degree: int = 3, size: int = SIZE) -> DataFrame:
     """The kernel of all rows with all rows, (row, block, values): values are those with rows [block * size, ...).
 
@@ -112,12 +121,7 @@ def kernel_blocks(df: DataFrame, place: str, x: str, kind: str = "rbf", gamma: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, own, against in zip(b.column("block").to_pylist(), b.column("own").to_pylist(), b.column("against").to_pylist()):
-                a, c = np.array([o["x"] for o in own]), np.array(against)
-                dot = a @ c.T
-                if kind == "rbf":
-                    dot = np.exp(-gamma * np.maximum((a * a).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * dot, 0))
-                elif kind == "poly":
-                    dot = (gamma * dot + 1) ** degree
+                dot = _kernel(np.array([o["x"] for o in own]), np.array(against), kind, gamma, degree)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([o["row"] for o in own], pa.int64()), pa.array([block] * len(own), pa.int64()), pa.array(dot.tolist(), pa.list_(pa.float64()))], ["row", "block", "values"]
                 )
@@ -134,8 +138,6 @@ def precomputed_kernel_kmeans(kernel: DataFrame, labels: DataFrame, k: int, roun
     `tolerance` changes.  A cluster without rows is an error, as its mean is not defined.
     """
     kernel = cut(kernel)
-    now = cut(labels.select(F.col("row").cast("long").alias("row"), F.col("weight").cast("double").alias("weight"), F.col("label").cast("int").alias("label")))
-    n = now.count()
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,20 +148,67 @@ def precomputed_kernel_kmeans(kernel: DataFrame, labels: DataFrame, k: int, roun
                 out[i] = np.bincount(w[:, 1].astype(int), w[:, 0] * np.array(v), k)
             yield pa.RecordBatch.from_arrays([rows, pa.array(out.tolist(), pa.list_(pa.float64()))], ["row", "s"])
 
-    for _ in range(rounds):
+    def parts(now: DataFrame) -> DataFrame:
         held = now.groupBy(F.floor(F.col("row") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("row", "weight", "label"))).alias("w"))
-        parts = kernel.join(held, "block").select("row", "values", "w").mapInArrow(sums, "row long, s array<double>")
-        added = parts.select("row", F.posexplode("s").alias("j", "s")).groupBy("row", "j").agg(F.sum("s").alias("s")).join(now, "row")
-        added = cut(added)
-        weights = now.groupBy("label").agg(F.sum("weight").alias("all"))
-        inner = added.filter("j = label").groupBy("label").agg(F.sum(F.col("weight") * F.col("s")).alias("inner"))
-        clusters = {r["label"]: (r["all"], r["inner"]) for r in weights.join(inner, "label").collect()}  # k rows
+        return kernel.join(held, "block").select("row", "values", "w").mapInArrow(sums, "row long, s array<double>")
+
+    return _rounds(parts, labels, k, rounds, tolerance)
+
+
+def vector_kernel_kmeans(
+    df: DataFrame, place: str, x: str, labels: DataFrame, k: int, kind: str = "rbf", gamma: float = 1.0, degree: int = 3, rounds: int = 50, tolerance: float = 1e-5, size: int = 4 * SIZE
+) -> DataFrame:
+    """`precomputed_kernel_kmeans` over the kernel of all rows with all rows, which a round computes anew and nobody stores.
+
+    A task meets one pair of blocks of `size` rows after the other and holds a strip of their kernel; each pair serves both
+    of its blocks.  So memory does not grow with the rows; the work of a round grows with their square, and what is
+    shuffled with that square over `size`.  `place` numbers the rows, each of which has a label.
+    """
+    of = lambda rows: F.floor(rows / size).alias("part")
+    sorted_ = lambda *c: F.array_sort(F.collect_list(F.struct("row", *c)))
+    vectors = df.select(F.col(place).cast("long").alias("row"), F.col(x).alias("x")).groupBy(of(F.col("row"))).agg(sorted_("x").alias("s"))
+    vectors = cut(vectors.select("part", F.col("s.row").alias("rows"), F.flatten("s.x").alias("x")))
+    last = vectors.agg(F.max("part")).first()[0] or 0
+    names = ["rows", "x", "weights", "labels"]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                own, met = ([b.column(f"{side}_{c}")[i].values.to_numpy(zero_copy_only=False) for c in names] for side in ("own", "met"))
+                a, c = (v[1].astype(np.float64).reshape(len(v[0]), -1) for v in (own, met))
+                mine, theirs = (v[2][:, None] * (v[3][:, None] == np.arange(k)) for v in (own, met))
+                out, back = np.empty((len(a), k)), np.zeros((len(c), k))
+                for s in range(0, len(a), 256):
+                    strip = _kernel(a[s : s + 256], c, kind, gamma, degree)
+                    out[s : s + 256] = strip @ theirs
+                    back += strip.T @ mine[s : s + 256]
+                for rows, found in ((own[0], out), (met[0], back))[: 1 if own[0][0] == met[0][0] else 2]:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * k, pa.int32()), pa.array(found.ravel()))], ["row", "s"])
+
+    def parts(now: DataFrame) -> DataFrame:
+        held = now.groupBy(of(F.col("row"))).agg(sorted_("weight", "label").alias("w")).select("part", F.col("w.weight").alias("weights"), F.col("w.label").alias("labels"))
+        blocks = vectors.join(held, "part")
+        own = blocks.select("part", F.explode(F.sequence("part", F.lit(last))).alias("met"), *[F.col(c).alias(f"own_{c}") for c in names])
+        met = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), "part")).alias("part"), F.col("part").alias("met"), *[F.col(c).alias(f"met_{c}") for c in names])
+        return own.join(met, ["part", "met"]).drop("part", "met").mapInArrow(sums, "row long, s array<double>")
+
+    return _rounds(parts, labels, k, rounds, tolerance)
+
+
+def _rounds(parts: Callable[[DataFrame], DataFrame], labels: DataFrame, k: int, rounds: int, tolerance: float) -> DataFrame:
+    """The rounds of kernel k-means; `parts` gives, for rows with weight and label, (row, s): sums of weighted kernel values by cluster, to be added up."""
+    now = cut(labels.select(F.col("row").cast("long").alias("row"), F.col("weight").cast("double").alias("weight"), F.col("label").cast("int").alias("label")))
+    n = now.count()
+    for _ in range(rounds):
+        added = parts(now).groupBy("row").agg(*[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(k)]).select("row", F.array(*[f"s{j}" for j in range(k)]).alias("s"))
+        added = cut(added.join(now, "row"))
+        inner = F.sum(F.col("weight") * F.get("s", F.col("label")))
+        clusters = {r["label"]: (r["all"], r["inner"]) for r in added.groupBy("label").agg(F.sum("weight").alias("all"), inner.alias("inner")).collect()}  # k rows
         if len(clusters) < k:
             raise ValueError("a cluster is empty; take fewer clusters")
-        table = F.array(*[F.struct(F.lit(clusters[j][1] / clusters[j][0] ** 2).alias("within"), F.lit(2 / clusters[j][0]).alias("twice")) for j in range(k)])
-        distance = table[F.col("j")]["within"] - table[F.col("j")]["twice"] * F.col("s")
-        best = added.groupBy("row", "weight", F.col("label").alias("old")).agg(F.min(F.struct(distance.alias("d"), "j")).alias("m"))
-        new = cut(best.select("row", "weight", F.col("m.j").alias("label"), "old"))
+        distances = [F.lit(clusters[j][1] / clusters[j][0] ** 2) - F.lit(2 / clusters[j][0]) * F.col("s")[j] for j in range(k)]
+        best = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(j).alias("j")) for j, d in enumerate(distances)]))
+        new = added.select("row", "weight", best["j"].alias("label"), F.col("label").alias("old"))
         changed = new.filter("label <> old").count()
         now = new.drop("old")
         if changed < tolerance * n:

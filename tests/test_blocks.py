@@ -54,6 +54,34 @@ def test_kernel_kmeans_without_landmarks(spark, kind):
         blocks.precomputed_kernel_kmeans(kernel, first, 4, size=32)
 
 
+@pytest.mark.parametrize("kind", ["rbf", "linear", "poly"])
+def test_kernel_kmeans_without_a_stored_kernel(spark, kind):
+    """Blocks whose last is short, rows in any order and numbers of four bytes: equal to the whole kernel."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(31, 5)) + 3 * np.eye(5)[i] for i in range(3)]).astype(np.float32)
+    weights, labels = rng.uniform(0.5, 2, 93), rng.integers(0, 3, 93)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)][::-1], "place int, v array<float>").repartition(4)
+    y = x.astype(float)
+    sq = (y * y).sum(1)
+    whole = {"rbf": np.exp(-0.3 * (sq[:, None] + sq - 2 * y @ y.T)), "linear": y @ y.T, "poly": (0.3 * y @ y.T + 1) ** 2}[kind]
+    first = spark.createDataFrame([(i, float(w), int(j)) for i, (w, j) in enumerate(zip(weights, labels))], "row long, weight double, label int").repartition(3)
+    for size in (20, 500):
+        out = {r["row"]: r["label"] for r in blocks.vector_kernel_kmeans(df, "place", "v", first, 3, kind, 0.3, 2, rounds=6, size=size).collect()}
+        assert [out[i] for i in range(93)] == plain_kernel_kmeans(whole, weights, labels, 3, 6).tolist()
+    with pytest.raises(ValueError):
+        blocks.vector_kernel_kmeans(df, "place", "v", first, 4, size=20)
+
+
+def test_clusters_by_kernel_store_no_kernel(spark, monkeypatch):
+    """The query checkpoints no more than its rows, their labels and sums: never a value for each pair."""
+    from lumenfold import catalog
+
+    kept = []
+    monkeypatch.setattr(blocks, "cut", lambda df, cut=blocks.cut: kept.append(cut(df)) or kept[-1])
+    rows = catalog.queries()["kernel_block_clusters"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 500 and kept and not any({"row", "block", "values"} <= set(df.columns) for df in kept)
+
+
 def test_padding(spark):
     rng = np.random.default_rng(3)
     rows = [(i, None if i == 3 else rng.integers(1, 99, rng.integers(0, 60)).tolist(), "x") for i in range(400)]
