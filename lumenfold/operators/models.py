@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as V
 from ..functions.arrays import bhattacharyya, log_gauss, log_sum_exp
-from .relational import numbered
+from ..session import cut
+from .relational import numbered, small_side
 
 LOG_ZERO = -1e10
 GMM_SCHEMA = "model string, comp int, weight double, mean array<double>, var array<double>"
@@ -303,17 +304,17 @@ def kernel_kmeans(df: DataFrame, x: str, k: int, key: str, kind: str = "rbf", ga
     return kmeans(placed, "_phi", k, seed, attempts=3)[0].drop("_k", "_phi")
 
 
-def adf_by_key(df: DataFrame, key: str, order: str | Sequence[str], value: str, block_rows: int = 4096) -> DataFrame:
+def adf_by_key(df: DataFrame, key: str, order: str | Sequence[str], value: str, block_rows: int = 32768) -> DataFrame:
     """Augmented Dickey-Fuller statistic with a constant, and the lag with the least AIC, of each series (null below 12 rows).
 
     A series is cut into blocks that overlap by the lags, each block gives its cross products, and these are added up; so no
-    task sees a whole series, and what is solved a series is one small matrix.
+    task sees a whole series, and what is solved a series is one small matrix.  The steps that have fewer steps than lags
+    before them are as many as there are lags; each is kept as its own row, not as a matrix.
     """
     by = [order] if isinstance(order, str) else list(order)
     counts = df.groupBy(key).agg(F.count("*").alias("n")).withColumn("lags", F.greatest(F.lit(0), F.least(F.ceil(12 * F.pow(F.col("n") / 100, F.lit(0.25))), F.floor(F.col("n") / 2) - 2)).cast("int"))
-    ranked = numbered(df.select(key, *by, value), [key, *by], "_at")
-    first = ranked.groupBy(key).agg(F.min("_at").alias("_first"))
-    placed = ranked.join(first, key).withColumn("t", F.col("_at") - F.col("_first")).join(counts.filter("n >= 12"), key)
+    counts = cut(counts)
+    placed = numbered(df.select(key, *by, value), by, "t", [key]).join(small_side(counts.filter("n >= 12")), key)
     block = F.floor(F.col("t") / block_rows)
     # A block also needs the lags + 2 rows before it.
     ahead = F.when(F.pmod("t", F.lit(block_rows)) >= block_rows - F.col("lags") - 2, F.array(block, block + 1)).otherwise(F.array(block))
@@ -322,13 +323,19 @@ def adf_by_key(df: DataFrame, key: str, order: str | Sequence[str], value: str,
     def products(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("t")
         t, x, lags, own = p["t"].to_numpy(), p["v"].to_numpy(), int(p["lags"].iloc[0]), int(p["block"].iloc[0])
-        # Row i of the design is the step from t[i] to t[i + 1]: level, constant, earlier steps.
         d = np.diff(x)
-        out = []
-        for s, picked in _starts(t, lags, t[1:] // block_rows == own):
-            rows = np.stack([x[:-1][picked], np.ones(len(picked)), *(np.where(picked >= j, d[picked - j], 0.0) for j in range(1, lags + 1)), d[picked]], axis=1)
-            out.append((p[key].iloc[0], s, len(picked), lags, (rows.T @ rows).ravel()))
-        return pd.DataFrame(out, columns=[key, "start", "n", "lags", "m"])
+
+        # Row i of the design is the step from t[i] to t[i + 1]: level, constant, earlier steps.
+        def design(picked: np.ndarray) -> np.ndarray:
+            return np.stack([x[:-1][picked], np.ones(len(picked)), *(np.where(picked >= j, d[picked - j], 0.0) for j in range(1, lags + 1)), d[picked]], axis=1)
+
+        at = np.flatnonzero(t[1:] // block_rows == own)
+        first, rest = at[t[at] < lags], at[t[at] >= lags]
+        out = [(int(s), 1, row) for s, row in zip(t[first], design(first))]
+        if len(rest):
+            parts = (design(rest[s : s + 4096]) for s in range(0, len(rest), 4096))
+            out.append((lags, len(rest), sum(rows.T @ rows for rows in parts).ravel()))
+        return pd.DataFrame([(p[key].iloc[0], s, n, lags, m) for s, n, m in out], columns=[key, "start", "n", "lags", "m"])
 
     kind = dict(df.dtypes)[key]
     parts = spread.groupBy(key, "block").applyInPandas(products, f"{key} {kind}, start int, n long, lags int, m array<double>")
@@ -338,20 +345,17 @@ def adf_by_key(df: DataFrame, key: str, order: str | Sequence[str], value: str,
     @F.udf("struct<adf: double, lag: int>")
     def solve(c, lags):
         size = lags + 3
-        sums = {}
-        for r in c:
-            m, _ = sums.setdefault(r["start"], (np.zeros(size * size), r["n"]))
-            m[r["i"]] = r["v"]
+        first, whole = np.array([r["v"] for r in c[: lags * size]]).reshape(lags, size), np.array([r["v"] for r in c[lags * size :]]).reshape(size, size)
 
         def fit(lag: int, since: int):
-            m = sum(v[0] for s, v in sums.items() if s >= since).reshape(size, size)
-            n = sum(v[1] for s, v in sums.items() if s >= since)
+            m = whole + first[since:].T @ first[since:]
+            n = c[-1]["n"] + lags - since
             keep = [*range(lag + 2), size - 1]
             m = m[np.ix_(keep, keep)]
             inverse = np.linalg.pinv(m[:-1, :-1], rcond=1e-14, hermitian=True)
             beta = inverse @ m[:-1, -1]
-            rest = max(m[-1, -1] - beta @ m[:-1, -1], 1e-300)
-            return beta[0] / math.sqrt(inverse[0, 0] * rest / (n - lag - 2)), 2 * (lag + 2) + n * (math.log(2 * math.pi * rest / n) + 1)
+            left = max(m[-1, -1] - beta @ m[:-1, -1], 1e-300)
+            return beta[0] / math.sqrt(inverse[0, 0] * left / (n - lag - 2)), 2 * (lag + 2) + n * (math.log(2 * math.pi * left / n) + 1)
 
         lag = min(range(lags + 1), key=lambda j: fit(j, lags)[1])
         return float(fit(lag, lag)[0]), lag
@@ -360,13 +364,6 @@ def adf_by_key(df: DataFrame, key: str, order: str | Sequence[str], value: str,
     return counts.select(key).join(solved, key, "left")
 
 
-def _starts(t: np.ndarray, lags: int, own: np.ndarray):
-    """A block's own steps by how many steps came before, up to `lags`: the first few alone, the rest together."""
-    at = np.flatnonzero(own)
-    least = np.minimum(t[at], lags)
-    return [(int(s), at[least == s]) for s in np.unique(least)]
-
-
 def kmeans(df: DataFrame, x: str, k: int, seed: int = 1, rounds: int = 20, attempts: int = 1) -> tuple[DataFrame, list[list[float]], float]:
     """Labels, centroids and cost of the best of several k-means|| runs."""
     from pyspark.ml.clustering import KMeans

@@ -119,3 +119,14 @@ def test_template_fusion(spark):
     df = spark.createDataFrame([("a", i, f.tolist()) for i, f in enumerate(parts)] + [("b", 0, parts[0].tolist())], "k string, id int, frames array<array<double>>")
     got = {r["k"]: r["frames"] for r in dtw.fuse_by_key(df, "k").collect()}
     assert np.allclose(got["a"], dtw_plain.fuse_templates(parts)) and np.allclose(got["b"], parts[0])
+
+
+def test_stationarity_keeps_little_of_a_series(spark, monkeypatch):
+    """What is gathered for a series is one matrix and a row for each lag, however its blocks lie; the result is that of the whole series."""
+    x = np.cumsum(RNG.normal(size=3000)) * 0.1 + RNG.normal(size=3000)
+    df = spark.createDataFrame([(k, i % 2, i, float(v)) for k in ("a", None) for i, v in enumerate(x)], "k string, odd int, t int, v double").repartition(3)
+    lags = int(np.ceil(12 * 30**0.25))
+    in_order = models.F.array_sort
+    monkeypatch.setattr(models.F, "array_sort", lambda c: models.F.when(models.F.size(c) <= (2 * lags + 3) * (lags + 3), in_order(c)))  # else null
+    got = {r["k"]: (r["adf"], r["lag"]) for r in models.adf_by_key(df, "k", ["t"], "v", 128).collect()}
+    assert got["a"] == pytest.approx(models_plain.adf(x), rel=1e-6)
