@@ -72,6 +72,21 @@ def test_denoising(said, name):
     assert np.abs(np.array(got["tone"])[1000:3000]).mean() < np.abs(TONE[1000:3000]).mean()
 
 
+def test_subtraction_of_many_utterances(spark):
+    """Utterances of all lengths, of which batches hold some, null and empty ones and rows of equal or null keys; frames are no rows, so nothing is shuffled."""
+    rng = np.random.default_rng(4)
+    lengths = [0, 1, 511, 512, 513, 767, 768, 5000, 128 * 256 + 511, 70_000, None, 400_000, 300_000, 350_000, 400_000, 0, None]
+    rows = [(None if i == 7 else i // 2, i, None if n is None else (rng.normal(size=n) * 3000).round(3).tolist()) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "k int, i int, x array<double>").coalesce(1)
+    out = signal.spectral_subtraction(df.withColumn("key", F.struct("k", "i")), "key", "x")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["key"]["i"]: r["y"] for r in out.collect()}
+    assert set(got) == set(range(len(rows)))
+    for _, i, x in rows:
+        assert got[i] is None if x is None else len(got[i]) == len(x) and np.allclose(got[i], plain.spectral_subtraction(np.array(x)) if len(x) >= 512 else x, rtol=1e-6, atol=1e-4), i
+    assert signal.spectral_subtraction(df.filter("x is null"), "k", "x").count() == 2 and signal.spectral_subtraction(df.limit(0), "k", "x").count() == 0
+
+
 def test_frames_of_speech(said):
     rows = signal.frame_rows(said, "k", "x")
     want = {}
