@@ -97,13 +97,19 @@ def transpose_whole(df: DataFrame, row: str, values: str) -> DataFrame:
     return rows.mapInArrow(run, f"col long, part long, batch long, v {kind}").groupBy("col").applyInArrow(joined, f"col long, `{values}` {kind}")
 
 
-def _kernel(a: np.ndarray, c: np.ndarray, kind: str, gamma: float, degree: int) -> np.ndarray:
-    """The kernel of the rows of `a` with those of `c`."""
-    dot = a @ c.T
+def _sides(x: np.ndarray, kind: str, gamma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as the left and as the right factor of a product from which `_values` makes their kernel; for rbf it is -gamma times the squared distance."""
+    if kind != "rbf":
+        return x * (gamma if kind == "poly" else 1), x
+    square, one = -gamma * (x * x).sum(1)[:, None], np.ones((len(x), 1))
+    return np.hstack([2 * gamma * x, square, one]), np.hstack([x, one, square])
+
+
+def _values(product: np.ndarray, kind: str, gamma: float, degree: int) -> np.ndarray:
     if kind == "rbf":
-        far = np.maximum((a * a).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * dot, 0)
-        return np.exp(np.multiply(far, -gamma, out=far), out=far)
-    return (gamma * dot + 1) ** degree if kind == "poly" else dot
+        # Rounding must not give a squared distance under 0.
+        return np.exp((np.minimum if gamma >= 0 else np.maximum)(product, 0, out=product), out=product)
+    return (product + 1) ** degree if kind == "poly" else product
 
 
 def kernel_blocks(df: DataFrame, place: str, x: str, kind: str = "rbf", gamma: float = 1.0, degree: int = 3, size: int = SIZE) -> DataFrame:
@@ -121,7 +127,7 @@ def kernel_blocks(df: DataFrame, place: str, x: str, kind: str = "rbf", gamma: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, own, against in zip(b.column("block").to_pylist(), b.column("own").to_pylist(), b.column("against").to_pylist()):
-                dot = _kernel(np.array([o["x"] for o in own]), np.array(against), kind, gamma, degree)
+                dot = _values(_sides(np.array([o["x"] for o in own]), kind, gamma)[0] @ _sides(np.array(against), kind, gamma)[1].T, kind, gamma, degree)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([o["row"] for o in own], pa.int64()), pa.array([block] * len(own), pa.int64()), pa.array(dot.tolist(), pa.list_(pa.float64()))], ["row", "block", "values"]
                 )
@@ -156,11 +162,11 @@ def precomputed_kernel_kmeans(kernel: DataFrame, labels: DataFrame, k: int, roun
 
 
 def vector_kernel_kmeans(
-    df: DataFrame, place: str, x: str, labels: DataFrame, k: int, kind: str = "rbf", gamma: float = 1.0, degree: int = 3, rounds: int = 50, tolerance: float = 1e-5, size: int = 4 * SIZE
+    df: DataFrame, place: str, x: str, labels: DataFrame, k: int, kind: str = "rbf", gamma: float = 1.0, degree: int = 3, rounds: int = 50, tolerance: float = 1e-5, size: int = 8 * SIZE
 ) -> DataFrame:
     """`precomputed_kernel_kmeans` over the kernel of all rows with all rows, which a round computes anew and nobody stores.
 
-    A task meets one pair of blocks of `size` rows after the other and holds a strip of their kernel; each pair serves both
+    A task meets one pair of blocks of `size` rows after the other and holds a small piece of their kernel; each pair serves both
     of its blocks.  So memory does not grow with the rows; the work of a round grows with their square, and what is
     shuffled with that square over `size`.  `place` numbers the rows, each of which has a label.
     """
@@ -175,13 +181,15 @@ def vector_kernel_kmeans(
         for b in batches:
             for i in range(len(b)):
                 own, met = ([b.column(f"{side}_{c}")[i].values.to_numpy(zero_copy_only=False) for c in names] for side in ("own", "met"))
-                a, c = (v[1].astype(np.float64).reshape(len(v[0]), -1) for v in (own, met))
+                a, c = (_sides(v[1].astype(np.float64).reshape(len(v[0]), -1), kind, gamma)[side] for side, v in enumerate((own, met)))
                 mine, theirs = (v[2][:, None] * (v[3][:, None] == np.arange(k)) for v in (own, met))
-                out, back = np.empty((len(a), k)), np.zeros((len(c), k))
-                for s in range(0, len(a), 256):
-                    strip = _kernel(a[s : s + 256], c, kind, gamma, degree)
-                    out[s : s + 256] = strip @ theirs
-                    back += strip.T @ mine[s : s + 256]
+                out, back = np.zeros((len(a), k)), np.zeros((len(c), k))
+                for t in range(0, len(c), 1024):  # pieces that stay in a core's cache
+                    right = np.ascontiguousarray(c[t : t + 1024].T)
+                    for s in range(0, len(a), 64):
+                        piece = _values(a[s : s + 64] @ right, kind, gamma, degree)
+                        out[s : s + 64] += piece @ theirs[t : t + 1024]
+                        back[t : t + 1024] += piece.T @ mine[s : s + 64]
                 for rows, found in ((own[0], out), (met[0], back))[: 1 if own[0][0] == met[0][0] else 2]:
                     yield pa.RecordBatch.from_arrays([pa.array(rows), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * k, pa.int32()), pa.array(found.ravel()))], ["row", "s"])
 
